@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-CACHED_SEGMENTS = 150_000
+SHORT = 48  # characters of segments that are merged in step with others
+GROUP_ROWS = 20_000
+PAIR_BITS = 20
+CACHED_SEGMENTS = 300_000
 OUT_ROWS = 200
 #: Kinds of pieces and numbers of fields in the model file (fixed values of its public format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -62,6 +65,18 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+class Numbers(dict):
+    """Numbers given to strings in the order of their first lookup; new has those since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = len(self)
+        return len(self) - 1
+
+
 class CharMap:
     """The compiled character map: a double-array trie and the replacements its values point to."""
 
@@ -129,7 +144,8 @@ class Model:
             raise ValueError("a piece has a space mark after another character")
         shown = {CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " ⁇ ".encode()}
         self.surfaces = [shown.get(k, lambda p: p.replace(MARK_BYTES, b" "))(p) for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.cache: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self._pair_table()
+        self._forget()
 
     # -- normalisation -------------------------------------------------------------------
 
@@ -178,8 +194,82 @@ class Model:
 
     # -- pieces --------------------------------------------------------------------------
 
-    def _merge(self, segment: str) -> list[str]:
-        """Pairs merged by score, the leftmost first among equals, until none is a piece."""
+    def _pair_table(self) -> None:
+        """Pairs of symbols that make a piece, in an open hash table of arrays; a character that is no piece is its code point plus n."""
+        n = self.n = len(self.pieces)
+        self.char_ids = np.arange(0x110000, dtype=np.int64) + n
+        if self.byte_ids is not None:
+            self.char_ids[:128] = self.byte_ids[:128]  # no pair has them, so they stay alone
+        for text, k in self.by_text.items():
+            if len(text) == 1:
+                self.char_ids[ord(text)] = k
+        symbol = lambda t: self.by_text.get(t, n + ord(t) if len(t) == 1 else None)
+        self.slots = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
+        self.made = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
+        for text, k in self.by_text.items():
+            for cut in range(1, len(text)):
+                first, second = symbol(text[:cut]), symbol(text[cut:])
+                if first is not None and second is not None:
+                    key = np.int64(first << 21 | second)
+                    at = int(self._slot(np.array([key]))[0])
+                    while self.slots[at] >= 0:
+                        at = (at + 1) & ((1 << PAIR_BITS) - 1)
+                    self.slots[at], self.made[at] = key, k
+        self.rank = np.array([*self.scores, -np.inf])
+        self.lengths = np.array([1 if k == BYTE else len(p) for p, k in zip(self.pieces, self.kinds, strict=True)])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+
+    def _pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The piece that each pair makes, or -1."""
+        keys = np.where(second >= 0, first << 21 | second, -2)
+        at = self._slot(keys)
+        held = self.slots[at]
+        out = np.where(held == keys, self.made[at], -1)
+        more = np.flatnonzero((held != keys) & (held >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) & ((1 << PAIR_BITS) - 1)
+            held = self.slots[at[more]]
+            hit = held == keys[more]
+            out[more[hit]] = self.made[at[more[hit]]]
+            more = more[~hit & (held >= 0)]
+        return out
+
+    def _merge_group(self, symbols: np.ndarray) -> np.ndarray:
+        """Merges in all rows at once, in each row the best pair, the leftmost first among equals, until none is a piece.
+
+        symbols: a row for each segment, filled up with -1; gives the same shape.
+        """
+        out = np.full_like(symbols, -1)
+        rows = np.arange(len(symbols))
+        width = symbols.shape[1]
+        made = self._pairs(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(-1, width - 1)
+        columns = np.arange(width - 1)
+        while len(rows):
+            rank = self.rank[made]
+            j = rank.argmax(axis=1)
+            here = np.arange(len(rows))
+            live = made[here, j] >= 0
+            if not live.all():
+                out[rows[~live]] = symbols[~live]
+                rows, symbols, made, j = rows[live], symbols[live], made[live], j[live]
+                here = here[: len(rows)]
+                if not len(rows):
+                    break
+            symbols[here, j] = made[here, j]
+            gone = columns[:-1] >= j[:, None]
+            symbols[:, 1:-1] = np.where(gone, symbols[:, 2:], symbols[:, 1:-1])
+            symbols[:, -1] = -1
+            made[:, :-1] = np.where(gone, made[:, 1:], made[:, :-1])
+            made[:, -1] = -1
+            made[here, j] = self._pairs(symbols[here, j], symbols[here, j + 1])
+            left = np.flatnonzero(j > 0)
+            made[left, j[left] - 1] = self._pairs(symbols[left, j[left] - 1], symbols[left, j[left]])
+        return out
+
+    def _merge_long(self, segment: str) -> list[int]:
+        """The same for one very long segment, by a heap and a linked list, in n log n."""
         parts: list[str | None] = list(segment)
         n = len(parts)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -202,46 +292,100 @@ class Model:
                 left[right[j]] = i
             offer(left[i], i)
             offer(i, right[i])
-        return [p for p in parts if p is not None]
-
-    def segment(self, segment: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids of one segment and the normalised bytes that each covers; only the last of an unknown character's bytes covers any."""
-        found = self.cache.get(segment)
-        if found is None:
-            ids: list[int] = []
-            lengths: list[int] = []
-            for part in self._merge(segment):
-                k, data = self.by_text.get(part), part.encode()
-                if k is not None or self.byte_ids is None:
-                    ids.append(self.unknown if k is None else k)
-                    lengths.append(len(data))
-                else:
-                    ids.extend(self.byte_ids[b] for b in data)
-                    lengths.extend([0] * (len(data) - 1) + [len(data)])
-            found = tuple(ids), tuple(lengths)
-            if len(segment) <= 64:
-                if len(self.cache) >= CACHED_SEGMENTS:
-                    self.cache.clear()
-                self.cache[segment] = found
-        return found
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids without the end id, and the first and last source byte (exclusive) of each."""
-        normalised, source = self.normalise(text)
-        found = [self.segment(s) for s in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", normalised)]
-        ids = np.fromiter(chain.from_iterable(x[0] for x in found), dtype=np.int32)
-        ends = np.cumsum(np.fromiter(chain.from_iterable(x[1] for x in found), dtype=np.int64))
-        starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        if source is None:
-            # Marks before each normalised byte; each stands for one source byte, the prefix's for none.
-            data = np.frombuffer(normalised.encode(), dtype=np.uint8)
-            source = np.arange(len(data) + 1)
-            if len(data) > 2:
-                is_mark = np.zeros(len(data) + 1, dtype=np.int64)
-                is_mark[3:] = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
-                source = source - 2 * np.cumsum(is_mark) - self.dummy_prefix
-                source[: 3 * self.dummy_prefix] = 0
-        return ids, source[starts], source[ends]
+        return [self.by_text[p] if p in self.by_text else int(self.char_ids[ord(p)]) for p in parts if p is not None]
+
+    def _symbols(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The merged symbols of many segments, one after the other, and how many each has."""
+        sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
+        chars = self.char_ids[np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32)]
+        starts = np.cumsum(sizes) - sizes
+        found: list[np.ndarray] = []
+        counts = np.zeros(len(segments), dtype=np.int64)
+        which: list[np.ndarray] = []
+        low = 0
+        for width in (6, 10, 14, 20, 32, SHORT):
+            group = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            for at in range(0, len(group), GROUP_ROWS):
+                some = group[at : at + GROUP_ROWS]
+                grid = np.arange(width)[None, :]
+                inside = grid < sizes[some][:, None]
+                spots = np.minimum(starts[some][:, None] + grid, len(chars) - 1)
+                merged = self._merge_group(np.where(inside, chars[spots], -1))
+                kept = merged >= 0
+                counts[some] = kept.sum(axis=1)
+                found.append(merged[kept])
+                which.append(some)
+        for k in np.flatnonzero(sizes > SHORT):
+            found.append(np.array(self._merge_long(segments[k]), dtype=np.int64))
+            counts[k] = len(found[-1])
+            which.append(np.array([k]))
+        if not which:
+            return np.zeros(0, dtype=np.int64), counts
+        order = np.concatenate(which)
+        begins = np.zeros(len(segments), dtype=np.int64)
+        begins[order] = np.cumsum(counts[order]) - counts[order]
+        return _gather(np.concatenate(found), begins, counts), counts
+
+    def _learn(self, segments: list[str]) -> None:
+        """Puts new segments' ids, and the normalised bytes that each covers, into the pool."""
+        symbols, counts = self._symbols(segments)
+        plain = symbols < self.n
+        ids, covered = symbols, np.where(plain, self.lengths[np.where(plain, symbols, 0)], 0)
+        if not plain.all():  # characters of several bytes that no piece has
+            owner = np.repeat(np.arange(len(segments)), counts)
+            out_ids, out_covered, out_owner, at = [], [], [], 0
+            for k in np.flatnonzero(~plain):
+                data = chr(int(symbols[k]) - self.n).encode()
+                own = [self.byte_ids[b] for b in data] if self.byte_ids is not None else [self.unknown]
+                out_ids += [ids[at:k], np.array(own)]
+                out_covered += [covered[at:k], np.array([*[0] * (len(own) - 1), len(data)])]
+                out_owner += [owner[at:k], np.full(len(own), owner[k])]
+                at = k + 1
+            ids, covered, owner = (np.concatenate([*x, y[at:]]) for x, y in ((out_ids, ids), (out_covered, covered), (out_owner, owner)))
+            counts = np.bincount(owner, minlength=len(segments))
+        begin = len(self.pool_ids)
+        self.pool_begins = np.concatenate((self.pool_begins, begin + np.cumsum(counts) - counts))
+        self.pool_counts = np.concatenate((self.pool_counts, counts))
+        self.pool_ids = np.concatenate((self.pool_ids, ids.astype(np.int32)))
+        self.pool_covered = np.concatenate((self.pool_covered, covered.astype(np.int32)))
+
+    def _forget(self) -> None:
+        self.known = Numbers()
+        self.pool_begins = self.pool_counts = np.zeros(0, dtype=np.int64)
+        self.pool_ids = self.pool_covered = np.zeros(0, dtype=np.int32)
+
+    def encode_many(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its ids without the end id, and the first and last source byte (exclusive) of each."""
+        if len(self.known) > CACHED_SEGMENTS or len(self.pool_ids) > 8 * CACHED_SEGMENTS:
+            self._forget()
+        normalised = [self.normalise(t) for t in texts]
+        cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        segments = [cut(n) for n, _ in normalised]
+        number = self.known.__getitem__
+        places = [np.fromiter(map(number, own), dtype=np.int64, count=len(own)) for own in segments]
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        for (text, source), at in zip(normalised, places, strict=True):
+            begins, counts = self.pool_begins[at], self.pool_counts[at]
+            ids = _gather(self.pool_ids, begins, counts)
+            ends = np.cumsum(_gather(self.pool_covered, begins, counts), dtype=np.int64)
+            starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+            if source is None:
+                source = self._by_marks(text)
+            yield ids, source[starts], source[ends]
+
+    def _by_marks(self, text: str) -> np.ndarray:
+        """Source bytes of normalised bytes where every mark stands for one space, and the prefix for nothing."""
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        source = np.arange(len(data) + 1)
+        if len(data) > 2:
+            is_mark = np.zeros(len(data) + 1, dtype=np.int64)
+            is_mark[3:] = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+            source = source - 2 * np.cumsum(is_mark) - self.dummy_prefix
+            source[: 3 * self.dummy_prefix] = 0
+        return source
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: marks are spaces, the prefix's is dropped, bytes are read as UTF-8."""
@@ -252,6 +396,14 @@ class Model:
         return data.decode(errors="replace")
 
 
+def _gather(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at begins, one after the other."""
+    if not len(counts):
+        return values[:0]
+    ends = np.cumsum(counts)
+    return values[np.arange(ends[-1]) + np.repeat(begins - ends + counts, counts)]
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Model:
     return Model(path)
@@ -270,8 +422,7 @@ def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", id_col:
             for at in range(0, whole.num_rows, OUT_ROWS):
                 batch = whole.slice(at, OUT_ROWS)
                 ids, starts, ends, decoded = [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    got, first, last = model.encode(text)
+                for got, first, last in model.encode_many(batch.column(1).to_pylist()):
                     size = np.array([last[-1] if len(last) else 0])
                     ids.append(np.append(got, np.int32(model.end)))
                     starts.append(np.concatenate((first, size)).astype(np.int32))
