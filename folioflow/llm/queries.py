@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat_format, quality_rules, sentencepiece_codec, url_filters
+from folioflow.llm import chat_format, jpeg, quality_rules, sentencepiece_codec, url_filters
 from folioflow.llm.common import table
 
 
@@ -51,6 +51,23 @@ FROM placed GROUP BY conv_id, part, perspective
 """
 
 
+# -- op4 ---------------------------------------------------------------------------------
+
+
+def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read_back = jpeg.describe(jpeg.store_payloads(table(spark, sf_dir, "documents")))
+    return read_back.select(
+        "doc_id",
+        "n_bytes",
+        F.length("thumbnail").cast("long").alias("payload_bytes"),
+        F.sha2("thumbnail", 256).alias("payload_sha256"),
+        F.crc32(F.substring("thumbnail", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.col("width"), F.lit("x"), F.col("height"), F.lit(" a"), "average_hash", F.lit(" d"), "difference_hash").alias("feature"),
+    )
+
+
 # -- op5 ---------------------------------------------------------------------------------
 
 
@@ -148,6 +165,6 @@ FROM parts LEFT JOIN best USING (rid)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_chat_perspectives, op5_quality_rules, op9_sentencepiece, op10_url_filters)
+    f.__name__: f for f in (op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op9_sentencepiece, op10_url_filters)
 }
 ORACLE_SQL = {"op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL}
