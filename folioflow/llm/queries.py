@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat_format, jpeg, quality_rules, sentencepiece_codec, url_filters
+from folioflow.llm import chat_format, jpeg, mixing, quality_rules, sentencepiece_codec, url_filters
 from folioflow.llm.common import table
 
 
@@ -107,6 +107,13 @@ FROM v
 """
 
 
+# -- op7 ---------------------------------------------------------------------------------
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
+
+
 # -- op9 ---------------------------------------------------------------------------------
 
 
@@ -165,6 +172,6 @@ FROM parts LEFT JOIN best USING (rid)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op9_sentencepiece, op10_url_filters)
+    f.__name__: f for f in (op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op7_source_mix, op9_sentencepiece, op10_url_filters)
 }
 ORACLE_SQL = {"op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL}
