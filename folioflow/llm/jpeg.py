@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.session import ship
+
 ROW = 192
 MAX_ROWS = 8191
 BATCH_BYTES = 2 << 20
@@ -365,6 +367,7 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def store_payloads(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, n_bytes and media: the text's UTF-8 bytes, filled up with spaces to a positive multiple of 192, as JPEG."""
+    ship(df.sparkSession)
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,6 +383,7 @@ def store_payloads(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def describe(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Adds width, height, n_images, thumbnail (the DC-only luminance, images one after the other), average_hash, difference_hash."""
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c not in ("width", "height", "n_images", "thumbnail", "average_hash", "difference_hash")]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     at = kept.index(media_col)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat_format, jpeg, mixing, quality_rules, sentencepiece_codec, url_filters
-from folioflow.llm.common import table
+from folioflow.llm import chat_format, jpeg, language_id, mixing, quality_rules, sentencepiece_codec, toxicity, url_filters
+from folioflow.llm.common import id_remainder, table
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -107,6 +107,18 @@ FROM v
 """
 
 
+# -- op6 ---------------------------------------------------------------------------------
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(id_remainder("doc_id", 5) != 0)
+    model = toxicity.fit(documents, labels)
+    held = documents.select("doc_id", "text", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
+    scored = toxicity.score(held, model, keep=("held_out",))
+    return scored.select("doc_id", "held_out", "score", toxicity.is_toxic().alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+
+
 # -- op7 ---------------------------------------------------------------------------------
 
 
@@ -114,6 +126,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
 
 
+# -- op8 ---------------------------------------------------------------------------------
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
+    model = language_id.fit(documents.filter(~F.col("held_out")))
+    return language_id.predict(documents, model, keep=("held_out",))
+
+
 # -- op9 ---------------------------------------------------------------------------------
 
 
@@ -172,6 +193,6 @@ FROM parts LEFT JOIN best USING (rid)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op7_source_mix, op9_sentencepiece, op10_url_filters)
+    f.__name__: f for f in (op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op6_toxicity, op7_source_mix, op8_language, op9_sentencepiece, op10_url_filters)
 }
 ORACLE_SQL = {"op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL}

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.session import ship
+
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 SHORT = 48  # characters of segments that are merged in step with others
@@ -414,6 +416,7 @@ RESULT = "ids array<int>, starts array<int>, ends array<int>, decoded string"
 
 def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, ids with the end id, byte spans of each id in the source (the end id's is empty) and the decoded text."""
+    ship(df.sparkSession)
     id_type = df.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

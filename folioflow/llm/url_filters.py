@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.session import ship
+
 BLOCK_BITS = 512
 MAX_FILTER_BYTES = 64 << 20
 
@@ -116,7 +118,7 @@ def match(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", max_byte
 
     listed: columns host, path, kind, verdict. An entry of kind ``rule`` goes before any other kind.
     """
-    spark = pages.sparkSession
+    spark = ship(pages.sparkSession)
     parsed = parse(pages.select(id_col, "url")).select(id_col, "host", "path")
     bloom = spark.sparkContext.broadcast(build_filter(listed, max_bytes))
 
