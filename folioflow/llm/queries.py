@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat_format, jpeg, language_id, mixing, pii, quality_rules, sentencepiece_codec, toxicity, url_filters
+from folioflow.llm import chat_format, jpeg, language_id, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, toxicity, url_filters
 from folioflow.llm.common import id_remainder, table
 
 
@@ -24,6 +24,13 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"))
 
 
+# -- op2 ---------------------------------------------------------------------------------
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 # -- op3 ---------------------------------------------------------------------------------
 
 
@@ -200,6 +207,6 @@ FROM parts LEFT JOIN best USING (rid)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_pseudonyms, op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op6_toxicity, op7_source_mix, op8_language, op9_sentencepiece, op10_url_filters)
+    f.__name__: f for f in (op1_pii_pseudonyms, op2_ngram_join, op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op6_toxicity, op7_source_mix, op8_language, op9_sentencepiece, op10_url_filters)
 }
 ORACLE_SQL = {"op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL}

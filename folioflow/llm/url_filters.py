@@ -18,16 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.bloom import MAX_FILTER_BYTES, build
 from folioflow.session import ship
 
-BLOCK_BITS = 512
-MAX_FILTER_BYTES = 64 << 20
-
-
 def parse(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds host and path: the host lower-cased in A-Z, both empty without ``://``."""
     url = F.col(url_col)
@@ -42,57 +38,6 @@ def parse(df: DataFrame, url_col: str = "url") -> DataFrame:
     ).drop("__rest")
 
 
-def _spots(hashes: np.ndarray, blocks: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block of each hash and its bits inside that block."""
-    h = hashes.view(np.uint64)
-    block = (h >> np.uint64(32)) % np.uint64(blocks)
-    step = np.arange(1, probes + 1, dtype=np.uint64)[None, :]
-    low = h[:, None] & np.uint64(0xFFFFFFFF)
-    mixed = (low * (step * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))) >> np.uint64(55)
-    return block.astype(np.int64), mixed.astype(np.int64)
-
-
-class BlockedBloom:
-    """Bits in blocks of one cache line each: a key's probes all fall into one block."""
-
-    def __init__(self, n_keys: int, bits_per_key: int = 12, probes: int = 6, max_bytes: int = MAX_FILTER_BYTES) -> None:
-        self.probes = probes
-        self.blocks = max(1, -(-n_keys * bits_per_key // BLOCK_BITS))
-        # Beyond the bound the filter stays at the bound: more false positives, which the join removes.
-        self.blocks = min(self.blocks, max_bytes * 8 // BLOCK_BITS)
-        self.bits = np.zeros((self.blocks, BLOCK_BITS // 8), dtype=np.uint8)
-
-    def add(self, hashes: np.ndarray) -> None:
-        block, bit = _spots(hashes, self.blocks, self.probes)
-        np.bitwise_or.at(self.bits, (block[:, None], bit >> 3), np.uint8(1) << (bit & 7).astype(np.uint8))
-
-    def may_have(self, hashes: np.ndarray) -> np.ndarray:
-        block, bit = _spots(hashes, self.blocks, self.probes)
-        return ((self.bits[block[:, None], bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=1)
-
-
-def build_filter(listed: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> BlockedBloom:
-    """The filter over the keys of the list, made in the tasks and merged by OR, block range by block range."""
-    keys = listed.select(F.xxhash64(_list_key()).alias("h"))
-    n = keys.count()
-    empty = BlockedBloom(n, max_bytes=max_bytes)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, int] = {}
-        for batch in batches:
-            block, bit = _spots(batch.column(0).to_numpy(zero_copy_only=False), empty.blocks, empty.probes)
-            for b, byte, value in zip(np.repeat(block, bit.shape[1]), (bit >> 3).ravel(), (1 << (bit & 7)).ravel(), strict=True):
-                at = int(b) * (BLOCK_BITS // 8) + int(byte)
-                own[at] = own.get(at, 0) | int(value)
-        if own:
-            yield pa.RecordBatch.from_pydict({"at": pa.array(list(own), pa.int64()), "value": pa.array(list(own.values()), pa.int32())})
-
-    # At most one row for each byte of the filter, whose size is bounded.
-    filled = keys.mapInArrow(fill, "at long, value int").groupBy("at").agg(F.bit_or("value").alias("value")).toPandas()
-    empty.bits.reshape(-1)[filled["at"].to_numpy()] = filled["value"].to_numpy().astype(np.uint8)
-    return empty
-
-
 def _list_key():
     """An entry's key: its host and its path up to and with the last slash."""
     return F.concat(F.col("host"), F.lit("|"), F.regexp_extract("path", r"(?s)^.*/|^", 0))
@@ -120,7 +65,7 @@ def match(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", max_byte
     """
     spark = ship(pages.sparkSession)
     parsed = parse(pages.select(id_col, "url")).select(id_col, "host", "path")
-    bloom = spark.sparkContext.broadcast(build_filter(listed, max_bytes))
+    bloom = spark.sparkContext.broadcast(build(listed.select(F.xxhash64(_list_key()).alias("h")), max_bytes))
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
