@@ -18,8 +18,12 @@ dealt out by pairs of chunks. Parity bits of the sets drop pairs that differ too
 the task, which loses none.
 
 A group of very many near copies isn't expanded into its pairs: a first round links the members of long
-lists with leaders, those with the fewest tokens of their own, and verifies those pairs. The second round
-looks at all lists, and leaves out only pairs that are connected already.
+lists with leaders, those with the fewest tokens of their own, a second round each member with the one outside of
+its component that its parity bits are nearest to; both verify their pairs. The last round looks at all lists, and
+leaves out only pairs that are connected already.
+
+Lists go to buckets by classes of size, as partners' sizes are alike, and a class is cut into as many buckets
+as its postings fill: a pair of partners meets in few of them, so its shared tokens are summed before the shuffle.
 
 Edge cases: a null or empty text, or one without words, has no shingle, is linked with nothing
 and its own component; a text of fewer than five words is one shingle of all of them; repeated ids and
@@ -52,13 +56,16 @@ MAX_MATCHES = 8
 #: Costs of meeting a class in a list and of verifying a candidate.
 SCAN_COST, VERIFY_COST = 1.0, 20.0
 CHUNK = 1024
-#: Lists from this length on take part in the round of leaders.
-LEADER_LIST = 4
+#: Lists from this length on take part in the rounds of leaders and of nearest.
+LONG_LIST = 4
 SLICE_TOKENS = 400_000
-PAIRS_AT_ONCE = 100_000
+BUCKET_BYTES = 24 << 20
+PAIRS_AT_ONCE = 250_000
+#: Rounds of candidates, in this order.
+LEADERS, NEAREST, ALL = "leaders", "nearest", "all"
 OUT_ROWS = 2000
 
-ENTRY = np.dtype([("list", "<u8"), ("key", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("rank", "<u2"), ("level", "u1"), ("matches", "u1"), ("side", "u1"), ("bits", "<u8", 8)])
+ENTRY = np.dtype([("list", "<u8"), ("key", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("rank", "<u2"), ("level", "u1"), ("matches", "u1"), ("side", "u1"), ("lower", "u1"), ("bits", "<u8", 8)])
 
 
 def _least_overlap(n: np.ndarray, threshold: int) -> np.ndarray:
@@ -236,14 +243,32 @@ def _prefixes(slices: DataFrame, counts: DataFrame, threshold: int, counted: flo
 # -- candidates --------------------------------------------------------------------------
 
 
-def _deal(alive: DataFrame, buckets: int, leaders: bool) -> DataFrame:
-    """bucket, entries: postings of the lists, packed; a long list's by pairs of its chunks, or chunk by chunk for leaders."""
+def _size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes from a power of four up to the next are one class."""
+    return (np.frexp(n.astype(np.float64))[1] - 1) // 2
+
+
+def _buckets(alive: DataFrame) -> dict[int, int]:
+    """How many buckets each class of sizes fills: one row for each power of four is all that comes to the driver."""
+    size_class = F.floor(F.log(2.0, F.col("n") + 0.5) / 2).cast("int")
+    rows = alive.groupBy(size_class.alias("c")).agg(F.sum(F.length("tokens") / 8).alias("postings")).collect()
+    return {r["c"]: int(r["postings"] * ENTRY.itemsize // BUCKET_BYTES) + 1 for r in rows}
+
+
+def _deal(alive: DataFrame, buckets: dict[int, int], kind: str, threshold: int) -> DataFrame:
+    """bucket, entries: postings of the lists, packed.
+
+    For all pairs a long list is dealt by pairs of its chunks, else chunk by chunk. A posting near the upper end of its
+    class of sizes is dealt to the next class, too, where it meets only those of that class.
+    """
+    most = max(buckets, default=0) + 2
+    parts = np.array([buckets.get(c, 1) for c in range(most + 1)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, OUT_ROWS):
                 batch = whole.slice(first, OUT_ROWS)
-                get = lambda c: batch.column(c).to_pylist()
+                get = lambda c: batch.column(c).to_pylist()  # noqa: E731, B023
                 raws = get(6)
                 lengths = np.array([len(t) // 8 for t in raws], dtype=np.int64)
                 owner = np.repeat(np.arange(len(raws)), lengths)
@@ -255,19 +280,25 @@ def _deal(alive: DataFrame, buckets: int, leaders: bool) -> DataFrame:
                     e[name] = np.array(get(c), dtype=np.int64)[owner]
                 e["bits"] = np.frombuffer(b"".join(get(5)), dtype="<u8").reshape(-1, 8)[owner]
                 chunks = -(-df // CHUNK)
-                own = (mix(e["key"].view(np.uint64)) % chunks.astype(np.uint64)).astype(np.int64)
-                if leaders:
-                    e = e[df >= LEADER_LIST]
-                    own, other = own[df >= LEADER_LIST], own[df >= LEADER_LIST]
-                else:
-                    times = np.where(chunks > 1, chunks, 1)
-                    again = np.repeat(np.arange(len(e)), times)
-                    other = np.arange(len(again)) - (np.cumsum(times) - times)[again]
+                # By list and class, so that two classes in one long list often meet in a chunk of another.
+                own = (mix(mix(e["list"]) ^ e["key"].astype(np.uint64)) % chunks.astype(np.uint64)).astype(np.int64)
+                if kind == ALL:
+                    again = np.repeat(np.arange(len(e)), chunks)
+                    other = np.arange(len(again)) - (np.cumsum(chunks) - chunks)[again]
                     e, own = e[again], own[again]
+                else:
+                    e, own = e[df >= LONG_LIST], own[df >= LONG_LIST]
+                    other = own
                 low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
                 e["side"] = np.where(low == high, 2, own > other)
-                e["list"] = mix(e["list"] + low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xD1B54A32D192ED03))
-                bucket = (e["list"] % np.uint64(buckets)).astype(np.int64)
+                size_class = _size_class(e["n"])
+                near = np.flatnonzero(e["n"].astype(np.int64) * 100 >= threshold * 4 ** (size_class + 1).astype(np.int64))
+                raised = e[near]
+                raised["lower"] = 1
+                e, low, high = (np.concatenate((x, y)) for x, y in ((e, raised), (low, low[near]), (high, high[near])))
+                size_class = np.concatenate((size_class, size_class[near] + 1)).astype(np.uint64)
+                e["list"] = mix(e["list"] + low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xD1B54A32D192ED03) + size_class * np.uint64(0xA0761D6478BD642F))
+                bucket = (size_class << np.uint64(40) | e["list"] % parts[size_class.astype(np.int64)]).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 e, bucket = e[order], bucket[order]
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
@@ -283,7 +314,7 @@ def _fits(e: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.nda
     fine = (e["comp"][a] != e["comp"][b]) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * threshold)
     fine &= np.maximum(e["level"][a], e["level"][b]) <= np.minimum(e["matches"][a], e["matches"][b])
     sides = e["side"][a], e["side"][b]
-    fine &= (sides[0] == 2) | (sides[0] != sides[1])
+    fine &= ((sides[0] == 2) | (sides[0] != sides[1])) & ((e["lower"][a] & e["lower"][b]) == 0)
     at = np.flatnonzero(fine)
     # At least 2 t / (1 + t) of the sizes' sum is shared by partners, so at most the rest of it differs.
     differ = np.bitwise_count(e["bits"][a[at]] ^ e["bits"][b[at]]).sum(axis=1, dtype=np.int64)
@@ -315,9 +346,27 @@ def _leader_pairs(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshol
             order = order[1:][~led]
 
 
-def _candidates(alive: DataFrame, buckets: int, threshold: int, leaders: bool) -> DataFrame:
+def _nearest_pairs(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each entry the one of its list, among those that may link with it, that its bits are nearest to."""
+    order = np.lexsort((e["key"], e["rank"]))
+    place = np.empty(len(e), dtype=np.uint64)
+    place[order] = np.arange(len(e), dtype=np.uint64)
+    none = np.uint64(2**64 - 1)
+    best = np.full(len(e), none)
+    for a, b in _all_pairs(e, starts, sizes, threshold):
+        differ = np.bitwise_count(e["bits"][a] ^ e["bits"][b]).sum(axis=1, dtype=np.uint64)
+        share = (differ * np.uint64(1 << 16) // (e["n"][a].astype(np.uint64) + e["n"][b])) << np.uint64(32)
+        np.minimum.at(best, a, share | place[b])
+        np.minimum.at(best, b, share | place[a])
+    has = np.flatnonzero(best != none)
+    yield has, order[(best[has] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+
+
+def _candidates(alive: DataFrame, buckets: dict[int, int], threshold: int, kind: str) -> DataFrame:
     """Pairs (a, b), a below b, with as many shared tokens in their prefixes as their multi-match wants."""
 
+    choose = {LEADERS: _leader_pairs, NEAREST: _nearest_pairs, ALL: _all_pairs}[kind]
+
     def pair(table: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(table.column("entries").to_pylist()), dtype=ENTRY)
         e = e[np.argsort(e["list"], kind="stable")]
@@ -326,7 +375,7 @@ def _candidates(alive: DataFrame, buckets: int, threshold: int, leaders: bool) -
         comps = e["comp"]
         mixed = (np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)) & (sizes > 1)
         found = []
-        for a, b in (_leader_pairs if leaders else _all_pairs)(e, starts[mixed], sizes[mixed], threshold):
+        for a, b in choose(e, starts[mixed], sizes[mixed], threshold):
             if len(a):
                 wanted = np.minimum(e["matches"][a], e["matches"][b])
                 found.append(pd.DataFrame({"a": np.minimum(e["key"][a], e["key"][b]), "b": np.maximum(e["key"][a], e["key"][b]), "wanted": wanted.astype(np.int32)}))
@@ -335,7 +384,7 @@ def _candidates(alive: DataFrame, buckets: int, threshold: int, leaders: bool) -
         counted = pd.concat(found).groupby(["a", "b", "wanted"]).size().reset_index(name="shared")
         return pa.Table.from_pandas(counted, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("wanted", pa.int32()), ("shared", pa.int64())]), preserve_index=False)
 
-    met = _deal(alive, buckets, leaders).groupBy("bucket").applyInArrow(pair, "a long, b long, wanted int, shared long")
+    met = _deal(alive, buckets, kind, threshold).groupBy("bucket").applyInArrow(pair, "a long, b long, wanted int, shared long")
     return met.groupBy("a", "b", "wanted").agg(F.sum("shared").alias("shared")).filter("shared >= wanted").select("a", "b")
 
 
@@ -380,19 +429,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def _linked(df: DataFrame, text_col: str, id_col: str, threshold: int, counted: float, max_matches: int) -> DataFrame:
     """For every row of df: id, text_hash, n, key, and comp, which is equal in one component (key where there is no link)."""
-    buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count_buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = cut(shingled(df, text_col, id_col))
     full = shingled(df, text_col, id_col, True, threshold, counted).filter("n > 0")
     classes = full.groupBy("key", "check", "n").agg(F.min("id").alias("first_id"), F.first("bits").alias("bits"), F.first("head").alias("head"))
     slices = cut(_slices(classes.withColumn("id_hash", F.xxhash64("first_id"))))
-    alive = cut(_prefixes(slices, _counts(slices, buckets), threshold, counted, max_matches))
+    alive = cut(_prefixes(slices, _counts(slices, count_buckets), threshold, counted, max_matches))
     sets = cut(_whole_sets(df, alive, text_col, id_col))
-    led = _candidates(alive.withColumn("comp", F.col("key")), buckets, threshold, True)
-    first = cut(_verified(led, sets, threshold))
-    grouped = components(first).withColumnRenamed("node", "key")
-    marked = alive.join(grouped, "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    second = _verified(_candidates(marked, buckets, threshold, False), sets, threshold)
-    linked = components(first.union(second)).withColumnRenamed("node", "key")
+    buckets = _buckets(alive)
+    links = None
+    marked = alive.withColumn("comp", F.col("key"))
+    for kind in (LEADERS, NEAREST, ALL):
+        found = cut(_verified(_candidates(marked, buckets, threshold, kind), sets, threshold))
+        links = found if links is None else links.union(found)
+        linked = components(links).withColumnRenamed("node", "key")
+        marked = alive.join(linked, "key", "left").withColumn("comp", F.coalesce("component", "key"))
     return docs.join(linked, "key", "left").select("id", "text_hash", "n", "key", F.coalesce("component", "key").alias("comp"))
 
 
