@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.plans import analytics, rules
+from folioflow.plans import analytics, flows, rules
 
-QUERIES = {**analytics.QUERIES, **rules.QUERIES}
-SQL = {**analytics.SQL, **rules.SQL}
+QUERIES = {**analytics.QUERIES, **rules.QUERIES, **flows.QUERIES}
+SQL = {**analytics.SQL, **rules.SQL, **flows.SQL}
