@@ -18,7 +18,7 @@ FEES = "officialSlug string, officialName string, pdfFile string, filingLabel st
 SOURCE_DOCS = "official string, displayName string, generatedAt string, documents array<struct<kind: string, label: string, title: string, filedDate: string, publiclyDownloadable: boolean, pdfPath: string, ogeUrl: string, summary: string>>"
 HOLDINGS = "section string, itemNumber string, parentItemNumber string, description string, ticker string, isEIF boolean, eif string, value string, incomeType string, incomeAmt struct<bucket: string, exact: string>"
 DIVESTITURE = "confirmedDate string, promises array<struct<entity: string, ticker: string, section: string, action: string, deadline: string, matchedSaleTickers: array<string>, matchedSaleDescriptionTokens: array<string>>>"
-PARSED = f"transactions array<struct<description: string, ticker: string, type: string, date: string, amount: string, lateFilingFlag: boolean, notes: string, confidence: double>>, tokenUsage struct<inputTokens: long, outputTokens: long, estimatedCostUsd: double>, model string, pdfPath string"
+PARSED = "transactions array<struct<description: string, ticker: string, type: string, date: string, amount: string, lateFilingFlag: boolean, notes: string, confidence: double>>, tokenUsage struct<inputTokens: long, outputTokens: long, estimatedCostUsd: double>, model string, pdfPath string"
 LOG_ENTRY = "date string, lede string, trackedOfficialCount int, items array<struct<slug: string, name: string, newCount: int>>"
 LAST_CHECK = "lastChecked string, knownFilings map<string, int>, knownFilingsByOfficial map<string, int>, knownFilingUrls array<string>, newFilings array<struct<name: string, pdfUrl: string, docDate: string, status: string>>"
 
@@ -35,7 +35,9 @@ def read_json(spark: SparkSession, path: str, schema: str, optional: bool = Fals
         if not optional or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], f"{schema}, file string")
-    return read.withColumn("file", F.col("_metadata.file_name")).filter("__corrupt IS NULL").drop("__corrupt")
+    # The second condition always holds; a query of the corrupt record's column alone is refused.
+    parsed = F.coalesce(F.length(F.to_json(F.struct(F.col(read.columns[0])))), F.lit(0)) >= 0
+    return read.withColumn("file", F.col("_metadata.file_name")).filter(F.col("__corrupt").isNull() & parsed).drop("__corrupt")
 
 
 def officials(spark: SparkSession, path: str) -> DataFrame:
