@@ -240,3 +240,13 @@ def page_labels(page: Column, last: Column) -> Column:
 def idempotency_key(urls: Column) -> Column:
     """One hash for a set of links, whatever their order and repeats."""
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(urls)), "\n"), 256)
+
+
+def subject(name: Column, n: Column) -> Column:
+    """A mail's subject: the one official's name, or how many there are."""
+    return F.when(n == 1, F.concat(name, F.lit(": new filing"))).otherwise(F.concat(n.cast("string"), F.lit(" new filings")))
+
+
+def nonzero_text(counts: dict[str, Column]) -> Column:
+    """The counts that aren't zero, named, in one text."""
+    return F.concat_ws(", ", *(F.when(n > 0, F.concat(F.lit(f"{name}: "), n.cast("string"))) for name, n in counts.items()))

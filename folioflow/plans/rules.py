@@ -354,3 +354,57 @@ def a30_j11_checks(s, d):
 @query(f"""WITH {TX_SQL}, p AS (SELECT official_id, count(*) - count(DISTINCT (description, date)) AS duplicates FROM tx GROUP BY 1) SELECT * FROM p WHERE duplicates > 0""")
 def u12_duplicates(s, d):
     return merging.duplicates(transactions(s, d), "official_id", ["description", "date"])
+
+
+# -- small rules of texts, ticks and lookups -----------------------------------------------
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 1 THEN s_name || ': new filing' ELSE (s_suppkey % 4) || ' new filings' END AS subject,
+CASE s_suppkey % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'default' ELSE 'low' END AS priority, CASE WHEN s_suppkey % 3 = 0 THEN 'URGENT: ' ELSE '' END || s_name AS headline,
+concat_ws(', ', CASE WHEN s_suppkey % 2 > 0 THEN 'orphans: ' || s_suppkey % 2 END, CASE WHEN s_suppkey % 5 > 0 THEN 'blanks: ' || s_suppkey % 5 END) AS checks FROM supplier""")
+def x47_x51_x55_texts(s, d):
+    k = F.col("s_suppkey")
+    alerts = F.create_map(*(F.lit(x) for pair in {"failure": "urgent", "review": "default", "info": "low"}.items() for x in pair))
+    kind = F.when(k % 3 == 0, "failure").when(k % 3 == 1, "review").otherwise("info")
+    return table(s, d, "supplier").select(
+        k.alias("id"),
+        scalars.subject(F.col("s_name"), k % 4).alias("subject"),
+        alerts[kind].alias("priority"),
+        F.concat(F.when(alerts[kind] == "urgent", "URGENT: ").otherwise(""), "s_name").alias("headline"),
+        scalars.nonzero_text({"orphans": k % 2, "blanks": k % 5}).alias("checks"),
+    )
+
+
+@query("SELECT doc_id, contains(text, '278') OR contains(text, 'tion') AS loose, regexp_matches(text, '(?i)278\\s+transaction') OR regexp_matches(text, '(?i)278[\\s\\-]*t(\\(|[^A-Za-z0-9_]|$)') AS strict FROM documents")
+def x52_a37_matchers(s, d):
+    text = F.col("text")
+    return table(s, d, "documents").select("doc_id", (F.contains(text, F.lit("278")) | F.contains(text, F.lit("tion"))).alias("loose"), classify.is_periodic_report(text).alias("strict"))
+
+
+@query("""WITH m AS (SELECT k, CAST(TIMESTAMP '2024-11-01' + INTERVAL 1 MONTH * k AS DATE) AS month FROM range(14) t(k))
+SELECT month, CASE WHEN month(month) = 1 THEN strftime(month, '%b %Y') ELSE strftime(month, '%b') END AS label, round((k + 0.5) * 100 / 14, 4)::DOUBLE AS centre FROM m WHERE (month(month) - 1) % 3 = 0""")
+def x12_quarter_ticks(s, d):
+    axis = s.range(1).select(F.posexplode(F.sequence(F.lit("2024-11-01").cast("date"), F.lit("2025-12-01").cast("date"), F.expr("INTERVAL 1 MONTH"))).alias("k", "month"))
+    label = F.when(F.month("month") == 1, F.date_format("month", "MMM yyyy")).otherwise(F.date_format("month", "MMM"))
+    return axis.filter((F.month("month") - 1) % 3 == 0).select("month", label.alias("label"), F.round((F.col("k") + 0.5) * 100 / 14, 4).alias("centre"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'lede ' || o_orderkey END AS lede FROM orders")
+def s21_lede_lookup(s, d):
+    k = F.col("o_orderkey")
+    digests = table(s, d, "orders").select(k.alias("id"), F.sha2(k.cast("string"), 256).alias("send_key"))
+    stored = table(s, d, "orders").select(F.sha2(F.when(k % 3 == 0, k.cast("string")).otherwise(F.concat(k.cast("string"), F.lit("-old"))), 256).alias("send_key"), F.when(k % 2 == 0, F.concat(F.lit("lede "), k.cast("string"))).otherwise("  ").alias("lede"))
+    return digests.join(stored, "send_key", "left").select("id", F.nullif(F.trim("lede"), F.lit("")).alias("lede"))
+
+
+@query("SELECT c_custkey AS id, 'm' || c_custkey AS message FROM customer")
+def j19_paired_arrays(s, d):
+    chunks = table(s, d, "customer").groupBy((F.floor(F.col("c_custkey") / 100)).alias("chunk")).agg(F.sort_array(F.collect_list("c_custkey")).alias("ids"))
+    sent = chunks.withColumn("messages", F.transform("ids", lambda i: F.concat(F.lit("m"), i.cast("string"))))
+    return sent.select(F.explode(F.arrays_zip("ids", "messages")).alias("z")).select(F.col("z.ids").alias("id"), F.col("z.messages").alias("message"))
+
+
+@query("SELECT user_id, min_by(event_id, event_id) AS event_id, min_by(value, event_id) AS value FROM events WHERE event_type = 'purchase' AND value > 10 GROUP BY 1")
+def w11_first_qualifying(s, d):
+    rows = table(s, d, "events").filter("event_type = 'purchase' AND value > 10")
+    return merging.keep_one(rows, ["user_id"], [F.asc("event_id")]).select("user_id", "event_id", "value")
