@@ -37,7 +37,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -60,7 +59,9 @@ CHUNK = 1024
 LONG_LIST = 4
 SLICE_TOKENS = 400_000
 BUCKET_BYTES = 24 << 20
-PAIRS_AT_ONCE = 250_000
+PAIRS_AT_ONCE = 100_000
+#: Pairs in hand before their shared tokens are summed.
+SUM_PAIRS = 2_000_000
 #: Rounds of candidates, in this order.
 LEADERS, NEAREST, ALL = "leaders", "nearest", "all"
 OUT_ROWS = 2000
@@ -374,15 +375,26 @@ def _candidates(alive: DataFrame, buckets: dict[int, int], threshold: int, kind:
         sizes = np.diff(np.append(starts, len(e)))
         comps = e["comp"]
         mixed = (np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)) & (sizes > 1)
-        found = []
+        keys, first, place = np.unique(e["key"], return_index=True, return_inverse=True)
+        wanted = e["matches"][first].astype(np.int32)
+        codes, times, new, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            """The pairs so far, as numbers, each once with its shared tokens."""
+            once, spot = np.unique(np.concatenate([codes, *new]), return_inverse=True)
+            weights = np.concatenate([times, np.ones(len(spot) - len(times), dtype=np.int64)])
+            return once, np.bincount(spot, weights=weights, minlength=len(once)).astype(np.int64)
+
         for a, b in choose(e, starts[mixed], sizes[mixed], threshold):
             if len(a):
-                wanted = np.minimum(e["matches"][a], e["matches"][b])
-                found.append(pd.DataFrame({"a": np.minimum(e["key"][a], e["key"][b]), "b": np.maximum(e["key"][a], e["key"][b]), "wanted": wanted.astype(np.int32)}))
-        if not found:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "wanted": pa.array([], pa.int32()), "shared": pa.array([], pa.int64())})
-        counted = pd.concat(found).groupby(["a", "b", "wanted"]).size().reset_index(name="shared")
-        return pa.Table.from_pandas(counted, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("wanted", pa.int32()), ("shared", pa.int64())]), preserve_index=False)
+                new.append(np.minimum(place[a], place[b]) * len(keys) + np.maximum(place[a], place[b]))
+                held += len(a)
+            if held > SUM_PAIRS:
+                codes, times = summed()
+                new, held = [], 0
+        codes, times = summed()
+        low, high = codes // len(keys), codes % len(keys)
+        return pa.table({"a": keys[low], "b": keys[high], "wanted": np.minimum(wanted[low], wanted[high]), "shared": times})
 
     met = _deal(alive, buckets, kind, threshold).groupBy("bucket").applyInArrow(pair, "a long, b long, wanted int, shared long")
     return met.groupBy("a", "b", "wanted").agg(F.sum("shared").alias("shared")).filter("shared >= wanted").select("a", "b")
