@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch where the session has Spark's own 10,000: whole texts are long rows, and a task holds several batches.
+BATCH_ROWS = 2000
 
 
 def session(app: str = "folioflow", **conf: str) -> SparkSession:
@@ -18,8 +20,13 @@ def session(app: str = "folioflow", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once for each application, for functions that run in Python there."""
+    """Sends this package to the executors, once for each application, for functions that run in Python there.
+
+    Arrow batches become smaller, too, unless the session has a size of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='folioflow-')}/folioflow", "zip", root_dir=package.parent, base_dir=package.name)
