@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,19 @@ def bounded_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     hashed = df.withColumn("__h", F.xxhash64(F.lit(7), F.col(id_col)))
     most = hashed.select("__h").orderBy("__h").limit(n).agg(F.max("__h")).first()[0]
     return hashed.filter(F.col("__h") <= F.lit(most)).drop("__h") if most is not None else df.limit(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, giving the memory that its task has freed back to the system: workers wait for their next task with what they hold."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied

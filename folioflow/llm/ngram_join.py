@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import bloom
-from folioflow.llm.common import cut
+from folioflow.llm.common import cut, tidy
 from folioflow.llm.components import components
 from folioflow.llm.shingles import fingerprint, mix, parity_bits, sets_of
 from folioflow.session import ship
@@ -103,7 +103,7 @@ def shingled(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", head
     id_type = df.select(f"`{id_col}`").dtypes[0][1]
     schema = f"id {id_type}, text_hash long, key long, check long, n long" + ", bits binary, head binary" * heads
     text = F.col(f"`{text_col}`")
-    return df.select(F.col(f"`{id_col}`"), F.encode(F.coalesce(text, F.lit("")), "UTF-8"), F.xxhash64(text)).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.encode(F.coalesce(text, F.lit("")), "UTF-8"), F.xxhash64(text)).mapInArrow(tidy(run), schema)
 
 
 # -- counting ----------------------------------------------------------------------------
@@ -141,7 +141,7 @@ def _slices(classes: DataFrame) -> DataFrame:
         if held:
             yield row()
 
-    return classes.select("key", "id_hash", "n", "bits", "head").mapInArrow(run, "slice long, keys binary, ids binary, sizes binary, bits binary, lengths binary, tokens binary")
+    return classes.select("key", "id_hash", "n", "bits", "head").mapInArrow(tidy(run), "slice long, keys binary, ids binary, sizes binary, bits binary, lengths binary, tokens binary")
 
 
 def _counts(slices: DataFrame, buckets: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _prefixes(slices: DataFrame, counts: DataFrame, threshold: int, counted: flo
                     some = rows[at : at + OUT_ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], kind) for c, kind in enumerate(kinds)], names=names)
 
-    return joined.mapInArrow(run, "key long, id_hash long, n long, rank int, matches int, bits binary, tokens binary, levels binary, dfs binary")
+    return joined.mapInArrow(tidy(run), "key long, id_hash long, n long, rank int, matches int, bits binary, tokens binary, levels binary, dfs binary")
 
 
 # -- candidates --------------------------------------------------------------------------
@@ -306,7 +306,7 @@ def _deal(alive: DataFrame, buckets: dict[int, int], kind: str, threshold: int)
                 some = [(int(bucket[a]), e[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int64()), pa.array([s[1] for s in some], pa.binary())], names=["bucket", "entries"])
 
-    return alive.select("key", "id_hash", "n", "rank", "matches", "bits", "tokens", "levels", "dfs", "comp").mapInArrow(run, "bucket long, entries binary")
+    return alive.select("key", "id_hash", "n", "rank", "matches", "bits", "tokens", "levels", "dfs", "comp").mapInArrow(tidy(run), "bucket long, entries binary")
 
 
 def _fits(e: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
@@ -416,7 +416,7 @@ def _whole_sets(df: DataFrame, alive: DataFrame, text_col: str, id_col: str) ->
                 sets = list(sets_of(batch.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
 
-    found = passed.select("raw").mapInArrow(run, "key long, set binary")
+    found = passed.select("raw").mapInArrow(tidy(run), "key long, set binary")
     return found.join(alive.select("key"), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set"))
 
 
@@ -436,7 +436,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 keep.append(100 * shared >= threshold * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked(df: DataFrame, text_col: str, id_col: str, threshold: int, counted: float, max_matches: int) -> DataFrame:

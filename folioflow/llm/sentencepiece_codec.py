@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import tidy
 from folioflow.session import ship
 
 MARK = "▁"
@@ -36,7 +37,7 @@ MARK_BYTES = MARK.encode()
 SHORT = 48  # characters of segments that are merged in step with others
 GROUP_ROWS = 20_000
 PAIR_BITS = 20
-CACHED_SEGMENTS = 300_000
+CACHED_SEGMENTS = 150_000
 OUT_ROWS = 200
 #: Kinds of pieces and numbers of fields in the model file (fixed values of its public format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -436,4 +437,4 @@ def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", id_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(decoded, pa.string())], names=[id_col, "ids", "starts", "ends", "decoded"])
 
     texts = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, f"`{id_col}` {id_type}, {RESULT}")
+    return texts.mapInArrow(tidy(run), f"`{id_col}` {id_type}, {RESULT}")
