@@ -13,7 +13,7 @@ digits) and case.
 The round function is HMAC-SHA256, composed of sha2 from the key's two pads.
 
 Edge cases: a null text stays null; an empty one stays empty; numbers that fail their test stay
-as they are; equal values in one text get equal pseudonyms; upper-case e-mail addresses and
+as they are; a card is found beside other numbers of the same run; equal values in one text get equal pseudonyms; upper-case e-mail addresses and
 secrets get the pseudonym of their lower-case form, in upper case; all columns but the text
 are handed on unchanged, in their order.
 """
@@ -28,17 +28,33 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 DEFAULT_KEY = b"folioflow demonstration key"
 
+_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
+_IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
+_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
+_SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+#: Ten digits after an optional 1; without the 1 a dot, a hyphen or parentheses have to mark the area code.
+_NANP = (
+    r"(?:\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}"
+    r"|(?<![\d.+\-])(?:1[ .\-]?)?(?:\(\d{3}\)[ .\-]?\d{3}[ .\-]?|\d{3}[.\-]\d{3}[.\-])\d{4})(?!\d|[.\-]\d)"
+)
+#: What a longer number beside it must not swallow.
+_OTHER = rf"{_NANP}|{_IP}|{_DATE}|{_SSN}|{_EMAIL}"
+_CARD_LIKE = r"\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{4}|\d{13}"
+_ABROAD = rf"\+[2-9](?:(?![ .\-/](?:{_CARD_LIKE}|{_OTHER}))[ .\-/]?\(?\d\)?){{6,14}}(?!\d)"
+#: The longest run of digit groups; the cards in it are found by their check digits. Possessive: a long run takes no stack.
+_RUN = rf"(?<!\d)(?!{_OTHER})\d(?:[ \-]?(?!{_OTHER})\d){{12,}}+"
+_BARE = rf"(?!{_OTHER}|{_ABROAD}|{_RUN})"
+_VALUE = r"[A-Za-z0-9+/_=\-]{8,4096}+"
+#: Without quotes after a colon, where prose may follow, a secret has to have a digit.
+_MARK = r"(?i:token|secret|password|passwd|api_?key|key)[\"']?\s{0,4}"
+_SECRET = rf"{_MARK}(?:[=:]\s{{0,4}}(?:\"{_VALUE}\"|'{_VALUE}')|=\s{{0,4}}{_BARE}{_VALUE}|:\s{{0,4}}{_BARE}(?=[A-Za-z+/_=\-]{{0,4095}}\d){_VALUE})"
+
 #: What may be private, in the order of their alternatives. Lookarounds keep a match from being part of a longer one.
-PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?i:token|secret|password|passwd|api_?key|key)\s{0,4}[=:]\s{0,4}\"[A-Za-z0-9+/_=\-]{8,200}\"",
-    "phone": r"\+1 ?\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
-    "date": r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-]\d|\d)",
-}
+PATTERNS = {"email": _EMAIL, "secret": _SECRET, "phone": rf"{_NANP}|{_ABROAD}", "ip": _IP, "date": _DATE, "ssn": _SSN, "card": _RUN}
 ANY = "|".join(PATTERNS.values())
+#: Groups that cards are printed in, and the first digits of the usual issuers.
+CARD_GROUPS = r"^(\d+|\d{4}([ -]\d{4}){2,3}[ -]\d{1,4}|\d{4}[ -]\d{6}[ -]\d{4,5})$"
+ISSUERS = r"^([3456]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720))"
 #: Any 400 years of the calendar have 189 * 773 days.
 DATE_RADIX, FIRST_DATE = (189, 773), "1800-01-01"
 SSN_RADIX = (898 * 99, 9999)
@@ -160,15 +176,73 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
-def _card(value: Column, hmac: Hmac) -> Column:
+def _one_card(value: Column, hmac: Hmac) -> Column:
     payload = permute_digits(F.substring(_digits(value), F.lit(1), F.length(_digits(value)) - 1), hmac, "card")
     # The check digit completes the permuted payload.
     checked = F.aggregate(F.array(payload), F.lit(""), lambda _, p: F.concat(p, F.pmod(10 - luhn_sum(F.concat(p, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-    return F.when(luhn_sum(_digits(value)) % 10 == 0, _layout(value, checked)).otherwise(value)
+    return _layout(value, checked)
+
+
+def _card(run: Column, hmac: Hmac) -> Column:
+    """run with every card in it replaced: a run may hold other numbers beside a card, or several cards.
+
+    Cards begin and end at groups. Of spans that overlap, one in the groups and with the first digits of cards wins, then the
+    leftmost, then the longest. Part of a run counts only if its groups but the last have three digits at least:
+    otherwise nearly every list of small numbers would hold a valid span.
+    """
+    groups = F.split(run, "(?<=[ -])")
+    bound = F.array(F.struct(groups.alias("groups"), F.transform(groups, lambda g: F.length(_digits(g))).alias("sizes")))
+
+    def spans(b: Column) -> Column:
+        last = F.size(b["sizes"]) - 1
+        total = lambda i, j: F.aggregate(F.slice(b["sizes"], i + 1, j - i + 1), F.lit(0), lambda a, n: a + n)
+        long_groups = lambda i, j: F.forall(F.slice(b["sizes"], i + 1, j - i), lambda n: n >= 3)
+        text = lambda i, j: F.array_join(F.slice(b["groups"], i + 1, j - i + 1), "")
+        some = F.transform(
+            F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(b["sizes"], i) >= 3)),
+            lambda i: F.transform(
+                F.filter(F.sequence(i, F.least(i + 18, last)), lambda j: (long_groups(i, j) | ((i == 0) & (j == last))) & total(i, j).between(13, 19)),
+                lambda j: F.struct(i.alias("first"), F.regexp_replace(text(i, j), "[ -]$", "").alias("card")),
+            ),
+        )
+        valid = F.filter(F.flatten(some), lambda c: luhn_sum(_digits(c["card"])) % 10 == 0)
+        at = lambda i: F.length(F.array_join(F.slice(b["groups"], F.lit(1), i), "")) + 1
+        return F.transform(valid, lambda c: F.struct(at(c["first"]).alias("at"), c["card"].alias("card")))
+
+    ranked = F.array_sort(
+        F.transform(
+            F.flatten(F.transform(bound, spans)),
+            lambda c: F.struct(
+                (F.when(c["card"].rlike(CARD_GROUPS), 0).otherwise(2) + F.when(c["card"].rlike(ISSUERS), 0).otherwise(1)).alias("rank"),
+                c["at"].alias("at"),
+                (-F.length(c["card"])).alias("shorter"),
+                c["card"].alias("card"),
+            ),
+        )
+    )
+    none = F.array().cast("array<struct<rank:int,at:int,shorter:int,card:string>>")
+    chosen = F.aggregate(
+        ranked,
+        none,
+        lambda a, c: F.when(F.exists(a, lambda o: (o["at"] < c["at"] - c["shorter"]) & (c["at"] < o["at"] - o["shorter"])), a).otherwise(F.concat(a, F.array(c))),
+    )
+    return F.aggregate(
+        chosen,
+        run,
+        lambda s, c: F.concat(F.substring(s, F.lit(1), c["at"] - 1), _one_card(c["card"], hmac), F.substring(s, c["at"] - c["shorter"], F.length(s))),
+    )
 
 
 def _phone(value: Column, hmac: Hmac) -> Column:
-    return F.concat(F.lit("+1"), _layout(F.substring(value, F.lit(3), F.length(value)), permute_digits(F.substring(_digits(value), 2, 10), hmac, "phone")))
+    """The ten digits of the plan of +1, in any layout; a leading 1 stays."""
+    digits = _digits(value)
+    return _layout(value, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), permute_digits(F.substring(digits, F.length(digits) - 9, F.lit(10)), hmac, "phone")))
+
+
+def _phone_abroad(value: Column, hmac: Hmac) -> Column:
+    """All digits but the first two, which have the country or the start of it."""
+    digits = _digits(value)
+    return _layout(value, F.concat(F.substring(digits, 1, 2), permute_digits(F.substring(digits, F.lit(3), F.length(digits)), hmac, "phone abroad")))
 
 
 def _ip(value: Column, hmac: Hmac) -> Column:
@@ -210,16 +284,18 @@ def _email(value: Column, hmac: Hmac) -> Column:
 
 
 def _secret(value: Column, hmac: Hmac) -> Column:
-    body = F.regexp_extract(value, r"\"(.*)\"$", 1)
+    head, quote = F.regexp_extract(value, r"^[^=:]*[=:]\s{0,4}[\"']?", 0), F.regexp_extract(value, r"[\"']?$", 0)
+    body = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(quote))
     moved = F.when(body.rlike("^[0-9A-Fa-f]+$"), permute_characters(F.lower(body), hmac, "hex", 6)).otherwise(permute_characters(F.lower(body), hmac, "secret"))
-    return F.concat(F.regexp_extract(value, r"^[^\"]*\"", 0), _cased(body, moved), F.lit('"'))
+    return F.concat(head, _cased(body, moved), quote)
 
 
 #: How a match is told from the others, and its pseudonym.
 KINDS = (
-    (r'^[^@]*"$', _secret),
+    (rf"^{_MARK}[=:]", _secret),
     (r"@", _email),
-    (r"^\+", _phone),
+    (r"^\+[2-9]", _phone_abroad),
+    (rf"^{_NANP}$", _phone),
     (r"^\d+\.\d+\.\d+\.\d+$", _ip),
     (r"^\d{4}-\d{2}-\d{2}$", _date),
     (r"^\d{3}-\d{2}-\d{4}$", _ssn),
@@ -239,8 +315,8 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY
     """df with the private values in text_col replaced; its columns and their order stay."""
     text = F.col(f"`{text_col}`")
     found = F.regexp_extract_all(text, F.lit(ANY), 0)
-    # Cheap tests first: every format has an at sign, a digit, or a quoted secret's mark.
-    with_found = df.withColumn("__found", F.when(text.rlike(r"[0-9@\"]"), found))
+    # Cheap tests first: every format has an at sign, a digit, or a secret's mark.
+    with_found = df.withColumn("__found", F.when(text.rlike(r"[0-9@\"=]|:\s{0,4}'"), found))
     between = F.split(text, ANY, -1)
     joined = F.concat(
         F.array_join(F.transform(F.col("__found"), lambda v, i: F.concat(F.get(F.col("__between"), i), F.get(F.col("__new"), i))), ""),

@@ -73,6 +73,47 @@ def test_pseudonyms_keep_formats(spark):
     assert max(map(int, re.search(r"ip ([\d.]+),", one)[1].split("."))) < 256
 
 
+def pseudonyms(spark, texts):
+    return [r.text for r in pii.pseudonymise(frame(spark, texts)).orderBy("doc_id").collect()]
+
+
+def test_pseudonyms_of_cards_beside_numbers(spark):
+    card = "4111111111111111"
+    texts = [card, f"order 42 {card}", "2024 4111 1111 1111 1111", f"{card} 123", f"{card} 5500005555555559 {card}", f"42 2020-02-29 {card} 10.1.2.3", f"ref-{card}", f"42 {card[:8]} {card[8:]} 7"]
+    got = pseudonyms(spark, texts)
+    new = got[0]
+    assert new != card and luhn(new)
+    assert got[1] == f"order 42 {new}" and got[3] == f"{new} 123" and got[6] == f"ref-{new}"
+    assert got[2] == "2024 " + " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    one, two, three = got[4].split(" ")
+    assert one == three == new and two != "5500005555555559" and luhn(two)
+    parts = got[5].split(" ")
+    assert parts[0] == "42" and parts[1] != "2020-02-29" and parts[2] == new and parts[3] != "10.1.2.3"
+    assert got[7] == f"42 {new[:8]} {new[8:]} 7"
+    plain = [" ".join(map(str, range(1, 60))), "4111 1111 1111 1112 15", "7 " * 3000, "100 " * 3000, "1" * 20000]
+    assert pseudonyms(spark, plain) == plain
+
+
+def test_pseudonyms_of_phone_layouts(spark):
+    layouts = ["+1 (212) 555-0100", "(212) 555-0100", "212-555-0100", "+1-212-555-0100", "1-212-555-0100", "212.555.0100", "+12125550100", "+1 212 555 0100"]
+    digits = [re.sub(r"\D", "", t)[-10:] for t in pseudonyms(spark, [f"call {x} or 17 now" for x in layouts]) for t in [t.split(" or ")[0]]]
+    assert len(set(digits)) == 1 and digits[0] != "2125550100"
+    got = pseudonyms(spark, ["17 +44 20 7946 0958, 18", "+442079460958", "+33 1 42 68 53 00 4111 1111 1111 1111 9", "4111111111111111"])
+    assert re.fullmatch(r"17 \+44 \d\d \d{4} \d{4}, 18", got[0]) and "7946 0958" not in got[0]
+    assert got[0][3:-4].replace(" ", "") == got[1]
+    assert got[2].startswith("+33 ") and "42 68 53" not in got[2] and got[2][18:-2].replace(" ", "") == got[3]
+
+
+def test_pseudonyms_of_secrets(spark):
+    value = "AbCd1234efgh"
+    texts = [f'key = "{value}"', f"key = '{value}'", f"api_key={value}", f"password: {value} 99", f'{{"token": "{value}"}}', "password=correcthorse", "key: 2020-02-29", "2020-02-29", "the key: understanding"]
+    got = pseudonyms(spark, texts)
+    new = got[0][7:-1]
+    assert new != value and got[1] == f"key = '{new}'" and got[2] == f"api_key={new}" and got[3] == f"password: {new} 99"
+    assert got[4] == f'{{"token": "{new}"}}' and got[5].startswith("password=") and got[5] != texts[5]
+    assert got[6] == f"key: {got[7]}" and got[8] == texts[8]
+
+
 def test_pseudonyms_edges(docs, no_docs):
     assert pii.pseudonymise(docs).columns == docs.columns and pii.pseudonymise(docs).count() == docs.count()
     assert pii.pseudonymise(no_docs).count() == 0
