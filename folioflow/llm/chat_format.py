@@ -4,26 +4,147 @@ Every participant of a conversation is in turn the assistant: the whole dialogue
 with that speaker's turns as assistant turns, everybody else's as turns of named users, and a
 mask that trains on the assistant's turns alone.
 
-A row of the result is one perspective of one stretch of at most ``part_turns`` turns: a
-conversation with very many turns is not gathered into one row or one task. Turns are dealt to
-stretches by their turn number; a stretch in which one number repeats very often is split
-further by a hash of the text, so that no stretch is unbounded.
+``rotate_whole`` gives one row for each perspective of a conversation, with all its turns. A
+conversation of more than ``whole_bytes`` comes in several rows, ``part`` 0, 1, ...: contiguous
+ranges of its turns in order, whose texts one after the other are the whole rendering, and whose
+mask starts count from the beginning of the whole. Ranges are cut from a global sort, so neither
+a long conversation nor a turn number that repeats is gathered into one task.
+
+``rotate`` gives stretches of at most ``part_turns`` turns instead, each rendered by itself: turns
+are dealt to stretches by their turn number; a stretch in which one number repeats very often is
+split further by a hash of the text. A stretch has none of the turns before it.
 
 Edge cases: a null role is the participant ``unknown``; a null text is an empty turn; a null turn
-number sorts first, in stretch 0; equal turn numbers are ordered by role, then text; repeated
+number sorts first (in stretch 0); equal turn numbers are ordered by role, then text; repeated
 rows are repeated turns; system turns are shown to everybody and nobody's perspective unless
 only system turns exist, when nothing is rendered; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import cut
+
 PART_TURNS = 64
+#: A longer conversation comes in ranges; each turn counts with its headers. Turns that one step of the mask's sum goes over.
+WHOLE_BYTES, TURN_BYTES, STEP_TURNS = 4 << 20, 64, 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def _said(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    return turns.select(
+        F.col(conv_col).alias("conv_id"),
+        F.col(turn_col).cast("long").alias("turn"),
+        F.coalesce(F.col(role_col), F.lit("unknown")).alias("speaker"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
+
+
+def _pieces() -> Column:
+    """Header, body and whether it's trained on, for each of turns, as perspective sees it."""
+    return F.transform(
+        "turns",
+        lambda t: F.struct(
+            F.when(t["speaker"] == F.col("perspective"), F.lit(f"{OPEN}assistant\n"))
+            .when(t["speaker"] == "system", F.lit(f"{OPEN}system\n"))
+            .otherwise(F.concat(F.lit(f"{OPEN}user name="), t["speaker"], F.lit("\n")))
+            .alias("head"),
+            F.concat(t["text"], F.lit(CLOSE)).alias("body"),
+            (t["speaker"] == F.col("perspective")).alias("train"),
+        ),
+    )
+
+
+def _mask(start: Column) -> Column:
+    """The spans of pieces, the first of which starts at start: steps of some turns, so that arrays grow by a step at most."""
+    length = lambda p: F.length(p["head"]) + F.length(p["body"])
+    step = lambda k: F.slice("pieces", k * STEP_TURNS + 1, STEP_TURNS)
+    steps = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / STEP_TURNS).cast("int"))
+    none = F.array().cast("array<struct<start:bigint,length:int,train:boolean>>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
+    local = F.transform(
+        steps,
+        lambda k: F.aggregate(
+            step(k),
+            zero,
+            lambda a, p: F.struct(
+                (a["at"] + length(p)).alias("at"),
+                F.concat(
+                    a["spans"],
+                    F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"), p["train"].alias("train"))),
+                ).alias("spans"),
+            ),
+        ),
+    )
+    moved = lambda all_, s, k: F.transform(
+        s["spans"],
+        lambda m: F.struct((m["start"] + start + F.aggregate(F.slice(all_, F.lit(1), k), F.lit(0).cast("long"), lambda n, e: n + e["at"])).alias("start"), m["length"].alias("length"), m["train"].alias("train")),
+    )
+    return F.flatten(F.flatten(F.transform(F.array(local), lambda all_: F.transform(all_, lambda s, k: moved(all_, s, k)))))
+
+
+def rotate_whole(
+    turns: DataFrame,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    whole_bytes: int = WHOLE_BYTES,
+) -> DataFrame:
+    """The columns of rotate, split always 0; part counts the ranges of a conversation of more than whole_bytes."""
+    said = _said(turns, conv_col, turn_col, role_col, text_col)
+    weight = F.octet_length("text") + F.octet_length("speaker") + TURN_BYTES
+    long_ones = said.groupBy("conv_id").agg(F.sum(weight).alias("n")).filter(F.col("n") > whole_bytes).select("conv_id")
+    speakers = said.filter(F.col("speaker") != "system").select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    gathered = F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns")
+    zero = F.lit(0).cast("long")
+
+    def seen(ranges: DataFrame) -> DataFrame:
+        return ranges.alias("s").join(speakers.alias("p"), F.expr("s.conv_id <=> p.conv_id")).select("s.*", "perspective").withColumn("pieces", _pieces())
+
+    def rendered(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "conv_id",
+            "part",
+            zero.alias("split"),
+            "perspective",
+            F.size("pieces").cast("long").alias("n_turns"),
+            F.size(F.filter("pieces", lambda p: p["train"])).cast("long").alias("n_trained"),
+            F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
+            _mask(F.col("before")).alias("mask"),
+        )
+
+    if long_ones.isEmpty():
+        return rendered(seen(said.groupBy("conv_id").agg(gathered).withColumns({"part": zero, "before": zero})))
+    long_ones = cut(long_ones)
+    is_long = F.expr("s.conv_id <=> l.conv_id")
+    short = said.alias("s").join(long_ones.alias("l"), is_long, "left_anti").groupBy("conv_id").agg(gathered)
+    # Rows that are equal in all else are told apart by an id, so that they don't all go to one range.
+    order = ("turn", "speaker", "text", "id")
+    sorted_ = said.withColumn("id", F.monotonically_increasing_id()).alias("s").join(long_ones.alias("l"), is_long, "left_semi").repartitionByRange("conv_id", *order)
+    placed = cut(sorted_.withColumn("task", F.spark_partition_id()))
+    running = Window.partitionBy("conv_id", "task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = placed.withColumn("unit", F.floor(F.coalesce(F.sum(weight).over(running), zero) / whole_bytes))
+    units = cut(cuts.groupBy("conv_id", "task", "unit").agg(gathered))
+    # One narrow row for each range and perspective: its length, summed over the ranges before it.
+    earlier = Window.partitionBy("conv_id", "perspective").orderBy("task", "unit")
+    length = F.aggregate("pieces", zero, lambda n, p: n + F.length(p["head"]) + F.length(p["body"]))
+    offsets = (
+        seen(units)
+        .select("conv_id", "task", "unit", "perspective", length.alias("length"))
+        .select(
+            "*",
+            F.coalesce(F.sum("length").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before"),
+            (F.row_number().over(earlier) - 1).cast("long").alias("part"),
+        )
+    )
+    same = "u.conv_id <=> o.conv_id AND u.task = o.task AND u.unit = o.unit AND u.perspective = o.perspective"
+    ranges = seen(units).alias("u").join(offsets.alias("o"), F.expr(same)).select("u.*", "o.before", "o.part")
+    return rendered(seen(short.withColumns({"part": zero, "before": zero}))).unionByName(rendered(ranges))
+
+
 def rotate(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -37,12 +158,7 @@ def rotate(
     mask: for each turn a struct (start, length, train), in characters of the rendered text;
     start and length span the turn's content and its end mark, the header is never trained on.
     """
-    said = turns.select(
-        F.col(conv_col).alias("conv_id"),
-        F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(role_col), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long"))
+    said = _said(turns, conv_col, turn_col, role_col, text_col).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long"))
     # Which stretches hold more than one row a turn number, and how far they must be split.
     load = said.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     dealt = said.alias("s").join(load.alias("l"), F.expr("s.conv_id <=> l.conv_id AND s.part = l.part")).select(
@@ -56,18 +172,7 @@ def rotate(
     speakers = said.filter(F.col("speaker") != "system").select("conv_id", F.col("speaker").alias("perspective")).distinct()
     stretch = dealt.groupBy("conv_id", "part", "split").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
     seen = stretch.alias("s").join(speakers.alias("p"), F.expr("s.conv_id <=> p.conv_id")).select("s.*", "perspective")
-    piece = F.transform(
-        "turns",
-        lambda t: F.struct(
-            F.when(t["speaker"] == F.col("perspective"), F.lit(f"{OPEN}assistant\n"))
-            .when(t["speaker"] == "system", F.lit(f"{OPEN}system\n"))
-            .otherwise(F.concat(F.lit(f"{OPEN}user name="), t["speaker"], F.lit("\n")))
-            .alias("head"),
-            F.concat(t["text"], F.lit(CLOSE)).alias("body"),
-            (t["speaker"] == F.col("perspective")).alias("train"),
-        ),
-    )
-    pieces = seen.select("conv_id", "part", "split", "perspective", piece.alias("pieces"))
+    pieces = seen.select("conv_id", "part", "split", "perspective", _pieces().alias("pieces"))
     empty = F.array().cast("array<struct<start:int,length:int,train:boolean>>")
     mask = F.aggregate(
         "pieces",

@@ -36,7 +36,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["length"], m["train"].cast("int")))
-    return chat_format.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, " "))
+    return chat_format.rotate_whole(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, " "))
 
 
 OP3_SQL = """

@@ -200,6 +200,42 @@ def test_perspectives(spark):
     assert chat_format.rotate(parts.sparkSession.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def whole_chats(turns):
+    """Text and mask of every perspective of every conversation, in plain Python."""
+    talks = defaultdict(list)
+    for conv, turn, speaker, text in turns:
+        talks[conv].append((turn is not None, turn or 0, speaker or "unknown", text or ""))
+    out = {}
+    for conv, said in talks.items():
+        for perspective in {t[2] for t in said} - {"system"}:
+            text, mask = "", []
+            for _, _, speaker, body in sorted(said):
+                mine = speaker == perspective
+                text += "<|im_start|>" + ("assistant" if mine else "system" if speaker == "system" else f"user name={speaker}") + "\n"
+                mask.append((len(text), len(body) + len("<|im_end|>\n"), mine))
+                text += body + "<|im_end|>\n"
+            out[conv, perspective] = text, mask
+    return out
+
+
+def test_perspectives_of_whole_conversations(spark):
+    turns = [(1, 0, "system", "rules"), *((1, k, ("ann", "bob")[k % 2], f"t{k}") for k in range(1, 700)), (1, None, None, None), (2, 3, "x", "\u00e9\U0001f600"), (3, 0, "system", "only")]
+    turns += [(None, k // 50, ("ann", "system", "eve")[k % 3], "same") for k in range(400)] + [(4, 1, "a", "hi")] * 300
+    frame_ = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    want = whole_chats(turns)
+    for bound in (1 << 20, 9000):
+        got = defaultdict(list)
+        for r in chat_format.rotate_whole(frame_, whole_bytes=bound).collect():
+            assert r.n_turns == len(r["mask"]) and r.n_trained == sum(m.train for m in r["mask"]) and r.split == 0
+            got[r.conv_id, r.perspective].append((r.part, r.text, [tuple(m) for m in r["mask"]]))
+        for rows in got.values():
+            rows.sort()
+            assert [r[0] for r in rows] == list(range(len(rows)))
+        assert {k: ("".join(r[1] for r in rows), [m for r in rows for m in r[2]]) for k, rows in got.items()} == want
+        assert (len(got[1, "ann"]) > 1) == (len(got[4, "a"]) > 1) == (bound == 9000)
+    assert chat_format.rotate_whole(frame_.limit(0)).count() == 0
+
+
 def test_hmac_is_the_standard_one(spark):
     import hmac
 
