@@ -73,6 +73,21 @@ def j5_u8_t14_reconcile(s, d):
     return matching.reconcile(held, sold, _EXEMPT)
 
 
+@query(f"""WITH {TX_SQL}, h AS (SELECT p_brand || CASE WHEN p_partkey % 5 = 0 THEN '-P' ELSE '' END AS ticker, min_by(p_name, p_partkey) AS held_as, CAST(sum({brackets.sql_case(brackets.sql_bracket_of("p_retailprice * 40"), 2)}) AS BIGINT) AS entry_value FROM part WHERE p_brand <> '' GROUP BY 1),
+k AS (SELECT ticker || CASE WHEN supplier % 5 = 0 THEN '-S' ELSE '' END AS ticker, count(*) AS sales FROM tx WHERE is_sale AND ticker <> '' GROUP BY 1),
+b AS (SELECT ticker, held_as, coalesce(sales, 0) AS n, coalesce(entry_value, 0) AS entry_value FROM h FULL JOIN k USING (ticker))
+SELECT ticker, coalesce(held_as, 'Sold (' || ticker || ')') AS description, n AS sales, CASE WHEN ticker IN ('Brand#3', 'Brand#9') THEN 'exempt' WHEN n > 0 THEN 'sold' ELSE 'no-sale-on-file' END AS status,
+CASE WHEN ticker IN ('Brand#3', 'Brand#9') THEN 'exempt from reporting' WHEN n > 0 AND held_as IS NOT NULL THEN n || CASE WHEN n = 1 THEN ' sale on file' ELSE ' sales on file' END WHEN n > 0 THEN 'sold, not among the parsed entries' ELSE 'no sale on file' END AS note, entry_value FROM b""")
+def j5_u8_t14_reconcile_all(s, d):
+    """All parts and all sales; a suffix by the id makes tickers that only one side has."""
+    suffix = lambda c, mark: F.when(F.col(c) % 5 == 0, mark).otherwise("")
+    held = table(s, d, "part").filter("p_brand <> ''").select(
+        F.concat("p_brand", suffix("p_partkey", "-P")).alias("ticker"), F.col("p_name").alias("description"), F.col("p_partkey").alias("ordinal"), brackets.midpoint(brackets.bracket_of(F.col("p_retailprice") * 40)).alias("value")
+    )
+    sold = transactions(s, d).filter(brackets.is_sale(F.col("type")) & (F.col("ticker") != "")).withColumn("ticker", F.concat("ticker", suffix("supplier", "-S")))
+    return matching.reconcile(held, sold, _EXEMPT)
+
+
 _PROMISES = (
     (1, "1997-01-01", ["Brand#1", "Brand#2"], []),
     (2, "1998-06-01", [], ["BLUE", "bolt"]),
@@ -139,14 +154,27 @@ r AS (SELECT description, date, type, min_by(struct_pack(amount, late), struct_p
 SELECT golden_id, f IS NOT NULL AS present, CASE WHEN f IS NULL THEN 0::BIGINT ELSE CAST(g1.amount IS NOT DISTINCT FROM f.amount AS BIGINT) + CAST(g1.late IS NOT DISTINCT FROM f.late AS BIGINT) END AS agreeing
 FROM g1 LEFT JOIN r USING (description, date, type)""")
 def j13_x46_golden(s, d):
-    tx = transactions(s, d)
-    made = tx.filter("filing % 200 = 0").select(
+    return _golden(transactions(s, d), "filing % 200 = 0")
+
+
+def _golden(tx, some):
+    made = (tx if some is None else tx.filter(some)).select(
         (F.col("filing") * 100 + F.col("line")).alias("golden_id"), "description", F.when(F.col("filing") % 3 == 0, F.date_add("date", 1)).otherwise(F.col("date")).alias("date"), "type", F.when(F.col("filing") % 5 == 0, "Over $50,000,000").otherwise(F.col("amount")).alias("amount"), "late"
     )
     golden = made.groupBy("golden_id").agg(F.min(F.struct("description", "date", "type", "amount", "late")).alias("g")).select("golden_id", "g.*")
     return matching.golden_score(golden, tx.withColumn("ordinal", F.struct(*ROWS)), ["description", "date", "type"], ["amount", "late"])
 
 
+@query(f"""WITH {TX_SQL}, g AS (SELECT filing * 100 + line AS golden_id, description, CAST(CASE WHEN filing % 3 = 0 THEN date + 1 ELSE date END AS DATE) AS date, type, CASE WHEN filing % 5 = 0 THEN 'Over $50,000,000' ELSE amount END AS amount, late FROM tx),
+g1 AS (SELECT DISTINCT ON (golden_id) * FROM g ORDER BY golden_id, description NULLS FIRST, date NULLS FIRST, type NULLS FIRST, amount NULLS FIRST, late NULLS FIRST),
+r AS (SELECT description, date, type, min_by(struct_pack(amount, late), struct_pack(a := filing, b := line, c := part, d := supplier)) AS f FROM tx GROUP BY 1, 2, 3)
+SELECT golden_id, f IS NOT NULL AS present, CASE WHEN f IS NULL THEN 0::BIGINT ELSE CAST(g1.amount IS NOT DISTINCT FROM f.amount AS BIGINT) + CAST(g1.late IS NOT DISTINCT FROM f.late AS BIGINT) END AS agreeing
+FROM g1 LEFT JOIN r ON g1.description IS NOT DISTINCT FROM r.description AND g1.date IS NOT DISTINCT FROM r.date AND g1.type IS NOT DISTINCT FROM r.type""")
+def j13_x46_golden_all(s, d):
+    """A golden row for every filing and line."""
+    return _golden(transactions(s, d), None)
+
+
 @query(f"""WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, event_type, value FROM events WHERE event_id % 2 = 0),
 b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, event_type, value FROM events WHERE event_id % 2 = 1),
 j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, a.event_type IS NOT NULL AND b.event_type IS NOT NULL AS there, a.event_type IS NOT DISTINCT FROM b.event_type AS same FROM a FULL JOIN b ON a.user_id = b.user_id AND a.pos = b.pos)

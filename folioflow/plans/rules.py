@@ -139,6 +139,20 @@ def f23_snippets(s, d):
     return docs.select("doc_id", F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit("")).alias("snippet"))
 
 
+#: White space and line ends as the reference's language has them, spelled out: Java and DuckDB differ on the short forms.
+_SPACE, _IN_LINE = r"[\x{9}-\x{D} \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]", r"[^\x{A}\x{D}\x{2028}\x{2029}]"
+_ANNOTATION = f"(the{_SPACE}+and|and{_SPACE}+the)"
+
+
+@query(f"""SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(text, '(?i){_IN_LINE}{{0,80}}{_ANNOTATION}{_IN_LINE}{{0,80}}', 0), '{_SPACE}+', ' ', 'g')), '') AS snippet FROM documents
+WHERE regexp_matches(text, '(?i){_ANNOTATION}')""")
+def f23_snippets_all(s, d):
+    """All documents, in any language and with any characters."""
+    docs = table(s, d, "documents").filter(F.col("text").rlike(f"(?i){_ANNOTATION}"))
+    found = F.regexp_extract("text", f"(?i){_IN_LINE}{{0,80}}{_ANNOTATION}{_IN_LINE}{{0,80}}", 0)
+    return docs.select("doc_id", F.nullif(F.trim(F.regexp_replace(found, f"{_SPACE}+", " ")), F.lit("")).alias("snippet"))
+
+
 @query("SELECT doc_id FROM documents WHERE length(trim(text)) >= 50 AND regexp_matches(lower(text), 'ouble|tion|ung')")
 def f24_page_gate(s, d):
     return table(s, d, "documents").filter((F.length(F.trim("text")) >= 50) & F.lower("text").rlike("ouble|tion|ung")).select("doc_id")
