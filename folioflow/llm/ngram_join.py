@@ -403,20 +403,20 @@ def _candidates(alive: DataFrame, buckets: dict[int, int], threshold: int, kind:
 def _whole_sets(df: DataFrame, alive: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """key, set: the whole sets of the classes in alive, from one document of each.
 
-    Documents that a Bloom filter of the classes' first ids lets pass are shingled again; an exact join drops
-    what passed by chance.
+    Documents that a Bloom filter of the classes' first ids lets pass are shingled again, in the same worker; an exact
+    join drops what passed by chance.
     """
     texts = df.select(F.xxhash64(F.col(f"`{id_col}`")).alias("id_hash"), F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8").alias("raw"))
-    passed = bloom.possible(texts, "id_hash", bloom.build(alive.select("id_hash")))
+    shared = df.sparkSession.sparkContext.broadcast(bloom.build(alive.select("id_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, OUT_ROWS):
-                batch = whole.slice(at, OUT_ROWS)
-                sets = list(sets_of(batch.column(0)))
+            passed = whole.filter(pa.array(shared.value.may_have(whole.column(0).to_numpy(zero_copy_only=False)), pa.bool_())) if whole.num_rows else whole
+            for at in range(0, passed.num_rows, OUT_ROWS):
+                sets = list(sets_of(passed.column(1).slice(at, OUT_ROWS)))
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
 
-    found = passed.select("raw").mapInArrow(tidy(run), "key long, set binary")
+    found = texts.mapInArrow(tidy(run), "key long, set binary")
     return found.join(alive.select("key"), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set"))
 
 
