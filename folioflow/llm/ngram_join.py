@@ -35,6 +35,7 @@ hashes of shingles and of sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +59,12 @@ CHUNK = 1024
 #: Lists from this length on take part in the rounds of leaders and of nearest.
 LONG_LIST = 4
 SLICE_TOKENS = 400_000
-BUCKET_BYTES = 24 << 20
+#: Bytes of a token and its count on their way through a bucket.
+COUNT_BYTES = 12
+BUCKET_BYTES = 12 << 20
 PAIRS_AT_ONCE = 100_000
-#: Pairs in hand before their shared tokens are summed.
-SUM_PAIRS = 2_000_000
+#: Pairs in hand before their shared tokens are summed and handed over, and rows of pairs in a batch.
+SUM_PAIRS, OUT_PAIRS = 1_000_000, 50_000
 #: Rounds of candidates, in this order.
 LEADERS, NEAREST, ALL = "leaders", "nearest", "all"
 OUT_ROWS = 2000
@@ -73,9 +76,9 @@ def _least_overlap(n: np.ndarray, threshold: int) -> np.ndarray:
     return (n * threshold + 99) // 100
 
 
-def shingled(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", heads: bool = False, threshold: int = THRESHOLD, counted: float = COUNTED) -> DataFrame:
-    """id, text_hash, n and key of each text's set; with heads also its parity bits and its lowest hashes: those that are
-    counted, and as many more as the longest prefix takes."""
+def shingled(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, counted: float = COUNTED) -> DataFrame:
+    """id, text_hash, n and key of each text's set, its parity bits and its lowest hashes: those that are counted, and as many
+    more as the longest prefix takes."""
     ship(df.sparkSession)
     limit = np.uint64(int(counted * 2**64))
 
@@ -86,23 +89,19 @@ def shingled(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", head
                 key, check, size, bits, head = [], [], [], [], []
                 for tokens in sets_of(batch.column(1)):
                     a, b = fingerprint(tokens)
+                    n = len(tokens)
+                    prefix = n - int(_least_overlap(np.int64(n), threshold)) + MAX_MATCHES
                     key.append(a)
                     check.append(b)
-                    size.append(len(tokens))
-                    if heads:
-                        n = len(tokens)
-                        prefix = n - int(_least_overlap(np.int64(n), threshold)) + MAX_MATCHES
-                        bits.append(parity_bits(tokens))
-                        head.append(tokens[: max(prefix, int(np.searchsorted(tokens, limit)))].tobytes())
-                columns = [batch.column(0), batch.column(2), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(size, pa.int64())]
-                names = ["id", "text_hash", "key", "check", "n"]
-                if heads:
-                    columns, names = [*columns, pa.array(bits, pa.binary()), pa.array(head, pa.binary())], [*names, "bits", "head"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    size.append(n)
+                    bits.append(parity_bits(tokens))
+                    head.append(tokens[: max(prefix, int(np.searchsorted(tokens, limit)))].tobytes())
+                columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (key, check, size)), pa.array(bits, pa.binary()), pa.array(head, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key", "check", "n", "bits", "head"])
 
     id_type = df.select(f"`{id_col}`").dtypes[0][1]
-    schema = f"id {id_type}, text_hash long, key long, check long, n long" + ", bits binary, head binary" * heads
     text = F.col(f"`{text_col}`")
+    schema = f"id {id_type}, text_hash long, key long, check long, n long, bits binary, head binary"
     return df.select(F.col(f"`{id_col}`"), F.encode(F.coalesce(text, F.lit("")), "UTF-8"), F.xxhash64(text)).mapInArrow(tidy(run), schema)
 
 
@@ -368,8 +367,8 @@ def _candidates(alive: DataFrame, buckets: dict[int, int], threshold: int, kind:
 
     choose = {LEADERS: _leader_pairs, NEAREST: _nearest_pairs, ALL: _all_pairs}[kind]
 
-    def pair(table: pa.Table) -> pa.Table:
-        e = np.frombuffer(b"".join(table.column("entries").to_pylist()), dtype=ENTRY)
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=ENTRY) for batch in batches for x in batch.column(at)])
         e = e[np.argsort(e["list"], kind="stable")]
         starts = np.concatenate(([0], np.flatnonzero(np.diff(e["list"])) + 1)).astype(np.int64)
         sizes = np.diff(np.append(starts, len(e)))
@@ -377,26 +376,27 @@ def _candidates(alive: DataFrame, buckets: dict[int, int], threshold: int, kind:
         mixed = (np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)) & (sizes > 1)
         keys, first, place = np.unique(e["key"], return_index=True, return_inverse=True)
         wanted = e["matches"][first].astype(np.int32)
-        codes, times, new, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            """The pairs so far, as numbers, each once with its shared tokens."""
-            once, spot = np.unique(np.concatenate([codes, *new]), return_inverse=True)
-            weights = np.concatenate([times, np.ones(len(spot) - len(times), dtype=np.int64)])
-            return once, np.bincount(spot, weights=weights, minlength=len(once)).astype(np.int64)
+        def summed(codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """The pairs in hand, each once with its shared tokens; those handed over before are added to them after the shuffle."""
+            once, times = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+            for begin in range(0, len(once), OUT_PAIRS):
+                low, high = once[begin : begin + OUT_PAIRS] // len(keys), once[begin : begin + OUT_PAIRS] % len(keys)
+                yield pa.RecordBatch.from_pydict({"a": keys[low], "b": keys[high], "wanted": np.minimum(wanted[low], wanted[high]), "shared": times[begin : begin + OUT_PAIRS]})
 
+        new, held = [], 0
         for a, b in choose(e, starts[mixed], sizes[mixed], threshold):
             if len(a):
                 new.append(np.minimum(place[a], place[b]) * len(keys) + np.maximum(place[a], place[b]))
                 held += len(a)
             if held > SUM_PAIRS:
-                codes, times = summed()
+                yield from summed(new)
                 new, held = [], 0
-        codes, times = summed()
-        low, high = codes // len(keys), codes % len(keys)
-        return pa.table({"a": keys[low], "b": keys[high], "wanted": np.minimum(wanted[low], wanted[high]), "shared": times})
+        yield from summed(new)
 
-    met = _deal(alive, buckets, kind, threshold).groupBy("bucket").applyInArrow(pair, "a long, b long, wanted int, shared long")
+    dealt = _deal(alive, buckets, kind, threshold)
+    at = dealt.columns.index("entries")
+    met = dealt.groupBy("bucket").applyInArrow(pair, "a long, b long, wanted int, shared long")
     return met.groupBy("a", "b", "wanted").agg(F.sum("shared").alias("shared")).filter("shared >= wanted").select("a", "b")
 
 
@@ -439,35 +439,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return joined.mapInArrow(tidy(run), "a long, b long")
 
 
-def _linked(df: DataFrame, text_col: str, id_col: str, threshold: int, counted: float, max_matches: int) -> DataFrame:
-    """For every row of df: id, text_hash, n, key, and comp, which is equal in one component (key where there is no link)."""
-    count_buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = cut(shingled(df, text_col, id_col))
-    full = shingled(df, text_col, id_col, True, threshold, counted).filter("n > 0")
-    classes = full.groupBy("key", "check", "n").agg(F.min("id").alias("first_id"), F.first("bits").alias("bits"), F.first("head").alias("head"))
+@dataclass
+class _Classes:
+    """docs: id, text_hash, n, key of every row. alive: classes with a prefix that others share, and sets: their whole sets."""
+
+    docs: DataFrame
+    alive: DataFrame
+    sets: DataFrame
+    buckets: dict[int, int]
+
+
+def _classes(df: DataFrame, text_col: str, id_col: str, threshold: int, counted: float, max_matches: int) -> _Classes:
+    """Shingles every text once; whole sets are made again only for the classes that may link."""
+    rows = cut(shingled(df, text_col, id_col, threshold, counted))
+    tokens = rows.agg(F.sum(F.length("head") / 8)).first()[0] or 0
+    count_buckets = max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(tokens * COUNT_BYTES // BUCKET_BYTES) + 1)
+    classes = rows.filter("n > 0").groupBy("key", "check", "n").agg(F.min("id").alias("first_id"), F.first("bits").alias("bits"), F.first("head").alias("head"))
     slices = cut(_slices(classes.withColumn("id_hash", F.xxhash64("first_id"))))
     alive = cut(_prefixes(slices, _counts(slices, count_buckets), threshold, counted, max_matches))
-    sets = cut(_whole_sets(df, alive, text_col, id_col))
-    buckets = _buckets(alive)
+    return _Classes(rows.select("id", "text_hash", "n", "key"), alive, cut(_whole_sets(df, alive, text_col, id_col)), _buckets(alive))
+
+
+def _linked(df: DataFrame, text_col: str, id_col: str, threshold: int, counted: float, max_matches: int) -> DataFrame:
+    """For every row of df: id, text_hash, n, key, and comp, which is equal in one component (key where there is no link)."""
+    found = _classes(df, text_col, id_col, threshold, counted, max_matches)
     links = None
-    marked = alive.withColumn("comp", F.col("key"))
+    marked = found.alive.withColumn("comp", F.col("key"))
     for kind in (LEADERS, NEAREST, ALL):
-        found = cut(_verified(_candidates(marked, buckets, threshold, kind), sets, threshold))
-        links = found if links is None else links.union(found)
+        new = cut(_verified(_candidates(marked, found.buckets, threshold, kind), found.sets, threshold))
+        links = new if links is None else links.union(new)
         linked = components(links).withColumnRenamed("node", "key")
-        marked = alive.join(linked, "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    return docs.join(linked, "key", "left").select("id", "text_hash", "n", "key", F.coalesce("component", "key").alias("comp"))
+        marked = found.alive.join(linked, "key", "left").withColumn("comp", F.coalesce("component", "key"))
+    return found.docs.join(linked, "key", "left").select("id", "text_hash", "n", "key", F.coalesce("component", "key").alias("comp"))
 
 
 def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, counted: float = COUNTED, max_matches: int = MAX_MATCHES) -> DataFrame:
     """id_col, n_shingles and component_id for every row of df."""
     docs = cut(_linked(df, text_col, id_col, threshold, counted, max_matches))
     with_words = docs.filter("n > 0")
-    named = with_words.groupBy("comp").agg(F.min("id").alias("component_id"))
+    # A table of its own, so that the join's sides are plain shuffles and one component's many rows can be split.
+    named = cut(with_words.groupBy("comp").agg(F.min("id").alias("component_id")))
     out = with_words.join(named, "comp").select("id", "n", "component_id").union(docs.filter("n = 0").select("id", "n", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def links(
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, counted: float = COUNTED, max_matches: int = MAX_MATCHES
+) -> tuple[DataFrame, DataFrame]:
+    """All links: membership (id_col, n_shingles, class_id, n_links), and pairs (class_a, class_b) of classes that link.
+
+    A class is the rows with equal sets, named by its least id; n_links counts the other rows that a row links with, those
+    of its own class included; a row without words is a class by itself (class_id its id) without links. Every pair of different sets is verified and none is left out, so
+    a group of n near copies costs n * n / 2 verifications: where only components are asked for, join is cheaper.
+    """
+    found = _classes(df, text_col, id_col, threshold, counted, max_matches)
+    apart = found.alive.withColumn("comp", F.col("key"))
+    pairs = cut(_verified(_candidates(apart, found.buckets, threshold, ALL), found.sets, threshold))
+    named = cut(found.docs.filter("n > 0").groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("rows")))
+    both = pairs.union(pairs.select("b", "a"))
+    near = both.join(named.select(F.col("key").alias("b"), "rows"), "b").groupBy("a").agg(F.sum("rows").alias("near"))
+    counted_ = cut(named.join(near.withColumnRenamed("a", "key"), "key", "left").select("key", "class_id", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    with_words = found.docs.filter("n > 0").join(counted_, "key").select("id", "n", "class_id", "n_links")
+    without = found.docs.filter("n = 0").select("id", "n", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    membership = with_words.union(without).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "n_links")
+    name = lambda side: named.select(F.col("key").alias(side), F.col("class_id").alias(f"class_{side}"))
+    return membership, pairs.join(name("a"), "a").join(name("b"), "b").select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
+
+
 def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of df without those whose component has a document with a smaller id; with df's own columns.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes of text that are worked on at once; a longer text is a batch of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BITS = 512
 
 _random = np.random.default_rng(20_111)
