@@ -12,7 +12,8 @@ no task holds a whole source.
 
 Edge cases: a null text has no words and is never taken; a null source is a source of its own,
 ordered last; sizes of zero give targets of zero; repeated rows are separate documents with the
-same place in the order; an empty table gives an empty result.
+same place in the order; very long texts are counted whole and cut into as many blocks as they take; columns of any name
+are handed on by resample; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,6 +97,17 @@ def schedule(spark: SparkSession, wanted: DataFrame, block_tokens: int = BLOCK_T
     return _running(dealt, ["source"], "run", ["slot"], F.lit(1).cast("long"), "rank").select("slot", "source", "rank")
 
 
+def _key(id_: Column) -> Column:
+    """60 bits of a keyed hash that other engines have, too."""
+    named = F.concat(F.lit(f"{SEED}|"), F.coalesce(id_.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(F.encode(named, "UTF-8")), 1, 15), 16, 10).cast("long")
+
+
+def _bucket(key: str) -> Column:
+    """The part of the shuffled order that a key falls into."""
+    return F.pmod(F.shiftright(key, 40), F.lit(BUCKETS))
+
+
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents without their texts, kept in the checkpoint folder: what the rest of the work reads."""
     return cut(
@@ -103,8 +115,8 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             sizes(df, text_col).alias("size"),
-            F.xxhash64(F.lit(SEED), F.col(id_col)).alias("key"),
-        ).withColumn("bucket", F.pmod(F.shiftright("key", 40), F.lit(BUCKETS)))
+            _key(F.col(id_col)).alias("key"),
+        ).withColumn("bucket", _bucket("key"))
     )
 
 
@@ -150,11 +162,16 @@ def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """The documents of the mix with df's own columns: one row for each reading of its source in which the mix takes words of it.
 
     A document at a block's edge stays whole, so a source's words exceed its target by less than one
-    document and one block.
+    document and one block. What a reading takes of a source are the first documents in the source's shuffled order, so one
+    place in that order for each source and reading tells all of them, and no text is shuffled: texts meet a table
+    of one narrow row for each source.
     """
     _, pieces = mix(df, id_col, text_col, source_col)
-    times = pieces.groupBy("source", "doc_id", "size").agg(F.countDistinct("repeat").alias("times"))
-    rows = df.withColumn("__size", sizes(df, text_col))
-    joined = rows.alias("d").join(times.alias("t"), F.expr(f"d.`{source_col}` <=> t.source AND d.`{id_col}` <=> t.doc_id AND d.__size = t.size"))
-    repeated = joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("t.times").cast("int"))))
-    return repeated.select(*(F.col(f"d.`{c}`") for c in df.columns))
+    place = lambda id_: F.struct(_bucket("key").alias("bucket"), F.col("key").alias("key"), F.col(id_).alias("id"), F.col("size").alias("size"))
+    last = [F.max(F.when(F.col("repeat") == k, place("doc_id"))).alias(f"last{k}") for k in range(PASSES)]
+    ends = cut(pieces.groupBy("source").agg(*last))
+    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{source_col}`").alias("of"), F.col(f"`{id_col}`").alias("id"), sizes(df, text_col).alias("size"), _key(F.col(f"`{id_col}`")).alias("key"))
+    met = held.alias("d").join(ends.alias("e"), F.expr("d.of <=> e.source")).withColumn("place", place("id"))
+    times = sum((F.when(F.col("place") <= F.col(f"last{k}"), 1).otherwise(0) for k in range(PASSES)), F.lit(0))
+    repeated = met.filter("size > 0").withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    return repeated.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
