@@ -12,7 +12,8 @@ and kept in a bounded cache.
 
 Edge cases: a null text is an empty one; an empty text has the end id alone; a literal space
 mark (U+2581) in the text encodes as a space, as in the library; very long segments without
-spaces are merged with a heap, in n log n; repeated rows give repeated results.
+spaces are merged with a heap, in n log n; repeated rows give repeated results; an empty table gives an empty result;
+of the input's columns only the id and the text are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ from folioflow.session import ship
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 SHORT = 48  # characters of segments that are merged in step with others
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4000
 PAIR_BITS = 20
-CACHED_SEGMENTS = 150_000
+CACHED_SEGMENTS = 100_000
 OUT_ROWS = 200
 #: Kinds of pieces and numbers of fields in the model file (fixed values of its public format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -112,9 +113,7 @@ class CharMap:
 class Model:
     """Pieces, scores and normaliser of a model file."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as file:
-            data = file.read()
+    def __init__(self, data: bytes) -> None:
         self.pieces: list[bytes] = []
         self.kinds: list[int] = []
         self.scores: list[float] = []
@@ -200,7 +199,7 @@ class Model:
     def _pair_table(self) -> None:
         """Pairs of symbols that make a piece, in an open hash table of arrays; a character that is no piece is its code point plus n."""
         n = self.n = len(self.pieces)
-        self.char_ids = np.arange(0x110000, dtype=np.int64) + n
+        self.char_ids = np.arange(n, n + 0x110000, dtype=np.int32)
         if self.byte_ids is not None:
             self.char_ids[:128] = self.byte_ids[:128]  # no pair has them, so they stay alone
         for text, k in self.by_text.items():
@@ -208,7 +207,7 @@ class Model:
                 self.char_ids[ord(text)] = k
         symbol = lambda t: self.by_text.get(t, n + ord(t) if len(t) == 1 else None)
         self.slots = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
-        self.made = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
+        self.made = np.full(1 << PAIR_BITS, -1, dtype=np.int32)
         for text, k in self.by_text.items():
             for cut in range(1, len(text)):
                 first, second = symbol(text[:cut]), symbol(text[cut:])
@@ -300,7 +299,7 @@ class Model:
     def _symbols(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The merged symbols of many segments, one after the other, and how many each has."""
         sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
-        chars = self.char_ids[np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32)]
+        chars = self.char_ids[np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32)].astype(np.int64)
         starts = np.cumsum(sizes) - sizes
         found: list[np.ndarray] = []
         counts = np.zeros(len(segments), dtype=np.int64)
@@ -408,8 +407,15 @@ def _gather(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Model:
-    return Model(path)
+def load(data: bytes) -> Model:
+    """The model of a file's bytes, kept by a worker from task to task."""
+    return Model(data)
+
+
+def read_model(path: str) -> bytes:
+    """A model file's bytes, read where the job is started; tasks get them with a broadcast."""
+    with open(path, "rb") as file:
+        return file.read()
 
 
 RESULT = "ids array<int>, starts array<int>, ends array<int>, decoded string"
@@ -418,10 +424,11 @@ RESULT = "ids array<int>, starts array<int>, ends array<int>, decoded string"
 def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, ids with the end id, byte spans of each id in the source (the end id's is empty) and the decoded text."""
     ship(df.sparkSession)
-    id_type = df.select(id_col).dtypes[0][1]
+    id_type = df.select(F.col(f"`{id_col}`")).dtypes[0][1]
+    shared = df.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, OUT_ROWS):
                 batch = whole.slice(at, OUT_ROWS)
@@ -436,5 +443,5 @@ def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", id_col:
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int32))) for x in (ids, starts, ends)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(decoded, pa.string())], names=[id_col, "ids", "starts", "ends", "decoded"])
 
-    texts = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = df.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     return texts.mapInArrow(tidy(run), f"`{id_col}` {id_type}, {RESULT}")
