@@ -43,19 +43,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store Spark has it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def id_remainder(id_col: str, modulus: int) -> Column:
     """The remainder of crc32 of an id's text; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
-def bounded_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """The rows whose id hashes among the n smallest: a fixed sample of about n rows, the same in every run.
+def bounded_sample(df: DataFrame, n: int) -> DataFrame:
+    """At most n rows of df, those that hash among the n smallest: the same rows in every run.
 
-    Only the hashes are ranked, and at most n of them reach the driver.
+    Hashes are of whole rows, and at most n + 1 of them reach the driver. Of equal rows beyond the bound any are as good.
     """
-    hashed = df.withColumn("__h", F.xxhash64(F.lit(7), F.col(id_col)))
-    most = hashed.select("__h").orderBy("__h").limit(n).agg(F.max("__h")).first()[0]
-    return hashed.filter(F.col("__h") <= F.lit(most)).drop("__h") if most is not None else df.limit(0)
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(7), *(F.col(f"`{c}`") for c in df.columns)))
+    least = [r[0] for r in hashed.select("__h").orderBy("__h").limit(n + 1).collect()]
+    if not least:
+        return df.limit(0)
+    last = least[min(n, len(least)) - 1]
+    if len(least) <= n or least[n] > last:
+        return hashed.filter(F.col("__h") <= last).drop("__h")
+    ties = hashed.filter(F.col("__h") == last).limit(sum(h == last for h in least[:n]))
+    return hashed.filter(F.col("__h") < last).union(ties).drop("__h")
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

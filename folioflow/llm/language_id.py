@@ -13,7 +13,8 @@ windows spread over each whole text; nothing but text and labels enters it.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; short texts fill one
 window up with spaces; very long texts are many windows, a bounded number at a time; repeated rows
-give repeated results; with no labelled rows every text is ``und``.
+give repeated results; with no labelled rows every text is ``und``; an empty table gives an empty result; of
+predict's input only the id, the text and the columns in keep are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -129,7 +130,8 @@ def fit(
 ) -> ByteCnn | None:
     """Trains on a bounded sample of the labelled rows: at most max_docs * windows_per_doc windows reach the driver."""
     ship(labelled.sparkSession)
-    rows = bounded_sample(labelled.select(id_col, F.col(label_col).alias("label"), F.col(text_col).alias("text")).filter("label IS NOT NULL"), id_col, max_docs)
+    named = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("text"))
+    rows = bounded_sample(named.filter("label IS NOT NULL"), max_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +144,7 @@ def fit(
                     windows.append(cut[w].tobytes())
             yield pa.RecordBatch.from_pydict({"h": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.string()), "w": pa.array(windows, pa.binary())})
 
-    texts = rows.filter(F.col("text").rlike(r"\p{L}")).select(F.xxhash64(id_col), "label", F.encode("text", "UTF-8"))
+    texts = rows.filter(F.col("text").rlike(r"\p{L}")).select(F.xxhash64("id"), "label", F.encode("text", "UTF-8"))
     got = texts.mapInArrow(run, "h long, label string, w binary").toPandas().sort_values(["h", "label", "w"])
     if got.empty:
         return None

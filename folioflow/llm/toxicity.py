@@ -1,28 +1,29 @@
 """Toxicity by multiple-instance learning: sentence scores combined by noisy-or, trained from document labels.
 
-A text is a bag of sentences. A sentence's score is a logistic function of the words in it, and a
+A text is a bag of sentences. A sentence's score is a logistic function of the features of the words in it, and a
 text is toxic with the probability that at least one sentence is: one less the product of the
 sentences' complements. Only documents carry labels; the gradient of that product tells which
 sentences to blame, and the scores of single sentences then locate the offending ones.
 
-Words are chosen by how far their share of toxic documents lies above chance, counted by Spark over
-a fixed sample of at most ``max_docs`` labelled documents; at most ``MAX_WORDS`` of them, and the
-sample's sentences that have any, reach the driver, where the weights are fitted in numpy.
+A word's features are itself and its beginnings, hashed into ``1 << BITS`` places. Over a fixed sample of at most
+``max_docs`` labelled documents, the bound on what reaches the driver, Spark counts how many documents have each
+place; all places whose share of toxic documents lies far enough above chance get weights, fitted in numpy.
 
 Edge cases: a null or empty text has no sentences and score 0; very long texts are bags of many
 sentences; repeated rows give repeated results; repeated labels of a document count as
-repeated documents; with no labelled rows, or labels of one kind, every score is 0.
+repeated documents; with no labelled rows, or labels of one kind, every score is 0; an empty table gives an empty
+result; of the columns of score's input only the id, the text and those in keep are read, whatever the others are called.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,98 +32,145 @@ from folioflow.llm.common import bounded_sample
 from folioflow.session import ship
 
 MAX_DOCS = 16_000
-MAX_WORDS = 1000
+BITS = 18
+#: Lengths of a word's beginnings.
+BEGINNINGS = (3, 4, 5, 6, 7)
 MIN_DOCS = 4
-MIN_Z = 5.0
+MIN_Z = 4.0
 #: A sentence ends after these, a word is a run of letters.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
 TERM = re.compile(r"[^\W\d_]+")
-TERM_JAVA = r"[\p{L}\p{M}]+"
 OUT_ROWS = 2000
+#: Words whose places a worker remembers.
+REMEMBERED = 200_000
+
+
+def lowered(text: str) -> str:
+    """Lower case that keeps every character's place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def word_places(word: str) -> set[int]:
+    """The places of a lower-case word and of its beginnings."""
+    own = {word, *(f"^{word[:n]}" for n in BEGINNINGS if n < len(word))}
+    return {zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in own}
+
+
+class Places(dict):
+    """For each word its places among those wanted (all if None), found at the first lookup; some words are remembered."""
+
+    def __init__(self, wanted: set[int] | None = None) -> None:
+        self.wanted = wanted
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        own = word_places(word)
+        self[word] = found = tuple(own if self.wanted is None else own & self.wanted)
+        return found
+
+
+def bag(text: str, places: Places) -> Iterator[tuple[int, int, set[int]]]:
+    """Start, end and places of each sentence of a lowered text that has a word."""
+    for match in SENTENCE.finditer(text):
+        found = TERM.findall(match.group())
+        if found:
+            yield match.start(), match.end(), {p for w in set(found) for p in places[w]}
 
 
 @dataclass
 class NoisyOr:
-    """weights: of the chosen words. bias: of every sentence."""
+    """weights: of the chosen places. bias: of every sentence."""
 
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
+    places: Places = field(default_factory=Places, repr=False)
+
+    def __post_init__(self) -> None:
+        self.places = Places(set(self.weights))
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "bias": self.bias}
 
-    def sentences(self, text: str) -> Iterator[tuple[int, int, float]]:
-        """Start, end and score of each sentence that has a word."""
-        get, none = self.weights.get, 0.0
-        for match in SENTENCE.finditer(text):
-            found = TERM.findall(match.group())
-            if found:
-                yield match.start(), match.end(), 1 / (1 + math.exp(-(self.bias + sum({w: get(w, none) for w in found}.values()))))
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
     def score(self, text: str, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
         """The text's score, and the sentences whose own score reaches least."""
         clean, offending = 0.0, []
-        for start, end, p in self.sentences(text.lower() if len(text.lower()) == len(text) else _lower(text)):
+        if not self.weights:
+            return 0.0, offending
+        for start, end, own in bag(lowered(text), self.places):
+            p = 1 / (1 + math.exp(-max(-700.0, self.bias + math.fsum(self.weights[k] for k in own))))
             clean += math.log1p(-min(p, 1 - 1e-12))
             if p >= least:
                 offending.append((start, end, p))
         return min(1.0, max(0.0, -math.expm1(clean))), offending
 
 
-def _lower(text: str) -> str:
-    """Lower case that keeps every character's place."""
-    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
-def choose_words(sample: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
-    """Words of rows (id, text, label) whose documents are toxic far more often than chance."""
+def choose_places(sample: DataFrame) -> list[int]:
+    """Places of rows (text, label) whose documents are toxic far more often than chance; all of them that are."""
     totals = sample.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not totals["n"] or not totals["toxic"] or totals["toxic"] == totals["n"]:
         return []
     p = totals["toxic"] / totals["n"]
-    in_doc = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_JAVA), 0))
-    counted = sample.select("label", F.explode(in_doc).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents that have each place, added up over a batch."""
+        places = Places()
+        for batch in batches:
+            n, toxic = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
+            for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.fromiter({p for w in set(TERM.findall(lowered(text))) for p in places[w]}, dtype=np.int64)
+                n[own] += 1
+                toxic[own] += label
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"place": some, "n": n[some], "toxic": toxic[some]})
+
+    counted = sample.select("text", "label").mapInArrow(count, "place long, n long, toxic long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    best = counted.withColumn("z", z).filter((F.col("toxic") >= MIN_DOCS) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "word").limit(max_words)
-    return [r["word"] for r in best.select("word").collect()]
+    return sorted(r["place"] for r in counted.filter((F.col("toxic") >= MIN_DOCS) & (z >= MIN_Z)).select("place").collect())
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> NoisyOr:
     """labels: rows (id_col, label_col in 0, 1); those held out must be gone already."""
-    some = bounded_sample(labels.select(id_col, F.col(label_col).cast("int").alias("label")).dropna(), id_col, max_docs)
-    sample = documents.select(id_col, F.col(text_col).alias("text")).dropna().join(F.broadcast(some), id_col)  # bounded by max_docs
     ship(documents.sparkSession)
-    words = choose_words(sample)
-    if not words:
+    some = bounded_sample(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna(), max_docs)
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
+    sample = texts.join(F.broadcast(some), "id")  # bounded by max_docs
+    chosen = choose_places(sample)
+    if not chosen:
         return NoisyOr({}, -math.inf)
-    places = {w: i for i, w in enumerate(words)}
+    wanted = set(chosen)
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each document the number of its sentences, and the words of those that have any."""
-        for pdf in batches:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each document the number of its sentences, and the places of those that have any."""
+        places = Places(wanted)
+        for batch in batches:
             rows = []
-            for key, text, label in zip(pdf["key"], pdf["text"], pdf["label"], strict=True):
-                found = [TERM.findall(s) for s in SENTENCE.findall(_lower(text))]
-                hit = [sorted({places[w] for w in s if w in places}) for s in found]
-                rows.append((key, label, sum(map(bool, found)), ";".join(" ".join(map(str, h)) for h in hit if h)))
-            yield pd.DataFrame(rows, columns=["key", "label", "n", "hits"])
+            for key, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [sorted(own) for _, _, own in bag(lowered(text), places)]
+                hit = [h for h in found if h]
+                rows.append((key, label, len(found), np.array([len(h) for h in hit], dtype="<i4").tobytes(), np.array([p for h in hit for p in h], dtype="<i4").tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["key", "label", "n", "lengths", "places"])
 
-    got = sample.select(F.xxhash64(id_col).alias("key"), "text", "label").mapInPandas(bags, "key long, label int, n long, hits string").toPandas()
-    got = got.sort_values(["key", "label", "n", "hits"]).reset_index(drop=True)
-    weights, bias = _fit_weights(got, len(words))
-    return NoisyOr(dict(zip(words, weights.tolist(), strict=True)), float(bias))
+    keyed = sample.select(F.xxhash64("id").alias("key"), "text", F.col("label").cast("long"))
+    got = sorted(map(tuple, keyed.mapInArrow(bags, "key long, label long, n long, lengths binary, places binary").collect()))
+    weights, bias = _fit_weights(got, np.array(chosen))
+    return NoisyOr(dict(zip(chosen, weights.tolist(), strict=True)), float(bias))
 
 
-def _fit_weights(bags: pd.DataFrame, n_words: int, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def _fit_weights(bags: list[tuple], chosen: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Adam on the likelihood of the documents' labels under noisy-or."""
-    owner, flat, sentence = [], [], []
-    for k, hits in enumerate(bags["hits"]):
-        for s in filter(None, hits.split(";")):
-            for w in s.split():
-                sentence.append(len(owner))
-                flat.append(int(w))
-            owner.append(k)
-    owner, flat, sentence = (np.array(x, dtype=np.int64) for x in (owner, flat, sentence))
-    y = bags["label"].to_numpy(dtype=float)
-    plain = bags["n"].to_numpy(dtype=float) - np.bincount(owner, minlength=len(bags))
-    theta, m, v = np.concatenate((np.zeros(n_words), [-6.0])), np.zeros(n_words + 1), np.zeros(n_words + 1)
+    lengths = [np.frombuffer(b[3], dtype="<i4") for b in bags]
+    owner = np.repeat(np.arange(len(bags)), [len(x) for x in lengths])
+    sentence = np.repeat(np.arange(len(owner)), np.concatenate(lengths))
+    flat = np.searchsorted(chosen, np.frombuffer(b"".join(b[4] for b in bags), dtype="<i4"))
+    y = np.array([b[1] for b in bags], dtype=float)
+    plain = np.array([b[2] for b in bags], dtype=float) - np.bincount(owner, minlength=len(bags))
+    theta, m, v = np.concatenate((np.zeros(len(chosen)), [-6.0])), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
         w, b = theta[:-1], theta[-1]
         logits = b + np.bincount(sentence, weights=w[flat], minlength=len(owner))
@@ -132,7 +180,7 @@ def _fit_weights(bags: pd.DataFrame, n_words: int, steps: int = 400, rate: float
         # d likelihood / d logit of a sentence is p * (y / doc - 1), whatever the other sentences are.
         blame = (y / doc - 1) / len(bags)
         by_sentence = blame[owner] * p
-        g = np.append(np.bincount(flat, weights=by_sentence[sentence], minlength=n_words), by_sentence.sum() + (blame * plain).sum() * p0)
+        g = np.append(np.bincount(flat, weights=by_sentence[sentence], minlength=len(chosen)), by_sentence.sum() + (blame * plain).sum() * p0)
         g -= l2 * np.append(w, 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -157,7 +205,7 @@ def score(df: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([f[0] for f in found], pa.float64()), pa.array(offending, spans)], names=[*names, "score", "offending"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    texts = df.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    texts = df.select(*(F.col(f"`{c}`") for c in names), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     return texts.mapInArrow(run, f"{schema}, score double, offending array<struct<start:int,end:int,score:double>>")
 
 
