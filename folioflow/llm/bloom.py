@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folioflow.llm.shingles import mix
 from folioflow.session import ship
 
 BLOCK_BITS = 512
@@ -25,23 +26,26 @@ class BlockedBloom:
         self.blocks = min(max(1, -(-n_keys * bits_per_key // BLOCK_BITS)), max(1, max_bytes * 8 // BLOCK_BITS))
         self.bits = np.zeros((self.blocks, BLOCK_BITS // 8), dtype=np.uint8)
 
-    def _spots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The block of each hash and its bits inside that block."""
-        h = hashes.view(np.uint64)
+        h = mix(hashes.view(np.uint64))
         block = (h >> np.uint64(32)) % np.uint64(self.blocks)
         step = np.arange(1, self.probes + 1, dtype=np.uint64)[None, :]
         low = h[:, None] & np.uint64(0xFFFFFFFF)
         return block.astype(np.int64), ((low * (step * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))) >> np.uint64(55)).astype(np.int64)
 
     def add(self, hashes: np.ndarray) -> None:
-        block, bit = self._spots(hashes)
-        np.bitwise_or.at(self.bits, (block[:, None], bit >> 3), np.uint8(1) << (bit & 7).astype(np.uint8))
+        set_bits(self.bits, *self.spots(hashes))
 
     def may_have(self, hashes: np.ndarray) -> np.ndarray:
-        block, bit = self._spots(hashes)
+        block, bit = self.spots(hashes)
         return ((self.bits[block[:, None], bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
+def set_bits(bits: np.ndarray, block: np.ndarray, bit: np.ndarray) -> None:
+    np.bitwise_or.at(bits, (block[:, None], bit >> 3), np.uint8(1) << (bit & 7).astype(np.uint8))
+
+
 def build(hashes: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> BlockedBloom:
     """The filter over a DataFrame of one long column.
 
@@ -49,22 +53,31 @@ def build(hashes: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> BlockedBloom:
     and the filter, of at most max_bytes, comes to the driver.
     """
     ship(hashes.sparkSession)
-    filter_ = BlockedBloom(hashes.count(), max_bytes=max_bytes)
-    blocks, probes, width = filter_.blocks, filter_.probes, RANGE_BLOCKS * BLOCK_BITS // 8
+    n = hashes.count()
+    filter_, lean = (BlockedBloom(n, max_bytes=max_bytes) for _ in range(2))
+    blocks, width = filter_.blocks, RANGE_BLOCKS * BLOCK_BITS // 8
+    lean.bits = lean.bits[:0]  # goes to the tasks without its bits
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = BlockedBloom(0)
-        own.blocks, own.probes, own.bits = blocks, probes, np.zeros((blocks, BLOCK_BITS // 8), dtype=np.uint8)
+        """The ranges that this task's keys touch: no more bytes than a range for each key, however large the filter is."""
+        ranges: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, bit = lean.spots(batch.column(0).to_numpy(zero_copy_only=False))
+            for part in np.unique(block // RANGE_BLOCKS).tolist():
+                mine = np.flatnonzero(block // RANGE_BLOCKS == part)
+                bits = ranges.setdefault(part, np.zeros((min(RANGE_BLOCKS, blocks - part * RANGE_BLOCKS), BLOCK_BITS // 8), dtype=np.uint8))
+                set_bits(bits, block[mine] - part * RANGE_BLOCKS, bit[mine])
+        for part, bits in ranges.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One range at a time, however many tasks have touched it."""
+        part, total = None, None
         for batch in batches:
-            own.add(batch.column(0).to_numpy(zero_copy_only=False))
-        for at in range(0, blocks, RANGE_BLOCKS):
-            part = own.bits[at : at + RANGE_BLOCKS]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([at // RANGE_BLOCKS], pa.int32()), "bits": pa.array([part.tobytes()], pa.binary())})
-
-    def merge(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, dtype=np.uint8) for x in table.column("bits").to_pylist()]
-        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+            for number, raw in zip(batch.column("part").to_pylist(), batch.column("bits"), strict=True):
+                bits = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+                part, total = number, bits.copy() if total is None else np.bitwise_or(total, bits, out=total)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
     merged = hashes.mapInArrow(fill, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
     flat = filter_.bits.reshape(-1)
