@@ -10,7 +10,7 @@ interval to a row, at most 8191 rows to an image, and as many images one after t
 
 Edge cases: a null payload or text is empty; bytes that aren't baseline JPEG give null dimensions
 and an empty thumbnail instead of an error; very long payloads take several images; repeated rows give
-repeated results.
+repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from folioflow.session import ship
 ROW = 192
 MAX_ROWS = 8191
 BATCH_BYTES = 2 << 20
+#: Rows that are encoded at once.
+BLOCK_ROWS = 4096
 #: Lengths and values of the standard luminance DC code (fixed values of the public format).
 DC_BITS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 DC_VALUES = tuple(range(12))
@@ -82,11 +84,10 @@ def _header(rows: int) -> bytes:
     )
 
 
-def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """Stores payloads, whose lengths are multiples of 192, as JPEG images."""
-    counts = [len(p) // ROW for p in payloads]
-    samples = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, ROW).astype(np.int64) - 128
-    diffs = np.diff(samples, axis=1, prepend=0)
+def _encode_rows(rows: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Rows of 192 bytes as entropy-coded intervals one after the other, and where each begins and the last one ends."""
+    samples = rows.astype(np.int16) - 128
+    diffs = np.diff(samples, axis=1, prepend=np.int16(0))
     codes, lengths = CODES[diffs + 255], LENGTHS[diffs + 255]
     bits = lengths.sum(axis=1)
     row_bytes = (bits + 7) >> 3
@@ -102,21 +103,28 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     for k in range(3):
         out += np.bincount((at >> 3) + k, weights=(shifted >> (16 - 8 * k)) & 255, minlength=size + 3)[: size + 3]
     data = out[:size].astype(np.uint8)
-    # A zero after each 255, and a restart mark after each row but an image's last.
+    # A zero after each 255.
     full = np.flatnonzero(data == 255)
     data = np.insert(data, full + 1, 0)
-    stuffed = np.searchsorted(full, np.append(row_starts, size))
-    edges = (np.append(row_starts, size) + stuffed).tolist()
-    whole = data.tobytes()
+    starts = np.append(row_starts, size)
+    return data.tobytes(), starts + np.searchsorted(full, starts)
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """Stores payloads, whose lengths are multiples of 192, as JPEG images; a block of rows at a time, whatever their length."""
+    counts = [len(p) // ROW for p in payloads]
+    samples = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, ROW)
+    blocks = [_encode_rows(samples[at : at + BLOCK_ROWS]) for at in range(0, len(samples), BLOCK_ROWS)]
+    row_of = lambda k: blocks[k // BLOCK_ROWS][0][blocks[k // BLOCK_ROWS][1][k % BLOCK_ROWS] : blocks[k // BLOCK_ROWS][1][k % BLOCK_ROWS + 1]]
     result, row = [], 0
     for n in counts:
-        images = []
+        images: list[bytes] = []
         for first in range(row, row + n, MAX_ROWS):
             last = min(first + MAX_ROWS, row + n)
-            scan = [whole[edges[first] : edges[first + 1]]]
-            for k in range(first + 1, last):
-                scan += (bytes((0xFF, 0xD0 | (k - first - 1) & 7)), whole[edges[k] : edges[k + 1]])
-            images += (_header(last - first), *scan, b"\xff\xd9")
+            images += (_header(last - first), row_of(first))
+            for k in range(first + 1, last):  # a restart mark after each row but an image's last
+                images += (bytes((0xFF, 0xD0 | (k - first - 1) & 7)), row_of(k))
+            images.append(b"\xff\xd9")
         result.append(b"".join(images))
         row += n
     return result
@@ -127,18 +135,21 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Image:
-    """What the markers say: shape, components (h, v, quantiser of DC, DC code, AC code), restart interval, scan."""
+    """What the markers say: shape, and of the scan that has the first component: its size, components (h, v, quantiser of DC,
+    DC code, AC code) with the first one's place among them, restart interval and lanes."""
 
     width: int
     height: int
+    scan_width: int
+    scan_height: int
     components: tuple[tuple[int, int, int, tuple, tuple], ...]
+    luma: int
     interval: int
-    scan: tuple[int, int]
     lanes: list[tuple[int, int]] = field(default_factory=list)
 
 
 def parse(data: bytes) -> tuple[list[Image], bool]:
-    """The images of a stream of baseline JPEGs, and whether all of it could be read."""
+    """The images of a stream of baseline JPEGs, each with the scan of its first component, and whether all of it could be read."""
     images: list[Image] = []
     at = 0
     dc_step: dict[int, int] = {}
@@ -178,16 +189,19 @@ def parse(data: bytes) -> tuple[list[Image], bool]:
                 height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
                 frame = (width, height, {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])})
             elif mark == 0xDA:
-                if frame is None or body[0] != len(frame[2]) or not frame[0] or not frame[1]:
+                if frame is None or not frame[0] or not frame[1] or not frame[2]:
                     return images, False
-                parts = []
-                for i in range(body[0]):
-                    h, v, q = frame[2][body[1 + 2 * i]]
-                    tables = body[2 + 2 * i]
-                    parts.append((h, v, dc_step[q], codes[tables >> 4], codes[0x10 | tables & 15]))
-                if len(parts) == 1:  # a scan of one component goes block by block
-                    parts = [(1, 1, *parts[0][2:])]
-                image = Image(frame[0], frame[1], tuple(parts), interval, (at, at))
+                width, height, parts = frame
+                own = [body[1 + 2 * i] for i in range(body[0])]
+                tables = [body[2 + 2 * i] for i in range(body[0])]
+                used = [(*parts[c][:2], dc_step[parts[c][2]], codes[t >> 4], codes[0x10 | t & 15]) for c, t in zip(own, tables, strict=True)]
+                size = width, height
+                if len(used) == 1:  # a scan of one component goes block by block over that component's samples
+                    h, v = max(x[0] for x in parts.values()), max(x[1] for x in parts.values())
+                    size = -(-width * used[0][0] // h), -(-height * used[0][1] // v)
+                    used = [(1, 1, *used[0][2:])]
+                first = next(iter(parts))
+                image = Image(width, height, *size, tuple(used), own.index(first) if first in own else -1, interval)
                 # Restart marks cut the scan; any other mark ends it.
                 begin = at
                 while True:
@@ -202,7 +216,9 @@ def parse(data: bytes) -> tuple[list[Image], bool]:
                     else:
                         image.lanes.append((begin, at))
                         break
-                images.append(image)
+                # A frame's other components may come in scans of their own, which the thumbnail has no need of.
+                if image.luma >= 0:
+                    images.append(image)
             elif 0xC1 <= mark <= 0xCF and mark != 0xCC:
                 return images, False  # not baseline
     except (IndexError, KeyError):
@@ -228,27 +244,27 @@ def _window(bytes_: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode_thumbnails(streams: list[bytes]) -> list[list[np.ndarray] | None]:
-    """For each stream the DC-only luminance of its images, as arrays of bytes; None if it can't be read."""
-    result: list[list[np.ndarray] | None] = []
+def decode_thumbnails(streams: list[bytes]) -> list[list[tuple[int, int, np.ndarray]] | None]:
+    """For each stream its images' widths, heights and DC-only luminance, as arrays of bytes; None if it can't be read."""
+    result: list[list[tuple[int, int, np.ndarray]] | None] = []
     groups: dict[tuple, list[tuple[Image, bytes, int, int]]] = defaultdict(list)
     for k, data in enumerate(streams):
         images, ok = parse(data)
         result.append([None] * len(images) if ok else None)
         if ok:
             for i, image in enumerate(images):
-                groups[image.components].append((image, data, k, i))
-    for components, members in groups.items():
-        for (_, _, k, i), thumb in zip(members, _decode_group(components, [(m[0], m[1]) for m in members]), strict=True):
+                groups[image.components, image.luma].append((image, data, k, i))
+    for (components, luma), members in groups.items():
+        for (image, _, k, i), thumb in zip(members, _decode_group(components, luma, [(m[0], m[1]) for m in members]), strict=True):
             if result[k] is not None:
                 if thumb is None:
                     result[k] = None
                 else:
-                    result[k][i] = thumb
+                    result[k][i] = image.width, image.height, thumb
     return result
 
 
-def _decode_group(components: tuple, members: list[tuple[Image, bytes]]) -> list[np.ndarray | None]:
+def _decode_group(components: tuple, luma_at: int, members: list[tuple[Image, bytes]]) -> list[np.ndarray | None]:
     """Images of one structure and one set of codes, all restart intervals in step."""
     h_max, v_max = max(c[0] for c in components), max(c[1] for c in components)
     tables = [(_lookup(c[3]), _lookup(c[4])) for c in components]
@@ -256,7 +272,7 @@ def _decode_group(components: tuple, members: list[tuple[Image, bytes]]) -> list
     place = 0
     shapes = []
     for n, (image, data) in enumerate(members):
-        across, down = -(-image.width // (8 * h_max)), -(-image.height // (8 * v_max))
+        across, down = -(-image.scan_width // (8 * h_max)), -(-image.scan_height // (8 * v_max))
         shapes.append((across, down))
         total = across * down
         each = image.interval or total
@@ -277,14 +293,14 @@ def _decode_group(components: tuple, members: list[tuple[Image, bytes]]) -> list
     # Lanes with the most to do first, so that those still running are a leading slice.
     order = np.argsort(-quota, kind="stable")
     at, stop, quota, owner, first_mcu = at[order], stop[order], quota[order], owner[order], first_mcu[order]
-    h, v = components[0][0], components[0][1]
+    h, v = components[luma_at][:2]
     bases = np.cumsum([0, *(a * d * h * v for a, d in shapes)])
     across_of = np.array([a for a, _ in shapes])[owner] * h
     begin = bases[:-1][owner]
     luma = np.zeros(int(bases[-1]), dtype=np.uint8)
     broken = np.zeros(len(at), dtype=bool)
     before = [np.zeros(len(at), dtype=np.int64) for _ in components]
-    step = components[0][2]
+    step = components[luma_at][2]
 
     def take(spots: np.ndarray) -> np.ndarray:
         return (window[np.minimum(spots >> 3, limit)] << (spots & 7)) & 0xFFFFFFFFFFFF
@@ -304,11 +320,11 @@ def _decode_group(components: tuple, members: list[tuple[Image, bytes]]) -> list
                     extra = (bits >> (48 - n - size)) & ((1 << size) - 1)
                     before[c][:active] += np.where((extra >> np.maximum(size - 1, 0)) & 1 | (size == 0), extra, extra - (1 << size) + 1)
                     at[:active] += n + size
-                    if c == 0:
+                    if c == luma_at:
                         spot = first_mcu[:active] + mcu
                         wide = across_of[:active] // h
                         place_ = (spot // wide * v + by) * across_of[:active] + spot % wide * h + bx
-                        luma[begin[:active] + place_] = np.clip((before[0][:active] * step + 4) // 8 + 128, 0, 255)
+                        luma[begin[:active] + place_] = np.clip((before[c][:active] * step + 4) // 8 + 128, 0, 255)
                     # AC codes are passed over: all lanes at once, then those whose block goes on.
                     rest = np.arange(active)
                     k = np.ones(active, dtype=np.int64)
@@ -329,7 +345,7 @@ def _decode_group(components: tuple, members: list[tuple[Image, bytes]]) -> list
             continue
         grid = luma[bases[n] : bases[n + 1]].reshape(shapes[n][1] * v, shapes[n][0] * h)
         # Blocks past the picture's edge are padding.
-        out.append(grid[: -(-image.height * v // (8 * v_max)), : -(-image.width * h // (8 * h_max))])
+        out.append(grid[: -(-image.scan_height * v // (8 * v_max)), : -(-image.scan_width * h // (8 * h_max))])
     return out
 
 
@@ -382,7 +398,11 @@ def store_payloads(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def describe(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """Adds width, height, n_images, thumbnail (the DC-only luminance, images one after the other), average_hash, difference_hash."""
+    """Adds width, height, n_images, thumbnail (the DC-only luminance, images one after the other), average_hash, difference_hash.
+
+    Width and height are the frame's; those of several images of one width, which are one picture cut across, are taken
+    together. Columns of df with these names are replaced.
+    """
     ship(df.sparkSession)
     kept = [c for c in df.columns if c not in ("width", "height", "n_images", "thumbnail", "average_hash", "difference_hash")]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -395,15 +415,15 @@ def describe(df: DataFrame, media_col: str = "media") -> DataFrame:
                 media = [x or b"" for x in batch.column(at).to_pylist()]
                 for found in decode_thumbnails(media):
                     images.append(len(found) if found else 0)
-                    thumbs.append(b"".join(x.tobytes() for x in found) if found else b"")
+                    thumbs.append(b"".join(x.tobytes() for _, _, x in found) if found else b"")
                     if not found:
                         for x in (width, height, average, difference):
                             x.append(None)
                         continue
-                    stacked = found[0] if len({x.shape[1] for x in found}) > 1 else np.concatenate(found)
-                    a, d = hashes(stacked)
-                    width.append(found[0].shape[1] * 8)
-                    height.append(stacked.shape[0] * 8)
+                    one = found[:1] if len({(w, x.shape[1]) for w, _, x in found}) > 1 else found
+                    a, d = hashes(np.concatenate([x for _, _, x in one]))
+                    width.append(one[0][0])
+                    height.append(sum(h for _, h, _ in one))
                     average.append(f"{a:016x}")
                     difference.append(f"{d:016x}")
                 new = [pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(images, pa.int32()), pa.array(thumbs, pa.binary()), pa.array(average, pa.string()), pa.array(difference, pa.string())]
