@@ -15,7 +15,8 @@ The round function is HMAC-SHA256, composed of sha2 from the key's two pads.
 Edge cases: a null text stays null; an empty one stays empty; numbers that fail their test stay
 as they are; a card is found beside other numbers of the same run; equal values in one text get equal pseudonyms; upper-case e-mail addresses and
 secrets get the pseudonym of their lower-case form, in upper case; all columns but the text
-are handed on unchanged, in their order.
+are handed on unchanged, in their order, whatever their names; repeated rows get the same pseudonyms; very long texts,
+addresses and secrets are worked on whole, in time that grows with their length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 DEFAULT_KEY = b"folioflow demonstration key"
 
-_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
+#: Runs of one class alone: no group repeats, so that a long address takes no stack.
+_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-][A-Za-z0-9.\-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])"
 _IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 _DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
@@ -44,10 +46,10 @@ _ABROAD = rf"\+[2-9](?:(?![ .\-/](?:{_CARD_LIKE}|{_OTHER}))[ .\-/]?\(?\d\)?){{6,
 #: The longest run of digit groups; the cards in it are found by their check digits. Possessive: a long run takes no stack.
 _RUN = rf"(?<!\d)(?!{_OTHER})\d(?:[ \-]?(?!{_OTHER})\d){{12,}}+"
 _BARE = rf"(?!{_OTHER}|{_ABROAD}|{_RUN})"
-_VALUE = r"[A-Za-z0-9+/_=\-]{8,4096}+"
+_VALUE = r"[A-Za-z0-9+/_=\-]{8,}+"
 #: Without quotes after a colon, where prose may follow, a secret has to have a digit.
-_MARK = r"(?i:token|secret|password|passwd|api_?key|key)[\"']?\s{0,4}"
-_SECRET = rf"{_MARK}(?:[=:]\s{{0,4}}(?:\"{_VALUE}\"|'{_VALUE}')|=\s{{0,4}}{_BARE}{_VALUE}|:\s{{0,4}}{_BARE}(?=[A-Za-z+/_=\-]{{0,4095}}\d){_VALUE})"
+_MARK = r"(?i:token|secret|password|passwd|api_?key|key)[\"']?\s*+"
+_SECRET = rf"{_MARK}(?:[=:]\s*+(?:\"{_VALUE}\"|'{_VALUE}')|=\s*+{_BARE}{_VALUE}|:\s*+{_BARE}(?=[A-Za-z+/_=\-]*+\d){_VALUE})"
 
 #: What may be private, in the order of their alternatives. Lookarounds keep a match from being part of a longer one.
 PATTERNS = {"email": _EMAIL, "secret": _SECRET, "phone": rf"{_NANP}|{_ABROAD}", "ip": _IP, "date": _DATE, "ssn": _SSN, "card": _RUN}
@@ -125,18 +127,20 @@ def permute_characters(value: Column, hmac: Hmac, kind: str, letters: int = 26)
 
     def shifted(side: Column, other: Column, k: Column) -> Column:
         """Each character of side moved within its class by a byte of the hash of other; 32 characters to a hash."""
-        chars = F.filter(F.split(side, ""), lambda c: c != "")
-        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(side) - 1) / 32).cast("int")))
-        stream = F.array_join(F.transform(blocks, lambda b: hmac(F.concat_ws("|", F.lit(kind), n, k, b, other))), "")
-        return F.array_join(
-            F.transform(
+
+        def block(text: Column, b: Column) -> Column:
+            """32 characters by one hash, which is made once for all of them."""
+            chars = F.filter(F.split(text, ""), lambda c: c != "")
+            by = lambda stream, i: _number(F.substring(stream, i * 2 + 1, F.lit(2)))
+            moved = lambda stream: F.transform(
                 chars,
-                lambda c, i: F.when(c.rlike("^[0-9]$"), F.char(F.pmod(F.ascii(c) - 48 + _number(F.substring(stream, i * 2 + 1, F.lit(2))), F.lit(10)) + 48))
-                .when(c.rlike("^[a-z]$"), F.char(F.pmod(F.ascii(c) - 97 + _number(F.substring(stream, i * 2 + 1, F.lit(2))), F.lit(letters)) + 97))
+                lambda c, i: F.when(c.rlike("^[0-9]$"), F.char(F.pmod(F.ascii(c) - 48 + by(stream, i), F.lit(10)) + 48))
+                .when(c.rlike("^[a-z]$"), F.char(F.pmod(F.ascii(c) - 97 + by(stream, i), F.lit(letters)) + 97))
                 .otherwise(c),
-            ),
-            "",
-        )
+            )
+            return F.array_join(F.flatten(F.transform(F.array(hmac(F.concat_ws("|", F.lit(kind), n, k, b, other))), moved)), "")
+
+        return F.array_join(F.transform(F.regexp_extract_all(side, F.lit("(?s).{1,32}"), 0), block), "")
 
     def turn(state: Column, k: Column) -> Column:
         even = k % 2 == 0
@@ -274,8 +278,8 @@ def _ssn(value: Column, hmac: Hmac) -> Column:
 
 def _cased(original: Column, lower: Column) -> Column:
     """lower with upper-case letters where original has them."""
-    chars = F.filter(F.split(lower, ""), lambda c: c != "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(F.substring(original, i + 1, F.lit(1)).rlike("^[A-Z]$"), F.upper(c)).otherwise(c)), "")
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    return F.array_join(F.zip_with(chars(lower), chars(original), lambda c, o: F.when(o.rlike("^[A-Z]$"), F.upper(c)).otherwise(c)), "")
 
 
 def _email(value: Column, hmac: Hmac) -> Column:
@@ -284,7 +288,7 @@ def _email(value: Column, hmac: Hmac) -> Column:
 
 
 def _secret(value: Column, hmac: Hmac) -> Column:
-    head, quote = F.regexp_extract(value, r"^[^=:]*[=:]\s{0,4}[\"']?", 0), F.regexp_extract(value, r"[\"']?$", 0)
+    head, quote = F.regexp_extract(value, r"^[^=:]*[=:]\s*[\"']?", 0), F.regexp_extract(value, r"[\"']?$", 0)
     body = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(quote))
     moved = F.when(body.rlike("^[0-9A-Fa-f]+$"), permute_characters(F.lower(body), hmac, "hex", 6)).otherwise(permute_characters(F.lower(body), hmac, "secret"))
     return F.concat(head, _cased(body, moved), quote)
@@ -312,17 +316,15 @@ def pseudonym(value: Column, key: bytes = DEFAULT_KEY) -> Column:
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
-    """df with the private values in text_col replaced; its columns and their order stay."""
-    text = F.col(f"`{text_col}`")
-    found = F.regexp_extract_all(text, F.lit(ANY), 0)
+    """df with the private values in text_col replaced; its columns, whatever their names, and their order stay."""
+    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     # Cheap tests first: every format has an at sign, a digit, or a secret's mark.
-    with_found = df.withColumn("__found", F.when(text.rlike(r"[0-9@\"=]|:\s{0,4}'"), found))
-    between = F.split(text, ANY, -1)
+    found = held.withColumn("found", F.when(F.col("text").rlike(r"[0-9@\"=]|:\s*+'"), F.regexp_extract_all("text", F.lit(ANY), 0)))
+    some = F.size("found") > 0
+    staged = found.withColumn("between", F.when(some, F.split("text", ANY, -1))).withColumn("new", F.when(some, F.transform("found", lambda v: pseudonym(v, key))))
     joined = F.concat(
-        F.array_join(F.transform(F.col("__found"), lambda v, i: F.concat(F.get(F.col("__between"), i), F.get(F.col("__new"), i))), ""),
-        F.get(F.col("__between"), F.size("__found")),
+        F.array_join(F.transform("found", lambda v, i: F.concat(F.get("between", i), F.get("new", i))), ""),
+        F.get("between", F.size("found")),
     )
-    some = F.size("__found") > 0
-    staged = with_found.withColumn("__between", F.when(some, between)).withColumn("__new", F.when(some, F.transform("__found", lambda v: pseudonym(v, key))))
-    columns = [F.when(some, joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    columns = [F.when(some, joined).otherwise(F.col("text")).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns]
     return staged.select(*columns)
