@@ -10,14 +10,12 @@ ranges of its turns in order, whose texts one after the other are the whole rend
 mask starts count from the beginning of the whole. Ranges are cut from a global sort, so neither
 a long conversation nor a turn number that repeats is gathered into one task.
 
-``rotate`` gives stretches of at most ``part_turns`` turns instead, each rendered by itself: turns
-are dealt to stretches by their turn number; a stretch in which one number repeats very often is
-split further by a hash of the text. A stretch has none of the turns before it.
-
 Edge cases: a null role is the participant ``unknown``; a null text is an empty turn; a null turn
-number sorts first (in stretch 0); equal turn numbers are ordered by role, then text; repeated
+number sorts first; equal turn numbers are ordered by role, then text; repeated
 rows are repeated turns; system turns are shown to everybody and nobody's perspective unless
-only system turns exist, when nothing is rendered; an empty table gives an empty result.
+only system turns exist, when nothing is rendered; very long texts are turns like any other, one of more than
+whole_bytes is a range of its own; of the input's columns only the four named are read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,7 +25,6 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import cut
 
-PART_TURNS = 64
 #: A longer conversation comes in ranges; each turn counts with its headers. Turns that one step of the mask's sum goes over.
 WHOLE_BYTES, TURN_BYTES, STEP_TURNS = 4 << 20, 64, 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -93,7 +90,12 @@ def rotate_whole(
     text_col: str = "text",
     whole_bytes: int = WHOLE_BYTES,
 ) -> DataFrame:
-    """The columns of rotate, split always 0; part counts the ranges of a conversation of more than whole_bytes."""
+    """Columns: conv_id, part, split, perspective, n_turns, n_trained, text, mask.
+
+    mask: for each turn a struct (start, length, train), in characters of the rendered text;
+    start and length span the turn's content and its end mark, the header is never trained on.
+    part counts the ranges of a conversation of more than whole_bytes; split is always 0.
+    """
     said = _said(turns, conv_col, turn_col, role_col, text_col)
     weight = F.octet_length("text") + F.octet_length("speaker") + TURN_BYTES
     long_ones = said.groupBy("conv_id").agg(F.sum(weight).alias("n")).filter(F.col("n") > whole_bytes).select("conv_id")
@@ -143,56 +145,3 @@ def rotate_whole(
     same = "u.conv_id <=> o.conv_id AND u.task = o.task AND u.unit = o.unit AND u.perspective = o.perspective"
     ranges = seen(units).alias("u").join(offsets.alias("o"), F.expr(same)).select("u.*", "o.before", "o.part")
     return rendered(seen(short.withColumns({"part": zero, "before": zero}))).unionByName(rendered(ranges))
-
-
-def rotate(
-    turns: DataFrame,
-    conv_col: str = "conv_id",
-    turn_col: str = "turn",
-    role_col: str = "role",
-    text_col: str = "text",
-    part_turns: int = PART_TURNS,
-) -> DataFrame:
-    """Columns: conv_id, part, split, perspective, n_turns, n_trained, text, mask.
-
-    mask: for each turn a struct (start, length, train), in characters of the rendered text;
-    start and length span the turn's content and its end mark, the header is never trained on.
-    """
-    said = _said(turns, conv_col, turn_col, role_col, text_col).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long"))
-    # Which stretches hold more than one row a turn number, and how far they must be split.
-    load = said.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    dealt = said.alias("s").join(load.alias("l"), F.expr("s.conv_id <=> l.conv_id AND s.part = l.part")).select(
-        "s.conv_id",
-        "s.part",
-        F.pmod(F.xxhash64("turn", "speaker", "text"), F.ceil(F.col("n") / (4 * part_turns))).alias("split"),
-        "turn",
-        "speaker",
-        "text",
-    )
-    speakers = said.filter(F.col("speaker") != "system").select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    stretch = dealt.groupBy("conv_id", "part", "split").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
-    seen = stretch.alias("s").join(speakers.alias("p"), F.expr("s.conv_id <=> p.conv_id")).select("s.*", "perspective")
-    pieces = seen.select("conv_id", "part", "split", "perspective", _pieces().alias("pieces"))
-    empty = F.array().cast("array<struct<start:int,length:int,train:boolean>>")
-    mask = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["head"]) + F.length(p["body"])).alias("at"),
-            F.concat(
-                a["spans"],
-                F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"), p["train"].alias("train"))),
-            ).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return pieces.select(
-        "conv_id",
-        "part",
-        "split",
-        "perspective",
-        F.size("pieces").cast("long").alias("n_turns"),
-        F.size(F.filter("pieces", lambda p: p["train"])).cast("long").alias("n_trained"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
-        mask.alias("mask"),
-    )

@@ -5,7 +5,8 @@ decides a verdict: a rule ``(name, measure, sign, factor, base)`` holds when
 ``measure * 100 sign factor * base``. The compiled projection has one boolean per rule and the
 list of the names of broken rules; no user function is evaluated.
 
-Edge cases: a null or empty text has no words and fails the base rule ``n_words >= 10``; repeated
+Edge cases: a null or empty text has no words and fails the base rule ``n_words >= 10``; very long
+texts are measured whole, in n log n; repeated
 rows each get their own verdict; an empty table gives an empty result; input columns with the
 names of output columns are ignored unless the caller keeps them.
 """

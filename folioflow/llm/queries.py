@@ -31,6 +31,24 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+#: Word-level shingles as lists, links from shared ones, and what is reachable over links.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) < 5 THEN [words] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: list_slice(words, i, i + 4))) END) AS shingle
+  FROM d WHERE len(words) > 0),
+h AS (SELECT doc_id, hash(shingle) AS h FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN least ON a = d.doc_id
+"""
+
+
 # -- op3 ---------------------------------------------------------------------------------
 
 
@@ -42,7 +60,7 @@ def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH said AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
-         coalesce(CAST(floor(turn / 64.0) AS BIGINT), 0) AS part
+         CAST(0 AS BIGINT) AS part
   FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 pieces AS (
@@ -140,6 +158,36 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
 
 
+#: The schedule's slots as spans of the unit interval; a source's slots take its first blocks, of as many words.
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 15) AS BIGINT) AS key FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+weighed AS (SELECT *, CAST(([3, 1, 2])[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM per),
+levelled AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM weighed WINDOW o AS (ORDER BY source_size * 2 / weight, encode(source) NULLS LAST)),
+rated AS (SELECT *, max(rate) FILTER (rate * weight <= source_size * 2) OVER () AS final FROM levelled),
+wanted AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, coalesce(final * weight, source_size * 2.0::DOUBLE)) AS target FROM rated),
+spans AS (
+  SELECT source, (sum(target) OVER u - target) / sum(target) OVER () AS low, sum(target) OVER u / sum(target) OVER () AS high, sum(target) OVER () AS total
+  FROM wanted WHERE target > 0 WINDOW u AS (ORDER BY encode(source) NULLS LAST ROWS UNBOUNDED PRECEDING)),
+slots AS (
+  SELECT (((slot & {mixing.SPAN - 1}) * {mixing.GOLDEN}) & {mixing.SPAN - 1}) / {float(mixing.SPAN)}::DOUBLE AS point
+  FROM (SELECT unnest(range(0, (SELECT CAST(ceil(max(total) / {mixing.BLOCK_TOKENS}) AS BIGINT) FROM spans))) AS slot)),
+ends AS (SELECT source, count(*) * {mixing.BLOCK_TOKENS} AS last FROM slots JOIN spans ON point >= low AND point < high GROUP BY 1),
+laid AS (
+  SELECT d.doc_id, d.source, size, source_size, target, coalesce(last, 0) AS last,
+         CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY (key >> 40) % {mixing.BUCKETS}, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+  FROM d JOIN wanted w ON d.source IS NOT DISTINCT FROM w.source LEFT JOIN ends e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT source, doc_id, size, source_size, target,
+       greatest(0, least(place + size, last) - place) + greatest(0, least(place + source_size + size, last) - place - source_size) AS taken
+FROM laid
+"""
+
+
 # -- op8 ---------------------------------------------------------------------------------
 
 
@@ -160,6 +208,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.element_at("ends", -1).cast("long").alias("n_bytes"),
+        F.sha2(F.concat_ws(" ", F.col("starts").cast("array<string>"), F.col("ends").cast("array<string>")), 256).alias("spans_sha256"),
     )
 
 
@@ -190,6 +239,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Listed hosts are compared in canonical form: without user name, port and dots at the end, escapes of unreserved characters
+#: resolved. Their path is /, which every canonical path begins with.
+_UNESCAPED = "r_host"
+for _c in (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x2D, 0x2E, 0x5F, 0x7E):
+    _UNESCAPED = f"regexp_replace({_UNESCAPED}, '(?i)%{_c:02x}', '{chr(_c).lower()}', 'g')"
+
 OP10_SQL = f"""
 WITH rest AS (
   SELECT row_number() OVER () AS rid, page_id,
@@ -197,10 +252,12 @@ WITH rest AS (
 parts AS (
   SELECT rid, page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM rest),
+canon AS (
+  SELECT *, rtrim(regexp_replace({_UNESCAPED}, ':.*$', '', 's'), '.') AS c_host FROM (SELECT *, regexp_replace(host, '^.*@', '', 's') AS r_host FROM parts)),
 listed(h, p, kind, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{kind}', '{v}')" for kind, rows in (("rule", RULES), ("list", LISTED)) for h, p, v in rows)}),
 best AS (
   SELECT rid, max_by(struct_pack(h, p, kind, v), struct_pack(a := kind = 'rule', b := length(h) + length(p), c := length(h), d := h, e := p)) AS e
-  FROM parts JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
+  FROM canon JOIN listed ON (kind = 'rule' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) OR (kind = 'list' AND (c_host = h OR ends_with(c_host, '.' || h))) GROUP BY rid)
 SELECT page_id, host, path, CASE WHEN e.kind = 'rule' THEN e.h || e.p END AS rule, coalesce(e.v, 'allow') AS verdict
 FROM parts LEFT JOIN best USING (rid)
 """
@@ -209,4 +266,4 @@ FROM parts LEFT JOIN best USING (rid)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii_pseudonyms, op2_ngram_join, op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op6_toxicity, op7_source_mix, op8_language, op9_sentencepiece, op10_url_filters)
 }
-ORACLE_SQL = {"op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op7_source_mix": OP7_SQL, "op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL}
