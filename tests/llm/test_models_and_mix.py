@@ -1,14 +1,17 @@
 """Toxicity, language and mixing: planted signals, held-out accuracy and sums."""
 
+import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
-from conftest import SCHEMA, make_docs
+from conftest import SCHEMA, WORD, make_docs
 from pyspark.sql import functions as F
+from test_ngram_join import brute
 
-from folioflow.llm import language_id, mixing, toxicity
+from folioflow.llm import language_id, mixing, quality_rules, toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -38,6 +41,35 @@ def test_offending_sentences_are_found(spark):
     assert got[9000].score == got[9001].score == 0 and got[9000].offending == []
 
 
+def test_noisy_or_in_plain_python(spark):
+    """Scores and spans from a model's weights, sentence by sentence; combining marks and letters that change length included."""
+    rows, labels = toxic_corpus(120)
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = ["You vile fool. Calm river!", "", "\u0130stanbul vile. cafe\u0301 rotten\nwretch", "12 34. ...", "vile " * 4000]
+    got = toxicity.score(spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA), model).orderBy("doc_id").collect()
+    for row, text in zip(got, texts):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        clean, spans = 1.0, []
+        for m in re.finditer(r"[^.!?\n]*(?:[.!?\n]+|$)", low):
+            words = re.findall(r"[^\W\d_]+", m.group())
+            if words:
+                own = set().union(*(toxicity.word_places(w) for w in words)) & set(model.weights)
+                p = 1 / (1 + math.exp(-(model.bias + sum(model.weights[k] for k in own))))
+                clean *= 1 - p
+                if p >= 0.5:
+                    spans.append((m.start(), m.end()))
+        assert row.score == pytest.approx(1 - clean, abs=1e-9) and [(s.start, s.end) for s in row.offending] == spans
+
+
+def test_samples_are_bounded(spark):
+    from folioflow.llm.common import bounded_sample
+
+    repeated = spark.range(50).selectExpr("cast(null as long) AS id", "'same' AS text").union(spark.range(30).selectExpr("id", "'t' AS text"))
+    assert bounded_sample(repeated, 20).count() == 20 and bounded_sample(repeated, 500).count() == 80
+    assert sorted(map(str, bounded_sample(repeated, 20).collect())) == sorted(map(str, bounded_sample(repeated.repartition(7), 20).collect()))
+    assert bounded_sample(repeated.limit(0), 20).count() == 0
+
+
 def test_toxicity_without_labels(spark, docs, no_docs):
     for labels in ([], [(1, 0), (2, 0)]):
         model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
@@ -109,20 +141,89 @@ def test_resample(docs, no_docs):
     assert mixing.resample(no_docs).count() == 0 and mixing.taken(*mixing.mix(no_docs)).count() == 0
 
 
-def test_pipeline(spark, docs, no_docs):
+def clashing(df):
+    names = ("__size", "__time", "size", "key", "place", "row", "times", "last0", "bucket", "id", "of", "comp", "found", "n_words")
+    return df.withColumns({n: F.lit("mine") for n in names}), names
+
+
+def test_resample_with_clashing_names(docs):
+    wide, names = clashing(docs)
+    rows = mixing.resample(wide)
+    assert rows.columns == wide.columns and rows.count() > 0
+    assert {tuple(r[n] for n in names) for r in rows.collect()} == {("mine",) * len(names)}
+
+
+def test_resample_reads_as_often_as_the_pieces(docs):
+    _, pieces = mixing.mix(docs)
+    want = {(r.doc_id, r.source, r["size"]): r.times for r in pieces.groupBy("doc_id", "source", "size").agg(F.countDistinct("repeat").alias("times")).collect()}
+    rows = [r for r in make_docs() if len(WORD.findall(r[1] or ""))]
+    expected = Counter()
+    for r in rows:
+        expected[r[0], r[1], r[3]] += want.get((r[0], r[3], len(WORD.findall(r[1]))), 0)
+    assert Counter((r.doc_id, r.text, r.source) for r in mixing.resample(docs).collect()) == +expected
+
+
+def plain_pipeline(rows):
+    """The documents that quality rules and near duplicates leave, in plain Python; the text has no private values."""
+    good = []
+    for r in rows:
+        text = r[1] or ""
+        words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        often = Counter(windows)
+        n = {
+            "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_stop_words": sum(w.lower() in quality_rules.ALL_STOP_WORDS for w in words),
+            "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len({i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}), "one": 1, "words_past_50": len(words) - 50,
+        }
+        if all((n[x.measure] * 100 <= x.factor * n[x.base]) if x.sign == "<=" else (n[x.measure] * 100 >= x.factor * n[x.base]) for x in (*quality_rules.BASE_RULES, *quality_rules.THRESHOLDS)):
+            good.append(r)
+    kept, seen = [], set()
+    for r, (ident, size, component) in zip(good, brute(good)):
+        if (not size or ident == component) and (ident, r[1]) not in seen:
+            seen.add((ident, r[1]))
+            kept.append(r)
+    return good, kept
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages of run() on a small folder against plain Python."""
+    import corpus_pipeline
+    import sentencepiece
+
+    from folioflow.llm.queries import tokenizer_path
+
+    rng = random.Random(8)
+    filler = [*"the of and to in is that it".split(), *(f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10))]
+    rows = [(k, " ".join(rng.choice(filler) for _ in range(rng.randint(15, 90))), "en", rng.choice(["a", "b", None]), 0) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " tail" * (k % 2), "en", "a", 0) for k in range(0, 30, 3)] + [rows[5], (None, rows[7][1], "en", "b", 0), (201, None, None, None, None), (202, "", "en", "a", 0), (203, "# $ % " * 30, "en", "a", 0), (204, "same words here again and again\n" * 20, "en", "b", 0)]
+    # With plain ids alone the least id of a group is its first row's.
+    rows = [r for r in rows if r[0] is not None]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    good, kept = plain_pipeline(rows)
+    assert 0 < len(kept) < len(good) < len(rows)
+    kept_frame = spark.createDataFrame(kept, SCHEMA)
+    _, pieces = mixing.mix(kept_frame)
+    times = {r.doc_id: r.times for r in pieces.groupBy("doc_id").agg(F.countDistinct("repeat").alias("times")).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    want = Counter()
+    for r in kept:
+        want[r[0], (*library.encode(r[1]), library.eos_id())] += times.get(r[0], 0)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == +want
+    assert all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_pipeline_stages_keep_columns(spark, docs, no_docs):
     import corpus_pipeline
 
-    rows = docs.withColumn("text", F.when(F.col("doc_id") == 5, F.lit("Please call us at +1 (212) 555-0100 about the house on the hill that we saw in the spring of this year")).otherwise(F.col("text")))
-    for start in (rows, no_docs):
+    wide, names = clashing(docs)
+    for start in (wide, no_docs):
         current = start
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             current = stage(spark, current, "")
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert current.columns == start.columns
-        found = current.collect()
-        assert bool(found) == (start is rows)
-    ids = {r.doc_id for r in found} if found else set()
-    assert None not in ids
+        assert bool(current.collect()) == (start is wide)
 
 
 def test_docs_fixture_has_the_cases():

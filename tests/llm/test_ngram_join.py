@@ -1,4 +1,5 @@
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import bloom, ngram_join
 from folioflow.llm.components import components
+from folioflow.llm.queries import ORACLE_SQL, QUERIES
 from folioflow.llm.shingles import shingle_sets, sets_of
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -47,6 +49,33 @@ def test_join_equals_brute_force(spark, seed):
     assert Counter(got) == Counter(brute(rows))
 
 
+def test_links_equal_brute_force(spark):
+    """Membership and pairs of all different texts, whatever is connected already."""
+    rows = make_docs(3, 100)
+    membership, pairs = ngram_join.links(spark.createDataFrame(rows, SCHEMA))
+    sets = [shingles(r[1]) for r in rows]
+    like = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    least = {}
+    for r, s in zip(rows, sets):
+        if r[0] is not None:
+            least[frozenset(s)] = min(least.get(frozenset(s), r[0]), r[0])
+    want = Counter()
+    for k, (r, s) in enumerate(zip(rows, sets)):
+        want[(r[0], len(s), least[frozenset(s)] if s else r[0], sum(like(s, o) for j, o in enumerate(sets) if j != k))] += 1
+    assert Counter(map(tuple, membership.collect())) == want
+    once = sorted({s: least[s] for s in map(frozenset, sets) if s}.items(), key=lambda x: x[1])
+    assert sorted(map(tuple, pairs.collect())) == sorted((m, n) for i, (a, m) in enumerate(once) for b, n in once[i + 1 :] if like(a, b))
+
+
+def test_handed_over_in_parts(spark, monkeypatch):
+    """Pairs whose shared tokens are summed in several goes."""
+    monkeypatch.setattr(ngram_join, "SUM_PAIRS", 50)
+    monkeypatch.setattr(ngram_join, "OUT_PAIRS", 7)
+    rows = make_docs(5, 80)
+    got = [tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert Counter(got) == Counter(brute(rows))
+
+
 def test_groups_over_chunks(spark, monkeypatch):
     """One group of near copies that is cut into several chunks."""
     monkeypatch.setattr(ngram_join, "CHUNK", 8)
@@ -81,6 +110,20 @@ def test_keep_first(spark, docs):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_equal_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    for path in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+    want = connection.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001").select(*columns).collect()
+    shown = lambda v: round(v, 6) if isinstance(v, float) else v
+    assert Counter(tuple(map(shown, r)) for r in rows) == Counter(tuple(map(shown, r)) for r in want.fetchall())
+
+
 def test_shingle_sets():
     texts = ["A b c d e f", "a B C d e", "", None, " \t ", "x y", "y x", "a" * 5000, "p q r s t p q r s t"]
     got = list(sets_of(pa.array([None if t is None else t.encode() for t in texts], pa.binary())))
