@@ -8,10 +8,13 @@ to weigh more than they hold, at most once again; an empty table gives an empty
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import mixing, ngram_join, pii, quality_rules, sentencepiece_codec
+from folioflow.llm.common import ensure_checkpoint_dir, remove
 from folioflow.llm.queries import tokenizer_path
 
 
@@ -45,11 +48,19 @@ STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("ps
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder, without tables between them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents of a folder, each written as Parquet to the shared checkpoint folder and read again.
+
+    What a stage has read is deleted once its own result is whole; the last but one stays, as the result is read from it.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if read is not None:
+            remove(spark, read)
+        read = f"{folder}/{k}"
+        docs = spark.read.parquet(read)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Components and the token ids can't be expressed in SQL.

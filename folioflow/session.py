@@ -9,24 +9,25 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch where the session has Spark's own 10,000: whole texts are long rows, and a task holds several batches.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch where the session has no size of its own: rows of whole texts or sets are long, and a task and its worker each hold several batches.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def session(app: str = "folioflow", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; conf adds to or replaces its settings."""
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", **conf}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", _BATCH: str(BATCH_BYTES), **conf}
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application, for functions that run in Python there.
 
-    Arrow batches become smaller, too, unless the session has a size of its own.
+    A session that has set no size of its own for Arrow batches in bytes gets BATCH_BYTES.
     """
     context = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='folioflow-')}/folioflow", "zip", root_dir=package.parent, base_dir=package.name)
