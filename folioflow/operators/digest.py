@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.scalars import idempotency_key
+from folioflow.operators.ordering import numbered, top
 
 MAX_TRADES, ALSO_NEW, WINDOW_DAYS = 6, 5, 14
+#: A mail's links at the utmost.
+MAX_URLS = 1_000_000
 
 
 def in_scope(officials: DataFrame, since: str | None) -> DataFrame:
@@ -25,12 +28,15 @@ def pending_filings(officials: DataFrame, filings: DataFrame, ledger: DataFrame,
     return named.join(ledger.select("url").distinct(), "url", "left_anti").groupBy("url").agg(F.min("slug").alias("slug"), F.max("date").alias("date"))
 
 
-def items(officials: DataFrame, pending: DataFrame) -> DataFrame:
-    """A card for each official with pending filings and a positive count of new rows, in order of that count."""
+def items(officials: DataFrame, pending: DataFrame, near: Column | None = None) -> DataFrame:
+    """A card for each official with pending filings and a positive count of new rows, in order of that count.
+
+    near: an expression that rises with slug and has one value for many slugs; places are counted by it.
+    """
     per = pending.groupBy("slug").agg(F.count("*").alias("filings"), F.max_by("url", F.struct("date", "url")).alias("primary_url"), F.max("date").alias("posted"))
     cards = officials.filter("new_count > 0").select("slug", "name", "new_count").join(per, "slug")
-    place = F.row_number().over(Window.orderBy(F.desc("new_count"), "slug"))
-    return cards.withColumn("place", place.cast("long"))
+    near = F.col("slug").cast("string").substr(1, 3) if near is None else near
+    return numbered(cards.withColumn("__near", near), {"new_count": False, "__near": True}, [F.asc("slug")], "place").drop("__near")
 
 
 def trades_shown(cards: DataFrame, trades: DataFrame, order: list[Column], most: int = MAX_TRADES) -> DataFrame:
@@ -48,9 +54,39 @@ def also_new(officials: DataFrame, cards: DataFrame, reference: str, k: int = AL
     return best.select("slug", "posted", counted.alias("new_count"), F.row_number().over(Window.orderBy(F.desc("posted"), "slug")).cast("long").alias("place"))
 
 
-def send_key(pending: DataFrame) -> DataFrame:
-    """One key for the set of pending urls. The urls of one send are few by their nature: it is a mail."""
-    return pending.agg(idempotency_key(F.collect_set("url")).alias("send_key"), F.count("*").alias("urls"))
+def send_key(pending: DataFrame, most: int = MAX_URLS) -> DataFrame:
+    """One key for the set of pending urls: the hash of the sorted urls, a line each.
+
+    The hash takes them one after the other, so they have to meet; no more than one above most do, and a send of
+    more than most is an error, as it can't be one mail.
+    """
+    some = pending.filter("url IS NOT NULL").select("url").distinct().orderBy("url").limit(most + 1)
+    n = F.count("*")
+    fits = F.when(n > most, F.raise_error(F.lit(f"more than {most} urls in one send")).cast("string"))
+    return some.agg(F.coalesce(fits, idempotency_key(F.collect_list("url"))).alias("send_key"), n.alias("urls"))
+
+
+def draft_lines(cards: DataFrame, officials: DataFrame, trades: DataFrame) -> DataFrame:
+    """slug, text: a card's line of the draft, with its official's summary, where there is one, and a line for each trade shown.
+
+    trades: slug, nth, and a text; officials: slug, summary. A card without trades has its heading alone.
+    """
+    shown = trades.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("t"))
+    joined = cards.select("slug", "name", "new_count", "posted").join(officials.select("slug", "summary"), "slug", "left").join(shown, "slug", "left")
+    head = F.concat(F.lit("- "), "name", F.lit(": "), F.col("new_count").cast("string"), F.lit(" new trades disclosed. Filing posted on "), F.col("posted").cast("string"), F.lit("."))
+    context = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("  Site summary: "), "summary"))
+    lines = F.array_join(F.transform("t", lambda x: F.concat(F.lit("    - "), x["text"])), "\n")
+    # concat_ws leaves out nulls.
+    return joined.select("slug", F.concat_ws("\n", head, context, F.when(F.size("t") > 0, F.lit("  Most recent trades:")), lines).alias("text"))
+
+
+def follower_text(cards: DataFrame, recipients: DataFrame) -> DataFrame:
+    """How many follow each card's official, where any do, in the order of places, as one line."""
+    per = recipients.filter("slug IS NOT NULL").groupBy("slug").agg(F.count("*").alias("followers"))
+    met = cards.select("slug", "name", "place").join(per, "slug")
+    # One pair for each card of a digest; the recipients are counted before.
+    one = F.array_sort(F.collect_list(F.struct("place", F.concat(F.col("followers").cast("string"), F.lit(" for "), "name").alias("text"))))
+    return met.agg(F.array_join(F.transform(one, lambda x: x["text"]), ", ").alias("text"), F.count("*").alias("cards"))
 
 
 def chunks(recipients: DataFrame, size: int = 100) -> DataFrame:
@@ -64,13 +100,11 @@ def chunks(recipients: DataFrame, size: int = 100) -> DataFrame:
 
 
 def banner(officials: DataFrame, k: int = 3) -> DataFrame:
-    """The first k officials, new ones first, and what the rest adds up to."""
-    place = F.row_number().over(Window.orderBy(F.desc("is_new"), F.desc("new_count"), F.desc("posted"), "slug"))
-    ranked = officials.withColumn("place", place.cast("long"))
-    shown = F.col("place") <= k
-    return ranked.agg(
-        F.count_if(F.col("is_new")).cast("long").alias("new"),
-        F.count_if(~F.col("is_new")).cast("long").alias("updated"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(shown, F.struct("place", "slug")))), lambda x: x["slug"]), ",").alias("shown"),
-        F.coalesce(F.sum(F.when(~shown, F.col("new_count"))), F.lit(0)).cast("long").alias("overflow"),
+    """The first k officials, new ones first, and what the rest adds up to: all less those shown."""
+    first = top(officials.select("is_new", "new_count", "posted", "slug"), [F.desc("is_new"), F.desc("new_count"), F.desc("posted"), F.asc("slug")], k)
+    shown = first.agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "slug"))), lambda x: x["slug"]), ",").alias("shown"), F.coalesce(F.sum("new_count"), F.lit(0)).alias("__shown")
     )
+    sums = officials.agg(F.count_if(F.col("is_new")).cast("long").alias("new"), F.count_if(~F.col("is_new")).cast("long").alias("updated"), F.coalesce(F.sum("new_count"), F.lit(0)).alias("__all"))
+    # One row beside one row.
+    return sums.crossJoin(shown).select("new", "updated", "shown", (F.col("__all") - F.col("__shown")).cast("long").alias("overflow"))

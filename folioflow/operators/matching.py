@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import brackets
@@ -13,17 +13,21 @@ def as_of(tx: DataFrame, filings: DataFrame, key: str) -> DataFrame:
     """For each transaction the earliest filing of its key on or after its date, or else the key's latest.
 
     filings: key, date, ordinal, url, label; those with neither a url nor a label don't count; of filings on one date
-    the first by ordinal is taken. Both tables go into one sorted run for each key, so the work is a sort, not a
-    product of the two.
+    the first by ordinal is taken. The answer depends on a transaction's key and date alone, so it is found once for
+    each pair that occurs, in one linear pass over a key's days, and joined to the transactions by that pair: a key
+    with very many transactions is dealt out by date. A transaction without a date gets the latest.
     """
     known = filings.filter((F.coalesce("url", F.lit("")) != "") | (F.coalesce("label", F.lit("")) != ""))
-    daily = known.groupBy(key, "date").agg(F.min("ordinal").alias("ordinal"))
-    last = daily.groupBy(key).agg(F.max_by("ordinal", "date").alias("__last"))
-    rows = tx.select(key, "date", F.struct("*").alias("__row"), F.lit(None).cast(daily.schema["ordinal"].dataType).alias("ordinal"), F.lit(0).alias("__side"))
-    marks = daily.select(key, "date", F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), "ordinal", F.lit(1).alias("__side"))
-    ahead = Window.partitionBy(key).orderBy("date", "__side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = rows.unionByName(marks).withColumn("__next", F.first("ordinal", ignorenulls=True).over(ahead)).filter("__side = 0")
-    return found.join(last, key, "left").select("__row.*", F.coalesce("__next", "__last").alias("filing_ordinal"))
+    filed = known.groupBy(key, "date").agg(F.min("ordinal").alias("ordinal"))
+    asked = tx.select(key, "date").distinct().withColumn("ordinal", F.lit(None).cast(filed.schema["ordinal"].dataType))
+    days = filed.unionByName(asked).groupBy(key, "date").agg(F.max("ordinal").alias("ordinal"))
+    newest_first = Window.partitionBy(key).orderBy(F.desc("date"))
+    so_far = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = newest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = F.when(F.col("date").isNotNull(), F.last("ordinal", ignorenulls=True).over(so_far))
+    answers = days.select(F.col(key).alias("__key"), F.col("date").alias("__date"), F.coalesce(ahead, F.first("ordinal", ignorenulls=True).over(whole)).alias("filing_ordinal"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col("date").eqNullSafe(F.col("__date"))
+    return tx.join(answers, same, "left").drop("__key", "__date")
 
 
 def reconcile(holdings: DataFrame, sales: DataFrame, exempt: tuple[str, ...]) -> DataFrame:
@@ -42,20 +46,48 @@ def reconcile(holdings: DataFrame, sales: DataFrame, exempt: tuple[str, ...]) ->
     return both.select("ticker", F.coalesce("held_as", F.concat(F.lit("Sold ("), "ticker", F.lit(")"))).alias("description"), n.alias("sales"), status.alias("status"), note.alias("note"), F.coalesce("entry_value", F.lit(0)).cast("long").alias("entry_value"))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))))
+
+
+def texts_with_tokens(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
+    """description, needle_id for every text that contains all tokens of a needle, whatever the case.
+
+    texts: description, each once. needles: needle_id, tokens. They meet in an equi-join on the needle's rarest run of
+    gram characters (fewer, where it has no longer token), and the other tokens are tested after it. A needle
+    without tokens, or with an empty one alone, fits nothing.
+    """
+    low = needles.select("needle_id", F.transform("tokens", F.lower).alias("tokens"))
+    longest = F.array_max(F.transform("tokens", lambda t: F.length(t)))
+    low = low.withColumn("n", F.least(F.lit(gram), longest)).filter("n > 0")
+    sized = lambda c: F.array_distinct(F.flatten(F.array_compact(F.transform("tokens", lambda t: _grams(t, c)))))
+    own = F.coalesce(*(F.when(F.col("n") == k, sized(k)) for k in range(1, gram + 1)))
+    asked = low.withColumn("gram", F.explode(own))
+    lower = texts.select("description", F.lower("description").alias("__low"))
+    held = F.flatten(F.array_compact(F.array(*(_grams(F.col("__low"), k) for k in range(1, gram + 1)))))
+    # Runs that no needle asks for go before any text does.
+    spread = lower.select("description", "__low", F.explode(held).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    often = spread.groupBy("gram").agg(F.count("*").alias("often"))
+    rarest = asked.join(often, "gram", "left").groupBy("needle_id", "tokens").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+    return spread.join(rarest, "gram").filter(F.expr("forall(tokens, t -> contains(__low, t))")).select("description", "needle_id")
+
+
 def promise_evidence(promises: DataFrame, sales: DataFrame, key: list[str]) -> DataFrame:
     """For each promise the sales on or after its date whose ticker it lists, or whose description has all its tokens.
 
-    promises: promise_id, confirmed, tickers, tokens. The disjunction is a union of an equi-join on tickers and
-    a join on each promise's first token with tokens tested after it; rows found both ways count once.
+    promises: promise_id, confirmed, tickers, tokens. Each sale takes the promises of its ticker and those that its
+    description fits, which distinct descriptions are asked for; found both ways it counts once.
     """
-    by_ticker = promises.select("promise_id", "confirmed", F.explode("tickers").alias("ticker")).join(sales, "ticker")
-    found = by_ticker.filter("date >= confirmed").select("promise_id", *key, "date", "amount")
-    needle = promises.filter(F.size("tokens") > 0).select("promise_id", "confirmed", F.transform("tokens", F.lower).alias("tokens"))
-    texts = sales.select("description").distinct()
-    fits = texts.join(needle, F.expr("forall(tokens, t -> contains(lower(description), t))")).select("promise_id", "confirmed", "description")
-    by_text = fits.join(sales, "description").filter("date >= confirmed").select("promise_id", *key, "date", "amount")
-    hits = found.union(by_text).distinct()
-    per = hits.groupBy("promise_id").agg(F.count("*").alias("sales"), F.min("date").alias("first_sale"), F.max("date").alias("last_sale"), total(brackets.midpoint(F.col("amount"))).alias("value"))
+    one = F.struct("promise_id", "confirmed")
+    by_ticker = promises.select(one.alias("p"), F.explode("tickers").alias("ticker")).groupBy("ticker").agg(F.collect_set("p").alias("by_ticker"))
+    fits = texts_with_tokens(sales.select("description").distinct(), promises.select(F.col("promise_id").alias("needle_id"), "tokens"))
+    named = fits.join(promises.select(F.col("promise_id").alias("needle_id"), one.alias("p")), "needle_id")
+    by_text = named.groupBy("description").agg(F.collect_set("p").alias("by_text"))
+    none = F.array().cast(by_text.schema["by_text"].dataType)
+    met = sales.join(by_ticker, "ticker", "left").join(by_text, "description", "left")
+    hits = met.select(*key, "date", "amount", F.explode(F.array_union(F.coalesce("by_ticker", none), F.coalesce("by_text", none))).alias("p")).filter(F.col("date") >= F.col("p.confirmed"))
+    per = hits.groupBy("p.promise_id").agg(F.count("*").alias("sales"), F.min("date").alias("first_sale"), F.max("date").alias("last_sale"), total(brackets.midpoint(F.col("amount"))).alias("value"))
     out = promises.select("promise_id").join(per, "promise_id", "left")
     n = F.coalesce("sales", F.lit(0)).cast("long")
     return out.select("promise_id", n.alias("sales"), "first_sale", "last_sale", F.coalesce("value", F.lit(0)).cast("long").alias("value"), F.when(n > 0, "sales-on-file").otherwise("no-sales-on-file").alias("status"))
@@ -79,11 +111,31 @@ def merged_documents(documents: DataFrame, filings: DataFrame) -> DataFrame:
 
 
 def golden_score(golden: DataFrame, rows: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """For each golden row the first row with its key: whether there is one, and how many fields agree."""
-    first = rows.groupBy(*key).agg(F.min_by(F.struct(*fields), "ordinal").alias("found"))
+    """For each golden row the first row with its key: whether there is one, and how many fields agree.
+
+    Rows whose key no golden row has are dropped before anything is gathered.
+    """
+    wanted = golden.select(*(F.col(k).alias(f"__{k}") for k in key)).distinct()
+    asked = rows.join(wanted, F.expr(" AND ".join(f"{k} <=> __{k}" for k in key)), "left_semi")
+    first = asked.groupBy(*key).agg(F.min_by(F.struct(*fields), "ordinal").alias("found"))
     agree = sum((F.when(F.col(f"g.{f}").eqNullSafe(F.col(f"r.found.{f}")), 1).otherwise(0) for f in fields), F.lit(0))
     same = " AND ".join(f"g.{k} <=> r.{k}" for k in key)
-    return golden.alias("g").join(first.alias("r"), F.expr(same), "left").select("g.golden_id", F.col("r.found").isNotNull().alias("present"), F.when(F.col("r.found").isNotNull(), agree).otherwise(0).cast("long").alias("agreeing"))
+    there = F.col("r.found").isNotNull()
+    return golden.alias("g").join(first.alias("r"), F.expr(same), "left").select("g.golden_id", there.alias("present"), F.when(there, agree).otherwise(0).cast("long").alias("agreeing"))
+
+
+def golden_accuracy(scored: DataFrame, counts: DataFrame, group: str, fields: int, threshold: int = 95) -> DataFrame:
+    """Each group's share of agreeing fields in percent, and whether it reaches the threshold.
+
+    scored: group, present, agreeing. counts: group, n, the rows there are. A golden row that isn't found has no field that
+    agrees; a group without golden fields is all right; a count of rows that differs is told, and fails nothing.
+    """
+    per = scored.groupBy(group).agg(F.count("*").alias("golden"), n_if(F.col("present")).alias("present"), total(F.col("agreeing")).alias("agreeing"))
+    asked = F.col("golden") * fields
+    percent = F.when(asked > 0, F.col("agreeing") * 100.0 / asked).otherwise(100.0)
+    passed = F.when(asked > 0, F.col("agreeing") * 100 >= asked * threshold).otherwise(True)
+    differs = F.coalesce(F.col("n"), F.lit(0)) != F.col("golden")
+    return per.join(counts.select(group, "n"), group, "left").select(group, "golden", "present", "agreeing", F.round(percent, 1).alias("accuracy"), passed.alias("passed"), differs.alias("count_differs"))
 
 
 def positional(first: DataFrame, second: DataFrame, group: str, fields: list[str]) -> DataFrame:
@@ -103,6 +155,14 @@ def compared_sets(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return both.agg(n_if(a & b).alias("matches"), n_if(a & ~b).alias("missing"), n_if(~a & b).alias("extra"))
 
 
+def count_status(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
+    """Counts of two sources side by side, and what their difference is called."""
+    both = ours.groupBy(key).agg(F.count("*").alias("ours")).join(theirs.groupBy(key).agg(F.count("*").alias("theirs")), key, "full_outer")
+    a, b = (F.coalesce(c, F.lit(0)).cast("long") for c in ("ours", "theirs"))
+    status = F.when(a == b, "Match").when(b == 0, "They're missing it").when(a == 0, "We're missing it").when(a > b, "We have more").otherwise("They have more")
+    return both.select(key, a.alias("ours"), b.alias("theirs"), status.alias("status"))
+
+
 def career_events(people: DataFrame, near_days: int = 7, cooling_days: int = 90) -> DataFrame:
     """Dated events of each person; an agreement close to the confirmation is left out, its deadline follows it."""
     events = people.select(

@@ -47,6 +47,19 @@ def keep_one(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
+def keep_first_text(rows: DataFrame, text: str, id_: str) -> DataFrame:
+    """Each different text with its least id.
+
+    Texts are told apart by two hashes and their length first, so that only those that may have a copy are shuffled, and
+    compared as they are; a text that has none goes straight through.
+    """
+    mark = {"__h": F.xxhash64(text), "__m": F.md5(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))), "__n": F.coalesce(F.length(text), F.lit(-1))}
+    marked = rows.select(text, id_).withColumns(mark)
+    repeated = marked.groupBy(*mark).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    alone = marked.join(repeated, [*mark], "left_anti").select(text, id_)
+    return alone.unionByName(marked.join(repeated, [*mark], "left_semi").groupBy(text).agg(F.min(id_).alias(id_)))
+
+
 def last_write(rows: DataFrame, key: str, fields: list[str], ordinal: Column) -> DataFrame:
     """The last row of each key, with the place of its first."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*fields), ordinal).alias("r"), F.min(ordinal).alias("first_place")).select(key, "r.*", "first_place")

@@ -11,6 +11,21 @@ def top(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def numbered(rows: DataFrame, coarse: dict[str, bool], fine: list[Column], name: str) -> DataFrame:
+    """Adds name: each row's place by the columns of coarse, which rise where True and fall where False, then by fine.
+
+    Rows are numbered inside the groups of equal coarse values, and the groups' counts are added up over one row for each
+    group, so that no task has all the rows.
+    """
+    order = [F.asc(c) if rises else F.desc(c) for c, rises in coarse.items()]
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    counts = rows.groupBy(*coarse).agg(F.count("*").alias("__n"))
+    groups = counts.select(*coarse, before).toDF(*(f"__g_{c}" for c in coarse), "__before")
+    nth = F.row_number().over(Window.partitionBy(*coarse).orderBy(*fine))
+    placed = rows.withColumn("__nth", nth).join(groups, F.expr(" AND ".join(f"{c} <=> __g_{c}" for c in coarse)))
+    return placed.withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).drop("__nth", "__before", *(f"__g_{c}" for c in coarse))
+
+
 def page(rows: DataFrame, order: list[Column], number: str | int | None, size: int = 100) -> DataFrame:
     """One page of rows with its number; a page that isn't a number is the first, one past the end the last."""
     asked = int(number) if str(number or "").isdigit() and int(number) > 0 else 1

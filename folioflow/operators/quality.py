@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from folioflow.functions import brackets
 from folioflow.operators.rollups import n_if, total
 
 FIRST_DATE = "2019-01-01"
+SHAPE = r"^\d{4}-\d{2}-\d{2}$"
 #: Tickers known to be right.
 KNOWN_TICKERS = (
     "AAPL AMZN MSFT GOOGL GOOG META TSLA NVDA JPM BAC WFC GS MS C USB PNC TFC UNH JNJ PFE MRK ABBV LLY BMY AMGN "
@@ -17,14 +20,13 @@ KNOWN_TICKERS = (
 ).split()
 
 
-def errors(today: str) -> Column:
-    """The broken rules of a row as an array of texts; date_text is a date as it was written."""
+def _rules(today: str, date: Column) -> tuple[tuple[Column, Column], ...]:
+    """Each rule that may be broken, and its text; date: date_text parsed, null if it has another shape or is no date."""
     text = F.coalesce("date_text", F.lit(""))
-    shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    date = F.try_to_date(F.when(shaped, text), "yyyy-MM-dd")
+    shaped = text.rlike(SHAPE)
     none = lambda c: F.coalesce(~c, F.lit(True))
     quoted = lambda start, c: F.concat(F.lit(f'{start}: "'), F.coalesce(F.col(c), F.lit("")), F.lit('"'))
-    rules = (
+    return (
         (F.trim(F.coalesce("description", F.lit(""))) == "", F.lit("Empty description")),
         (none(F.col("type").isin(*brackets.TYPES)), quoted("Invalid type", "type")),
         (none(F.col("amount").isin(*(b[0] for b in brackets.BRACKETS))), quoted("Invalid amount", "amount")),
@@ -35,24 +37,63 @@ def errors(today: str) -> Column:
         (F.col("late").isNull(), F.lit("late flag missing")),
         ((F.col("ticker") != "") & ~F.col("ticker").rlike(r"^[A-Za-z.]{1,10}$"), quoted("Suspicious ticker", "ticker")),
     )
-    return F.array_compact(F.array(*(F.when(test, text_) for test, text_ in rules)))
+
+
+def _parsed() -> Column:
+    text = F.coalesce("date_text", F.lit(""))
+    return F.try_to_date(F.when(text.rlike(SHAPE), text), "yyyy-MM-dd")
+
+
+def errors(today: str) -> Column:
+    """The broken rules of a row as an array of texts; date_text is a date as it was written."""
+    return F.array_compact(F.array(*(F.when(test, text_) for test, text_ in _rules(today, _parsed()))))
+
+
+def has_errors(today: str) -> Column:
+    """Whether any rule is broken: the tests alone, without their texts."""
+    return reduce(lambda a, b: a | b, (F.coalesce(test, F.lit(False)) for test, _ in _rules(today, _parsed())))
 
 
 def error_rows(rows: DataFrame, today: str, group: str, index: str) -> DataFrame:
     """One row for each error, with the prefix that tells its place."""
     prefix = F.concat(F.lit("["), F.col(group).cast("string"), F.lit("]["), F.col(index).cast("string"), F.lit("] "))
-    return rows.select(group, index, F.explode(errors(today)).alias("e")).select(group, index, F.concat(prefix, "e").alias("error"))
+    dated = rows.withColumn("__date", _parsed())
+    broken = F.array(*(F.when(test, text) for test, text in _rules(today, F.col("__date"))))
+    # Each rule's text is an element, and those that hold are left out after the explode: no array is made twice.
+    return dated.select(group, index, F.explode(broken).alias("e")).filter("e IS NOT NULL").select(group, index, F.concat(prefix, "e").alias("error"))
 
 
 def counters(rows: DataFrame, today: str, least_confidence: float = 0.8) -> DataFrame:
     """One row: rows, those with errors, unknown tickers, those of low confidence, and the verdict."""
     known = F.coalesce(F.col("ticker").isin(*KNOWN_TICKERS), F.lit(True)) | (F.col("ticker") == "")
-    out = rows.withColumn("bad", F.size(errors(today)) > 0).agg(
+    out = rows.withColumn("bad", has_errors(today)).agg(
         F.count("*").alias("n"), n_if(F.col("bad")).alias("failures"), F.countDistinct(F.when(~known, F.col("ticker"))).alias("unknown_tickers"), n_if(F.col("confidence") < least_confidence).alias("low_confidence")
     )
     return out.withColumn("verdict", F.when(F.col("failures") > 0, "FAIL").otherwise("PASS"))
 
 
+def verdict(counted: DataFrame, golden: DataFrame) -> DataFrame:
+    """The counters' one row with the golden groups beside it: PASS without failures and with all groups passed.
+
+    golden: passed, a row for each group; no group at all fails nothing.
+    """
+    sums = golden.agg(n_if(F.col("passed")).alias("golden_passed"), F.count("*").alias("golden_total"))
+    failed = (F.col("failures") > 0) | (F.col("golden_passed") < F.col("golden_total"))
+    return counted.crossJoin(sums).withColumn("verdict", F.when(failed, "FAIL").otherwise("PASS"))
+
+
+def pinned(counts: dict[str, DataFrame], pins: dict[str, int]) -> DataFrame:
+    """Counts beside the values they are pinned to. counts: a DataFrame of one row, n, for each name."""
+    rows = [df.select(F.lit(name).alias("name"), "n", F.lit(pins[name]).cast("long").alias("pinned")) for name, df in counts.items()]
+    return reduce(DataFrame.union, rows).withColumn("holds", F.col("n") == F.col("pinned"))
+
+
+def assert_pinned(checked: DataFrame) -> DataFrame:
+    """The same rows; one that doesn't hold ends the job with an error."""
+    said = F.concat(F.lit("count of "), "name", F.lit(" is "), F.col("n").cast("string"), F.lit(", pinned to "), F.col("pinned").cast("string"))
+    return checked.withColumn("holds", F.when(F.col("holds"), True).otherwise(F.raise_error(said).cast("boolean")))
+
+
 def unknown_tickers(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("ticker") != "") & ~F.col("ticker").isin(*KNOWN_TICKERS)).groupBy("ticker").agg(F.count("*").alias("n"))
 

@@ -82,8 +82,11 @@ def split(tx: DataFrame) -> DataFrame:
 
 
 def by_asset_class(tx: DataFrame) -> DataFrame:
-    kind = classify.asset_class(F.col("description"), F.coalesce(F.col("ticker") != "", F.lit(False)))
-    return tx.groupBy(kind.alias("asset_class")).agg(total(_mid()).alias("value"), F.count("*").alias("trades"))
+    """Sums by class. Rows are added up by description first, so that each different one is classified once."""
+    known = F.coalesce(F.col("ticker") != "", F.lit(False)).alias("known")
+    per = tx.groupBy("description", known).agg(total(_mid()).alias("value"), F.count("*").alias("trades"))
+    kind = classify.asset_class(F.col("description"), F.col("known"))
+    return per.groupBy(kind.alias("asset_class")).agg(total(F.col("value")).alias("value"), total(F.col("trades")).alias("trades"))
 
 
 def late_stats(tx: DataFrame) -> DataFrame:
@@ -136,9 +139,9 @@ def ranking(tx: DataFrame, k: int = 15) -> DataFrame:
 
 
 def nested_trades(tx: DataFrame) -> DataFrame:
-    """Each official with its transactions as an array, newest first."""
+    """Each official with its transactions as arrays, newest first: a row for each year, so that no array has all of an official's rows."""
     rows = F.sort_array(F.collect_list(F.struct("date", "filing", "line", "part", "supplier", "description", "type", "amount")), asc=False)
-    return tx.groupBy("official_id").agg(rows.alias("trades"), total(_mid()).alias("value"))
+    return tx.groupBy("official_id", F.year("date").alias("year")).agg(rows.alias("trades"), total(_mid()).alias("value"))
 
 
 def top_assets(tx: DataFrame, k: int = 5) -> DataFrame:
