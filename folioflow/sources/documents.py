@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions import brackets
+
 TRANSACTION = "struct<description: string, ticker: string, type: string, date: string, amount: string, lateFilingFlag: boolean, notes: string>"
 FILING = "struct<date: string, url: string, label: string>"
 OFFICIAL = (
@@ -14,6 +16,7 @@ OFFICIAL = (
     f"departedDate string, summary string, transactions array<{TRANSACTION}>, sourceFilings array<{FILING}>"
 )
 NEWS = "official string, headline string, source string, date string, url string, relevance string"
+FEES_FILE = "payments array<struct<officialSlug: string, officialName: string, pdfFile: string, filingLabel: string, pdfUrl: string, annotationRaw: string, annotationCleaned: string, reviewerDate: string, outcome: string>>"
 FEES = "officialSlug string, officialName string, pdfFile string, filingLabel string, pdfUrl string, annotationRaw string, annotationCleaned string, reviewerDate string, outcome string"
 SOURCE_DOCS = "official string, displayName string, generatedAt string, documents array<struct<kind: string, label: string, title: string, filedDate: string, publiclyDownloadable: boolean, pdfPath: string, ogeUrl: string, summary: string>>"
 HOLDINGS = "section string, itemNumber string, parentItemNumber string, description string, ticker string, isEIF boolean, eif string, value string, incomeType string, incomeAmt struct<bucket: string, exact: string>"
@@ -77,6 +80,78 @@ def log_entry(entries: DataFrame, date: str) -> DataFrame:
     return entries.filter((F.col("date") == date) & F.lit(date).rlike(r"^\d{4}-\d{2}-\d{2}$"))
 
 
+def updates(spark: SparkSession, path: str) -> DataFrame:
+    """Published log entries with their counts, newest first."""
+    rows = log_entries(spark, path)
+    trades = F.aggregate("items", F.lit(0).cast("long"), lambda n, i: n + F.coalesce(i["newCount"], F.lit(0)))
+    return rows.select(
+        "date", "lede", "items", F.coalesce("trackedOfficialCount", F.lit(0)).alias("trackedOfficialCount"), F.size("items").alias("officialCount"), trades.alias("tradeCount")
+    ).orderBy(F.desc("date"))
+
+
+def news(spark: SparkSession, path: str, slug: str | None = None) -> DataFrame:
+    """News, newest first; with a slug that official's alone. Equal dates are in the order of links."""
+    rows = read_json(spark, path, NEWS)
+    return _of(rows, "official", slug).orderBy(F.desc_nulls_last(F.coalesce(F.try_to_timestamp("date"), F.try_to_date("date"))), "url")
+
+
+def fee_payments(spark: SparkSession, path: str, slug: str | None = None) -> DataFrame:
+    """Recorded fee payments; none before the file is there."""
+    rows = read_json(spark, path, FEES_FILE, optional=True).select(F.explode("payments").alias("p")).select("p.*")
+    return _of(rows, "officialSlug", slug)
+
+
+def source_documents(spark: SparkSession, path: str, slug: str | None = None) -> DataFrame:
+    """The documents that each official's file lists; a file is named by its official."""
+    rows = _named(read_json(spark, path, SOURCE_DOCS, optional=True), slug)
+    return rows.select("slug", "displayName", "generatedAt", F.posexplode("documents").alias("ordinal", "d")).select("slug", "displayName", "generatedAt", "ordinal", "d.*")
+
+
+def holdings(spark: SparkSession, path: str, slug: str | None = None) -> DataFrame:
+    """The rows of holdings of each official's file."""
+    return _named(read_json(spark, path, HOLDINGS, optional=True), slug)
+
+
+def divestitures(spark: SparkSession, path: str, slug: str | None = None) -> DataFrame:
+    """The promises of each official's file, with the date that sales count from."""
+    rows = _named(read_json(spark, path, DIVESTITURE, optional=True), slug)
+    return rows.select("slug", "confirmedDate", F.posexplode("promises").alias("ordinal", "p")).select("slug", "confirmedDate", "ordinal", "p.*")
+
+
+def parsed_filings(spark: SparkSession, path: str) -> DataFrame:
+    """The transactions of parsed files, with the file and its model; malformed files are left out."""
+    rows = read_json(spark, path, PARSED, optional=True)
+    return rows.select("file", "model", F.posexplode("transactions").alias("row_index", "t")).select("file", "model", "row_index", "t.*")
+
+
+def _of(rows: DataFrame, column: str, slug: str | None) -> DataFrame:
+    return rows if slug is None else rows.filter(F.col(column) == slug)
+
+
+def _named(rows: DataFrame, slug: str | None) -> DataFrame:
+    """Adds slug, the name of the file a row came from; with a slug that file's rows alone."""
+    return _of(rows.withColumn("slug", F.regexp_replace("file", r"\.json$", "")), "slug", slug)
+
+
+def dataset(documents: DataFrame) -> DataFrame:
+    """The nested export's documents: an official's own fields, its number of transactions and they themselves."""
+    own = ("name", "slug", "title", "agency", "level", "confirmedDate", "departedDate")
+    rows = F.coalesce("transactions", F.array().cast(f"array<{TRANSACTION}>"))
+    return documents.select(*own, F.size(rows).alias("transactionCount"), "mostRecentFilingDate", rows.alias("transactions"))
+
+
+def summary(documents: DataFrame) -> DataFrame:
+    """One row for each official with what its transactions add up to, for the thirteen-column file."""
+    rows = F.coalesce("transactions", F.array().cast(f"array<{TRANSACTION}>"))
+    some = lambda test: F.size(F.filter(rows, test))
+    value = F.aggregate(rows, F.lit(0).cast("long"), lambda n, t: n + F.coalesce(brackets.midpoint(t["amount"], "export"), F.lit(0)).cast("long"))
+    return documents.select(
+        "name", "slug", "title", "agency", "level", F.col("confirmedDate").alias("confirmed_date"), F.col("departedDate").alias("departed_date"),
+        F.size(rows).alias("transaction_count"), some(lambda t: brackets.is_sale(t["type"])).alias("sales_count"), some(lambda t: t["type"] == "Purchase").alias("purchases_count"),
+        some(lambda t: F.coalesce(t["lateFilingFlag"], F.lit(False))).alias("late_filing_count"), value.alias("estimated_total_value"), F.col("mostRecentFilingDate").alias("most_recent_oge_filing_date"),
+    )
+
+
 def known_urls(documents: DataFrame, last_check: DataFrame) -> DataFrame:
     """Every link known from documents, or from the state of the last check in any of its three forms."""
     own = documents.select(F.explode("sourceFilings.url").alias("url"))

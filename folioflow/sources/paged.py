@@ -30,6 +30,7 @@ class PagedReader(DataSourceReader):
         self.attempts = int(options.get("attempts", 4))
         self.wait = float(options.get("wait", 3))
         self.timeout = float(options.get("timeout", 30))
+        self.delay = float(options.get("delay", 2))
 
     def fetch(self, start: int, count: int) -> dict:
         address = self.url.format(start=start, count=count)
@@ -50,6 +51,8 @@ class PagedReader(DataSourceReader):
         return [Page(at, min(self.size, total - at)) for at in range(0, total, self.size)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
+        # Pages are read side by side, so each waits its own turn before it asks; the first doesn't.
+        time.sleep(self.delay if partition.start else 0)
         rows = self.fetch(partition.start, partition.count).get("data") or []
         if not rows:
             raise ValueError(f"no rows from {partition.start} on, before the declared end")
@@ -59,7 +62,7 @@ class PagedReader(DataSourceReader):
 
 
 class PagedSource(DataSource):
-    """Options: url with {start} and {count}, pagesize, attempts, wait, timeout."""
+    """Options: url with {start} and {count}, pagesize, attempts, wait, timeout, delay (seconds before each page but the first)."""
 
     @classmethod
     def name(cls) -> str:
