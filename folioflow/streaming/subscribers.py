@@ -35,6 +35,11 @@ def latest_status(events: DataFrame, key: str, status: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(status, F.struct("ts", "event_id")).alias("status"), F.count("*").alias("events"))
 
 
+def to_ask_again(signups: DataFrame) -> DataFrame:
+    """Active sign-ups that were never asked again and never confirmed: status, asked_again, confirmed."""
+    return signups.filter((F.col("status") == "active") & F.col("asked_again").isNull() & F.col("confirmed").isNull())
+
+
 def _step(state: Column, action: Column, at: Column) -> Column:
     """One move of a subscriber: (status, reason, sent_at, sends)."""
     status, reason = state["status"], state["reason"]
