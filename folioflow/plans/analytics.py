@@ -166,7 +166,8 @@ def a22_t4_ranking(s, d):
 @query(f"""WITH {TX_SQL} SELECT official_id, count(*) AS trades, arg_max(filing, struct_pack(a := date, b := filing, c := line, d := part, e := supplier)) AS newest_filing, {total("mid")} AS value FROM tx GROUP BY 1""")
 def a23_nested_trades(s, d):
     nested = rollups.nested_trades(transactions(s, d))
-    return nested.select("official_id", F.size("trades").cast("long").alias("trades"), F.get("trades", F.lit(0))["filing"].alias("newest_filing"), "value")
+    first = F.get("trades", F.lit(0))
+    return nested.groupBy("official_id").agg(rollups.total(F.size("trades")).alias("trades"), F.max_by(first["filing"], first).alias("newest_filing"), rollups.total(F.col("value")).alias("value"))
 
 
 STATS_SQL = f"""{TX_SQL}, stats AS (SELECT official_id, official, count(*) AS n, {n_if("is_sale")} AS n_sales, {n_if("is_buy")} AS n_buys, {n_if("type = 'Exchange'")} AS n_exchanges, {n_if("late")} AS n_late,

@@ -8,7 +8,7 @@ from folioflow.functions import brackets, scalars
 from folioflow.operators import digest, matching, merging, ordering, rollups
 from folioflow.plans.analytics import n_if, total
 from folioflow.plans.model import FILINGS_SQL, TX_SQL, filings, officials, table, transactions
-from folioflow.streaming import subscribers
+from folioflow.streaming import delivery, subscribers
 
 QUERIES, SQL = {}, {}
 
@@ -60,16 +60,16 @@ def j4_as_of(s, d):
 _EXEMPT = ("Brand#3", "Brand#9")
 
 
-@query(f"""WITH {TX_SQL}, h AS (SELECT p_brand AS ticker, min_by(p_name, p_partkey) AS held_as, CAST(sum({brackets.sql_case(brackets.sql_bracket_of("p_retailprice * 40"), 2)}) AS BIGINT) AS entry_value FROM part WHERE p_partkey % 97 = 0 GROUP BY 1),
-k AS (SELECT ticker, count(*) AS sales FROM tx WHERE is_sale AND ticker <> '' AND description LIKE 'blue%' AND supplier % 40 = 1 GROUP BY 1),
+@query(f"""WITH {TX_SQL}, h AS (SELECT p_brand AS ticker, min_by(p_name, p_partkey) AS held_as, CAST(sum({brackets.sql_case(brackets.sql_bracket_of("p_retailprice * 40"), 2)}) AS BIGINT) AS entry_value FROM part WHERE p_brand <> '' GROUP BY 1),
+k AS (SELECT ticker, count(*) AS sales FROM tx WHERE is_sale AND ticker <> '' GROUP BY 1),
 b AS (SELECT ticker, held_as, coalesce(sales, 0) AS n, coalesce(entry_value, 0) AS entry_value FROM h FULL JOIN k USING (ticker))
 SELECT ticker, coalesce(held_as, 'Sold (' || ticker || ')') AS description, n AS sales, CASE WHEN ticker IN ('Brand#3', 'Brand#9') THEN 'exempt' WHEN n > 0 THEN 'sold' ELSE 'no-sale-on-file' END AS status,
 CASE WHEN ticker IN ('Brand#3', 'Brand#9') THEN 'exempt from reporting' WHEN n > 0 AND held_as IS NOT NULL THEN n || CASE WHEN n = 1 THEN ' sale on file' ELSE ' sales on file' END WHEN n > 0 THEN 'sold, not among the parsed entries' ELSE 'no sale on file' END AS note, entry_value FROM b""")
 def j5_u8_t14_reconcile(s, d):
-    held = table(s, d, "part").filter("p_partkey % 97 = 0").select(
+    held = table(s, d, "part").select(
         F.col("p_brand").alias("ticker"), F.col("p_name").alias("description"), F.col("p_partkey").alias("ordinal"), brackets.midpoint(brackets.bracket_of(F.col("p_retailprice") * 40)).alias("value")
     )
-    sold = transactions(s, d).filter(brackets.is_sale(F.col("type")) & F.col("description").startswith("blue") & (F.col("supplier") % 40 == 1))
+    sold = transactions(s, d).filter(brackets.is_sale(F.col("type")))
     return matching.reconcile(held, sold, _EXEMPT)
 
 
@@ -148,31 +148,34 @@ def j12_merged_documents(s, d):
     return matching.merged_documents(rows.filter("status = 'F'"), rows)
 
 
-@query(f"""WITH {TX_SQL}, g AS (SELECT filing * 100 + line AS golden_id, description, CAST(CASE WHEN filing % 3 = 0 THEN date + 1 ELSE date END AS DATE) AS date, type, CASE WHEN filing % 5 = 0 THEN 'Over $50,000,000' ELSE amount END AS amount, late, official_id FROM tx WHERE filing % 200 = 0),
-g1 AS (SELECT DISTINCT ON (golden_id) * FROM g ORDER BY golden_id, description, date, type, amount, late),
-r AS (SELECT description, date, type, min_by(struct_pack(amount, late), struct_pack(a := filing, b := line, c := part, d := supplier)) AS f FROM tx GROUP BY 1, 2, 3)
-SELECT golden_id, f IS NOT NULL AS present, CASE WHEN f IS NULL THEN 0::BIGINT ELSE CAST(g1.amount IS NOT DISTINCT FROM f.amount AS BIGINT) + CAST(g1.late IS NOT DISTINCT FROM f.late AS BIGINT) END AS agreeing
-FROM g1 LEFT JOIN r USING (description, date, type)""")
+_GOLDEN_SQL = f"""{TX_SQL}, g AS (SELECT filing * 100 + line AS golden_id, description, CAST(CASE WHEN filing % 3 = 0 THEN date + 1 ELSE date END AS DATE) AS date, type, CASE WHEN filing % 5 = 0 THEN 'Over $50,000,000' ELSE amount END AS amount, late FROM tx),
+g1 AS (SELECT DISTINCT ON (golden_id) * FROM g ORDER BY golden_id, description NULLS FIRST, date NULLS FIRST, type NULLS FIRST, amount NULLS FIRST, late NULLS FIRST),
+r AS (SELECT description, date, type, min_by(struct_pack(amount, late), struct_pack(a := filing, b := line, c := part, d := supplier)) AS f FROM tx GROUP BY 1, 2, 3),
+scored AS (SELECT golden_id, f IS NOT NULL AS present, CASE WHEN f IS NULL THEN 0::BIGINT ELSE CAST(g1.amount IS NOT DISTINCT FROM f.amount AS BIGINT) + CAST(g1.late IS NOT DISTINCT FROM f.late AS BIGINT) END AS agreeing
+FROM g1 LEFT JOIN r ON g1.description IS NOT DISTINCT FROM r.description AND g1.date IS NOT DISTINCT FROM r.date AND g1.type IS NOT DISTINCT FROM r.type)"""
+
+
+@query(f"""WITH {_GOLDEN_SQL} SELECT golden_id % 100 AS line, count(*) AS golden, {n_if("present")} AS present, {total("agreeing")} AS agreeing, round(sum(agreeing) * 100.0::DOUBLE / (count(*) * 2), 1) AS accuracy, sum(agreeing) * 100 >= count(*) * 2 * 95 AS passed, any_value(n) <> count(*) AS count_differs
+FROM scored JOIN (SELECT line, count(*) AS n FROM tx GROUP BY 1) c ON c.line = golden_id % 100 GROUP BY 1""")
 def j13_x46_golden(s, d):
-    return _golden(transactions(s, d), "filing % 200 = 0")
+    """The accuracy of each line number's golden rows, and whether it reaches the threshold."""
+    tx = transactions(s, d)
+    scored = _golden(tx).withColumn("line", F.col("golden_id") % 100)
+    return matching.golden_accuracy(scored, tx.groupBy("line").agg(F.count("*").alias("n")), "line", 2)
 
 
-def _golden(tx, some):
-    made = (tx if some is None else tx.filter(some)).select(
+def _golden(tx):
+    made = tx.select(
         (F.col("filing") * 100 + F.col("line")).alias("golden_id"), "description", F.when(F.col("filing") % 3 == 0, F.date_add("date", 1)).otherwise(F.col("date")).alias("date"), "type", F.when(F.col("filing") % 5 == 0, "Over $50,000,000").otherwise(F.col("amount")).alias("amount"), "late"
     )
     golden = made.groupBy("golden_id").agg(F.min(F.struct("description", "date", "type", "amount", "late")).alias("g")).select("golden_id", "g.*")
     return matching.golden_score(golden, tx.withColumn("ordinal", F.struct(*ROWS)), ["description", "date", "type"], ["amount", "late"])
 
 
-@query(f"""WITH {TX_SQL}, g AS (SELECT filing * 100 + line AS golden_id, description, CAST(CASE WHEN filing % 3 = 0 THEN date + 1 ELSE date END AS DATE) AS date, type, CASE WHEN filing % 5 = 0 THEN 'Over $50,000,000' ELSE amount END AS amount, late FROM tx),
-g1 AS (SELECT DISTINCT ON (golden_id) * FROM g ORDER BY golden_id, description NULLS FIRST, date NULLS FIRST, type NULLS FIRST, amount NULLS FIRST, late NULLS FIRST),
-r AS (SELECT description, date, type, min_by(struct_pack(amount, late), struct_pack(a := filing, b := line, c := part, d := supplier)) AS f FROM tx GROUP BY 1, 2, 3)
-SELECT golden_id, f IS NOT NULL AS present, CASE WHEN f IS NULL THEN 0::BIGINT ELSE CAST(g1.amount IS NOT DISTINCT FROM f.amount AS BIGINT) + CAST(g1.late IS NOT DISTINCT FROM f.late AS BIGINT) END AS agreeing
-FROM g1 LEFT JOIN r ON g1.description IS NOT DISTINCT FROM r.description AND g1.date IS NOT DISTINCT FROM r.date AND g1.type IS NOT DISTINCT FROM r.type""")
+@query(f"WITH {_GOLDEN_SQL} SELECT * FROM scored")
 def j13_x46_golden_all(s, d):
     """A golden row for every filing and line."""
-    return _golden(transactions(s, d), None)
+    return _golden(transactions(s, d))
 
 
 @query(f"""WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, event_type, value FROM events WHERE event_id % 2 = 0),
@@ -187,13 +190,23 @@ def j14_positional(s, d):
     return matching.positional(e.filter("side = 0").drop("side"), e.filter("side = 1").drop("side"), "user_id", ["event_type"])
 
 
-@query(f"""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40)
+_PAIR = "concat(l_partkey, '-', l_suppkey)"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT {_PAIR} AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT {_PAIR} AS k FROM lineitem WHERE l_returnflag = 'A')
 SELECT {n_if("a.k IS NOT NULL AND b.k IS NOT NULL")} AS matches, {n_if("b.k IS NULL")} AS missing, {n_if("a.k IS NULL")} AS extra FROM a FULL JOIN b ON a.k = b.k""")
 def j15_u11_j22_sets(s, d):
-    line = table(s, d, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("k"), "l_returnflag")
+    line = table(s, d, "lineitem").select(F.expr(_PAIR).alias("k"), "l_returnflag")
     return matching.compared_sets(line.filter("l_returnflag = 'R'"), line.filter("l_returnflag = 'A'"), "k")
 
 
+@query(f"""WITH c AS (SELECT {_PAIR} AS k, {n_if("l_returnflag = 'R'")} AS ours, {n_if("l_returnflag = 'A'")} AS theirs FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1)
+SELECT k, ours, theirs, CASE WHEN ours = theirs THEN 'Match' WHEN theirs = 0 THEN 'They''re missing it' WHEN ours = 0 THEN 'We''re missing it' WHEN ours > theirs THEN 'We have more' ELSE 'They have more' END AS status FROM c""")
+def j22_count_status(s, d):
+    line = table(s, d, "lineitem").select(F.expr(_PAIR).alias("k"), "l_returnflag")
+    return matching.count_status(line.filter("l_returnflag = 'R'"), line.filter("l_returnflag = 'A'"), "k")
+
+
 @query("""SELECT p_partkey AS id, coalesce(k.slug, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-')) AS slug, k.context FROM part
 LEFT JOIN (VALUES ('Brand#1', 'first', 'makes firsts'), ('Brand#2', 'second', 'makes seconds')) k(brand, slug, context) ON p_brand = brand""")
 def j16_j23_dimension(s, d):
@@ -270,7 +283,18 @@ def u5_t7_last_write(s, d):
 
 @query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def u6_keep_first(s, d):
-    return table(s, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return merging.keep_first_text(table(s, d, "documents"), "text", "doc_id")
+
+
+@query(f"""WITH {FILINGS_SQL}, t AS (SELECT coalesce(url, label) AS link, official_id, date, ordinal FROM filings WHERE coalesce(url, label) IS NOT NULL),
+l AS (SELECT link, max_by(official_id, ordinal) AS official_id, max_by(date, ordinal) AS date FROM t GROUP BY 1)
+SELECT link, date, c_name AS name, row_number() OVER (ORDER BY date DESC, c_name, link) AS place FROM l JOIN customer ON c_custkey = official_id""")
+def t7_target_filings(s, d):
+    """The last row of each link, in the order of dates, latest first, then of names."""
+    rows = filings(s, d).withColumn("link", F.coalesce("url", "label")).filter("link IS NOT NULL")
+    last = merging.last_write(rows, "link", ["official_id", "date"], F.col("ordinal")).drop("first_place")
+    named = last.join(table(s, d, "customer").select(F.col("c_custkey").alias("official_id"), F.col("c_name").alias("name")), "official_id")
+    return ordering.numbered(named, {"date": False}, [F.asc("name"), F.asc("link")], "place").select("link", "date", "name", "place")
 
 
 @query(f"WITH {LOTS_SQL} SELECT filing, line, part, supplier, row_number() OVER (PARTITION BY key, filing ORDER BY line, part, supplier) AS occurrence FROM lots")
@@ -327,6 +351,10 @@ def _pending(s, d):
     return digest.pending_filings(_people(s, d), rows, rows.filter("status = 'F' AND url IS NOT NULL"), SINCE)
 
 
+def _cards(s, d):
+    return digest.items(_people(s, d), _pending(s, d), F.floor(F.col("slug") / 4096))
+
+
 @query(f"WITH {DIGEST_SQL} SELECT * FROM pending")
 def r10_r8_pending(s, d):
     return _pending(s, d)
@@ -334,19 +362,43 @@ def r10_r8_pending(s, d):
 
 @query(f"WITH {DIGEST_SQL} SELECT * FROM cards")
 def r10_t9_items(s, d):
-    return digest.items(_people(s, d), _pending(s, d))
+    return _cards(s, d)
 
 
 @query(f"""WITH {TX_SQL}, {DIGEST_SQL} SELECT slug, filing, line, part, supplier, nth FROM (SELECT official_id AS slug, filing, line, part, supplier, row_number() OVER (PARTITION BY official_id ORDER BY date DESC, filing, line, part, supplier) AS nth FROM tx) JOIN cards USING (slug) WHERE nth <= least(6, new_count)""")
 def t8_trades_shown(s, d):
     trades = transactions(s, d).select(F.col("official_id").alias("slug"), "date", *ROWS)
-    return digest.trades_shown(digest.items(_people(s, d), _pending(s, d)), trades, [F.asc(c) for c in ROWS]).select("slug", *ROWS, "nth")
+    return digest.trades_shown(_cards(s, d), trades, [F.asc(c) for c in ROWS]).select("slug", *ROWS, "nth")
+
+
+_SHOWN_SQL = """shown AS (SELECT slug, nth, description || CASE WHEN coalesce(ticker, '') <> '' THEN ' (' || ticker || ')' ELSE '' END || ': ' || type || ', ' || amount || ', trade date ' || CAST(date AS VARCHAR) || CASE WHEN late THEN ', flagged late' ELSE '' END AS text
+FROM (SELECT official_id AS slug, *, row_number() OVER (PARTITION BY official_id ORDER BY date DESC, filing, line, part, supplier) AS nth FROM tx) JOIN cards USING (slug) WHERE nth <= least(6, new_count))"""
+
+
+@query(f"""WITH {TX_SQL}, {DIGEST_SQL}, {_SHOWN_SQL}, lines AS (SELECT slug, string_agg('    - ' || text, chr(10) ORDER BY nth) AS lines FROM shown GROUP BY 1)
+SELECT slug, concat_ws(chr(10), '- ' || name || ': ' || new_count || ' new trades disclosed. Filing posted on ' || CAST(posted AS VARCHAR) || '.', CASE WHEN slug % 2 = 0 THEN '  Site summary: About ' || name END,
+CASE WHEN lines IS NOT NULL THEN '  Most recent trades:' END, lines) AS text FROM cards LEFT JOIN lines USING (slug)""")
+def j24_draft_lines(s, d):
+    cards = _cards(s, d)
+    tx = transactions(s, d).withColumn("slug", F.col("official_id"))
+    shown = digest.trades_shown(cards, tx, [F.asc(c) for c in ROWS])
+    ticker = F.when(F.coalesce("ticker", F.lit("")) != "", F.concat(F.lit(" ("), "ticker", F.lit(")"))).otherwise("")
+    text = F.concat("description", ticker, F.lit(": "), "type", F.lit(", "), "amount", F.lit(", trade date "), F.col("date").cast("string"), F.when(F.col("late"), ", flagged late").otherwise(""))
+    summaries = _people(s, d).select("slug", F.when(F.col("slug") % 2 == 0, F.concat(F.lit("About "), "name")).alias("summary"))
+    return digest.draft_lines(cards, summaries, shown.select("slug", "nth", text.alias("text")))
+
+
+@query(f"""WITH {DIGEST_SQL}, f AS (SELECT c_custkey % 400 AS slug, count(*) AS followers FROM customer WHERE c_custkey % 5 > 0 GROUP BY 1)
+SELECT coalesce(string_agg(followers || ' for ' || name, ', ' ORDER BY place), '') AS text, count(*) AS cards FROM cards JOIN f USING (slug)""")
+def j25_follower_text(s, d):
+    follows = table(s, d, "customer").select(F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey") % 400).alias("slug"))
+    return digest.follower_text(_cards(s, d), follows)
 
 
 @query(f"""WITH {DIGEST_SQL} SELECT slug, posted, CASE WHEN new_count > 0 THEN new_count END AS new_count, row_number() OVER (ORDER BY posted DESC, slug) AS place FROM people
 WHERE NOT former AND coalesce(ingested, '') >= CAST(DATE '{REFERENCE}' - 14 AS VARCHAR) AND slug NOT IN (SELECT slug FROM cards) QUALIFY place <= 5""")
 def j10_t10_also_new(s, d):
-    return digest.also_new(_people(s, d), digest.items(_people(s, d), _pending(s, d)), REFERENCE)
+    return digest.also_new(_people(s, d), _cards(s, d), REFERENCE)
 
 
 @query(f"WITH {DIGEST_SQL} SELECT sha256(string_agg(url, chr(10) ORDER BY url)) AS send_key, count(*) AS urls FROM pending")
@@ -367,7 +419,7 @@ def a43_w6_banner(s, d):
 
 @query(f"""WITH {DIGEST_SQL} SELECT slug % 10 AS entry, {total("new_count")} AS rows, count(*) AS items FROM cards GROUP BY 1""")
 def a34_a35_entry_totals(s, d):
-    cards = digest.items(_people(s, d), _pending(s, d))
+    cards = _cards(s, d)
     nested = cards.groupBy((F.col("slug") % 10).alias("entry")).agg(F.collect_list(F.struct("slug", "new_count")).alias("items"))
     return nested.select("entry", F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["new_count"]).alias("rows"), F.size("items").cast("long").alias("items"))
 
@@ -390,6 +442,13 @@ def r3_rate_limit(s, d):
     return subscribers.rate_limited(table(s, d, "events"), "user_id", 6 * 3600, 1).select("event_id", "in_window", "limited")
 
 
+@query("""WITH a AS (SELECT user_id AS run, event_id % 7 AS chunk, event_id AS attempt, event_type <> 'error' AS ok FROM events), c AS (SELECT run, chunk, max(ok) AS ok, count(*) AS attempts FROM a GROUP BY 1, 2)
+SELECT run, count(*) AS chunks, count(*) FILTER (ok) AS done, CAST(sum(attempts) AS BIGINT) AS attempts, CASE WHEN count(*) FILTER (ok) = 7 THEN 'sent' ELSE 'failed' END AS status FROM c GROUP BY 1""")
+def r7_send_states(s, d):
+    tries = table(s, d, "events").select(F.col("user_id").alias("run"), (F.col("event_id") % 7).alias("chunk"), F.col("event_id").alias("attempt"), (F.col("event_type") != "error").alias("ok"))
+    return delivery.run_states(tries, F.lit(7))
+
+
 @query("SELECT user_id, max_by(event_type, struct_pack(ts, event_id)) AS status, count(*) AS events FROM events GROUP BY 1")
 def r6_delivery_status(s, d):
     return subscribers.latest_status(table(s, d, "events"), "user_id", "event_type")

@@ -10,6 +10,7 @@ from folioflow.operators.rollups import n_if
 from folioflow.plans.analytics import B
 from folioflow.plans.analytics import n_if as n_if_sql
 from folioflow.plans.model import FILINGS_SQL, OFFICIALS_SQL, TODAY, TX_SQL, all_transactions, filings, in_roster, officials, table, transactions
+from folioflow.streaming import subscribers
 
 QUERIES, SQL = {}, {}
 
@@ -41,6 +42,17 @@ def f3_f4_targets(s, d):
     return docs.filter(classify.is_periodic_report(F.col("text")) | F.col("source").isin("src1", "src2")).select("doc_id")
 
 
+_LEVEL = "CASE c_custkey % 5 WHEN 0 THEN 'Level I' WHEN 1 THEN 'Level II' WHEN 2 THEN 'level i' WHEN 3 THEN 'Level III' END"
+_TARGET = f"CASE WHEN c_custkey % 11 = 0 THEN '{classify.TARGET_NAMES[0]}' WHEN c_custkey % 11 = 1 THEN '{classify.TARGET_NAMES[1]}' WHEN c_custkey % 11 = 2 THEN upper('{classify.TARGET_NAMES[0]}') ELSE c_name END"
+
+
+@query(f"""SELECT official_id, coalesce(level IN ('Level I', 'Level II'), false) OR coalesce(name IN ({", ".join(f"'{n}'" for n in classify.TARGET_NAMES)}), false) AS target
+FROM (SELECT c_custkey AS official_id, {_LEVEL} AS level, {_TARGET} AS name FROM customer)""")
+def f3_target_level(s, d):
+    people = table(s, d, "customer").select(F.col("c_custkey").alias("official_id"), F.expr(_LEVEL).alias("level"), F.expr(_TARGET).alias("name"))
+    return people.select("official_id", classify.is_target_level(F.col("level"), F.col("name")).alias("target"))
+
+
 @query("SELECT o_orderkey AS ordinal FROM orders WHERE substr(CAST(o_orderdate AS VARCHAR), 1, 10) >= '1999-02-01'")
 def f5_date_floor(s, d):
     return table(s, d, "orders").filter(F.substring(F.col("o_orderdate").cast("string"), 1, 10) >= "1999-02-01").select(F.col("o_orderkey").alias("ordinal"))
@@ -96,6 +108,15 @@ def f14_f15_recipients(s, d):
     return table(s, d, "customer").filter((F.col("c_mktsegment") == "BUILDING") & confirmed.isNotNull()).select(F.col("c_custkey").alias("id"))
 
 
+_SIGNUPS = "c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN 'active' ELSE 'pending' END AS status, CASE WHEN c_custkey % 4 = 0 THEN DATE '2025-01-01' END AS asked_again, CASE WHEN c_custkey % 5 > 1 THEN DATE '2025-02-01' END AS confirmed"
+
+
+@query(f"SELECT id FROM (SELECT {_SIGNUPS} FROM customer) WHERE status = 'active' AND asked_again IS NULL AND confirmed IS NULL")
+def f15_repermission(s, d):
+    signups = table(s, d, "customer").selectExpr(*_SIGNUPS.replace(", CASE", "|CASE").split("|"))
+    return subscribers.to_ask_again(signups).select("id")
+
+
 @query(f"""WITH {TX_SQL} SELECT {n_if_sql("coalesce(description, '') = ''")} AS no_description, {n_if_sql("coalesce(ticker, '') = ''")} AS no_ticker, {n_if_sql("date IS NULL")} AS no_date FROM all_tx""")
 def f16_blanks(s, d):
     blank = lambda c: n_if(F.col(c).isNull() | (F.col(c).cast("string") == "")).alias(f"no_{c}")
@@ -131,26 +152,22 @@ def f22_ledger_lookup(s, d):
     return rows.filter(F.col("date") >= F.lit("2000-01-01").cast("date")).join(ledger, "url", "left_semi").select("url")
 
 
-@query("""SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(text, '(?i).{0,80}(the\\s+and|and\\s+the).{0,80}', 0), '\\s+', ' ', 'g')), '') AS snippet FROM documents
-WHERE lang = 'en' AND regexp_matches(text, '(?i)the\\s+and|and\\s+the') AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+#: Some words become remarks about fees, so that all texts are searched with the patterns of use.
+_REMARKED = "replace(replace(text, ' and ', ' Filer  paid '), ' the ', ' paid late ')"
+
+
+@query(f"SELECT doc_id, {classify.fee_snippet_sql('t')} AS snippet FROM (SELECT doc_id, {_REMARKED} AS t FROM documents) WHERE regexp_matches(t, '(?i){classify.FEE_REMARK}')")
 def f23_snippets(s, d):
-    docs = table(s, d, "documents").filter((F.col("lang") == "en") & F.col("text").rlike(r"(?i)the\s+and|and\s+the") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    found = F.regexp_extract("text", r"(?i).{0,80}(the\s+and|and\s+the).{0,80}", 0)
-    return docs.select("doc_id", F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit("")).alias("snippet"))
+    return table(s, d, "documents").select("doc_id", classify.fee_snippet(F.expr(_REMARKED)).alias("snippet")).filter("snippet IS NOT NULL")
 
 
-#: White space and line ends as the reference's language has them, spelled out: Java and DuckDB differ on the short forms.
-_SPACE, _IN_LINE = r"[\x{9}-\x{D} \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]", r"[^\x{A}\x{D}\x{2028}\x{2029}]"
-_ANNOTATION = f"(the{_SPACE}+and|and{_SPACE}+the)"
+_ANNOTATION = f"(the{classify.SPACE}+and|and{classify.SPACE}+the)"
 
 
-@query(f"""SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(text, '(?i){_IN_LINE}{{0,80}}{_ANNOTATION}{_IN_LINE}{{0,80}}', 0), '{_SPACE}+', ' ', 'g')), '') AS snippet FROM documents
-WHERE regexp_matches(text, '(?i){_ANNOTATION}')""")
+@query(f"SELECT doc_id, {classify.fee_snippet_sql('text', remark=_ANNOTATION)} AS snippet FROM documents WHERE regexp_matches(text, '(?i){_ANNOTATION}')")
 def f23_snippets_all(s, d):
-    """All documents, in any language and with any characters."""
-    docs = table(s, d, "documents").filter(F.col("text").rlike(f"(?i){_ANNOTATION}"))
-    found = F.regexp_extract("text", f"(?i){_IN_LINE}{{0,80}}{_ANNOTATION}{_IN_LINE}{{0,80}}", 0)
-    return docs.select("doc_id", F.nullif(F.trim(F.regexp_replace(found, f"{_SPACE}+", " ")), F.lit("")).alias("snippet"))
+    """Another remark, in texts as they are."""
+    return table(s, d, "documents").select("doc_id", classify.fee_snippet(F.col("text"), remark=_ANNOTATION).alias("snippet")).filter("snippet IS NOT NULL")
 
 
 @query("SELECT doc_id FROM documents WHERE length(trim(text)) >= 50 AND regexp_matches(lower(text), 'ouble|tion|ung')")
@@ -347,6 +364,24 @@ def a28_v7_v10_counters(s, d):
     return quality.counters(dirty(s, d), "2026-01-01")
 
 
+@query(f"""WITH {DIRTY_SQL}, f AS (SELECT count(*) AS n, {n_if_sql("len(errors) > 0")} AS failures FROM judged), g AS (SELECT count(*) AS golden_total, {n_if_sql("accuracy >= 95")} AS golden_passed FROM (SELECT official_id, avg(CASE WHEN late THEN 0 ELSE 100 END) AS accuracy FROM tx GROUP BY 1))
+SELECT n, failures, golden_passed, golden_total, CASE WHEN failures > 0 OR golden_passed < golden_total THEN 'FAIL' ELSE 'PASS' END AS verdict FROM f, g""")
+def v10_verdict(s, d):
+    golden = transactions(s, d).groupBy("official_id").agg((F.avg(F.when(F.col("late"), 0).otherwise(100)) >= 95).alias("passed"))
+    return quality.verdict(quality.counters(dirty(s, d), "2026-01-01").select("n", "failures"), golden)
+
+
+_PINS = (("region", 5), ("nation", 25), ("supplier", 100), ("sizes", 50), ("flags", 3))
+
+
+@query(f"""SELECT name, n, pinned, n = pinned AS holds FROM (SELECT 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'sizes', count(DISTINCT p_size) FROM part
+UNION ALL SELECT 'flags', count(DISTINCT l_returnflag) FROM lineitem) JOIN (VALUES {", ".join(map(str, _PINS))}) p(name, pinned) USING (name)""")
+def v9_pinned_counts(s, d):
+    counts = {t: table(s, d, t).agg(F.count("*").alias("n")) for t in ("region", "nation", "supplier")}
+    counts |= {"sizes": table(s, d, "part").agg(F.countDistinct("p_size").alias("n")), "flags": table(s, d, "lineitem").agg(F.countDistinct("l_returnflag").alias("n"))}
+    return quality.pinned(counts, dict(_PINS))
+
+
 @query(f"WITH {DIRTY_SQL} SELECT ticker, count(*) AS n FROM dirty WHERE ticker <> '' AND ticker NOT IN ({_KNOWN}) GROUP BY 1")
 def u13_unknown_tickers(s, d):
     return quality.unknown_tickers(dirty(s, d))
