@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import activity, digest, matching, merging, ordering, quality, rollups
@@ -28,6 +29,62 @@ def test_as_of(spark):
     assert got.filter("official_id = 2").first().filing_ordinal is None
 
 
+def test_as_of_of_one_busy_official(spark):
+    """Every row of one official: the answer is found once for each of its days, and dates may be missing."""
+    t = spark.range(3000).select(F.lit(1).alias("official_id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 400).cast("int")).alias("date"), "id")
+    t = t.unionByName(spark.createDataFrame([(1, None, 9000), (None, D("2020-01-01"), 9001)], "official_id int, date date, id long"))
+    f = spark.range(50).select(F.lit(1).alias("official_id"), F.date_add(F.lit("2020-01-05").cast("date"), (F.col("id") * 7).cast("int")).alias("date"), F.col("id").alias("ordinal"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("label"))
+    got = {r.id: r.filing_ordinal for r in matching.as_of(t, f, "official_id").collect()}
+    assert len(got) == 3002 and got[9000] == 49 and got[9001] is None
+    assert all(got[k] == min(49, max(0, -((4 - k % 400) // 7))) for k in range(3000))
+
+
+def test_texts_with_tokens(spark):
+    texts = ["Green Hill Partners", "greenhill", "a b", "", None, "x", "blue green"]
+    needles = [(1, ["GREEN"]), (2, ["hill", "green"]), (3, ["a"]), (4, ["zz", "green"]), (5, []), (6, [""]), (7, ["b", "e"]), (8, ["nothing"])]
+    got = matching.texts_with_tokens(spark.createDataFrame([(t,) for t in texts], "description string"), spark.createDataFrame(needles, "needle_id int, tokens array<string>"))
+    want = {(t, n) for t in texts if t for n, tokens in needles if any(tokens) and all(x.lower() in t.lower() for x in tokens)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(k % 3, k % 2, k) for k in range(60)] + [(None, 0, 100)], "a int, b int, c int")
+    got = ordering.numbered(df, {"a": False, "b": True}, [F.asc("c")], "place").collect()
+    order = sorted(got, key=lambda r: (r.a is None, -(r.a or 0), r.b, r.c))
+    assert [r.place for r in order] == list(range(1, 62)) and len(got[0]) == 4
+
+
+def test_golden_accuracy_and_pins(spark):
+    scored = spark.createDataFrame([("a", True, 2), ("a", True, 2), ("b", False, 0), ("b", True, 1)], "g string, present boolean, agreeing long")
+    counts = spark.createDataFrame([("a", 2), ("b", 9)], "g string, n long")
+    assert rows(matching.golden_accuracy(scored, counts, "g", 2), "g", "accuracy", "passed", "count_differs") == [("a", 100.0, True, False), ("b", 25.0, False, True)]
+    counted = spark.createDataFrame([(5, 0)], "n int, failures int")
+    golden = matching.golden_accuracy(scored, counts, "g", 2)
+    assert quality.verdict(counted, golden).first().verdict == "FAIL" and quality.verdict(counted, golden.filter("passed")).first().verdict == "PASS"
+    assert quality.verdict(counted, golden.limit(0)).first().verdict == "PASS"
+    pins = quality.pinned({"x": spark.range(3).agg(F.count("*").alias("n")), "y": spark.range(4).agg(F.count("*").alias("n"))}, {"x": 3, "y": 3})
+    assert rows(pins, "name", "holds") == [("x", True), ("y", False)]
+    assert quality.assert_pinned(pins.filter("name = 'x'")).count() == 1
+    with pytest.raises(Exception, match="count of y is 4, pinned to 3"):
+        quality.assert_pinned(pins).collect()
+
+
+def test_send_keys(spark):
+    import hashlib
+
+    pending = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "url string")
+    got = digest.send_key(pending).first()
+    assert (got.send_key, got.urls) == (hashlib.sha256(b"a\nb").hexdigest(), 2)
+    with pytest.raises(Exception, match="more than 1 urls"):
+        digest.send_key(pending, most=1).collect()
+
+
+def test_first_texts(spark):
+    df = spark.createDataFrame([(3, "x"), (1, "x"), (2, None), (5, None), (7, ""), (8, "y"), (8, "y")], "id int, t string")
+    assert sorted(map(str, merging.keep_first_text(df, "t", "id").collect())) == sorted(map(str, df.groupBy("t").agg(F.min("id").alias("id")).collect()))
+
+
 def lots(spark, *counts):
     data = [(f, k, k, k, key, D("2020-01-01"), "Sale", SMALL) for f, key, n in counts for k in range(n)]
     return spark.createDataFrame(data, "filing long, line int, part long, supplier long, description string, date date, type string, amount string")
