@@ -92,6 +92,57 @@ def test_asset_classes(spark, text, ticker, kind):
     assert one(spark, classify.asset_class(F.col("t"), F.col("k")), t=text, k=ticker) == kind
 
 
+#: Texts of each class, by hand, so that a wrong constant shows though the SQL is built from the same tables.
+CLASS_EXAMPLES = {
+    "Cryptocurrency": "bitcoin|ethereum|crypto|solana|polygon|polkadot",
+    "Bonds & Fixed Income": "treasury|muni|municipal|fixed income|bond|x due 2031|due oct 1|5.00% x due|4% due|rev|g.o.|go|gas dist|gas sply|gen oblig|sch dist|anticipation|bond fund|municipal fund",
+    "Preferred Securities": "perp|tier|preferred|pfd",
+    "ETFs & Index Funds": "etf|index fund|vanguard|ishares|spdr",
+    "Mutual Funds": "pimco|franklin|invesco|brandywine|allspring|blackrock|fidelity|schwab|dodge & cox|nuveen|tax-free|tax free|income fund|tax fund|mutual  fund|fund x class b",
+    "Real Estate": "real estate|marina|llc x property|llc, land",
+    "Retirement Accounts": "retirement|401k|ira",
+    "Private Funds & Partnerships": "l.p.|lp|l.p|llc|llp|partners|capital|ventures|associates|master fund|fund|l.p.x",
+    "Individual Stocks": "inc|corp|plc|n.v.|nv|ltd|companies|company|com|unsolicited|bancshares|bancorp|labs|technologies|class a",
+    "Other": "bitcoins|bondage|duet 5|preferredx|xetf|fundx|_ira|401k2|acme|class d|tax_free|\u00e9|",
+}
+
+
+def test_every_asset_pattern(spark):
+    rows = [(text, kind) for kind, texts in CLASS_EXAMPLES.items() for text in texts.split("|")]
+    rows += [(f"\u00e9{text.upper()}\u00e9", kind) for text, kind in rows if kind not in ("Other", "Bonds & Fixed Income") and text[:1].isalpha() and text[-1:].isalpha()]
+    got = spark.createDataFrame(rows, "text string, kind string").select("text", "kind", classify.asset_class(F.col("text"), F.lit(False)).alias("got")).filter("kind <> got").collect()
+    assert got == []
+
+
+#: By hand, as above: estimates for the site and for exports.
+ESTIMATES = (
+    ("$1,001-$15,000", 8_000, 8_000), ("$15,001-$50,000", 32_500, 32_500), ("$50,001-$100,000", 75_000, 75_000), ("$100,001-$250,000", 175_000, 175_000), ("$250,001-$500,000", 375_000, 375_000),
+    ("$500,001-$1,000,000", 750_000, 750_000), ("$1,000,001-$5,000,000", 3_000_000, 3_000_000), ("$5,000,001-$25,000,000", 15_000_000, 15_000_000), ("$25,000,001-$50,000,000", 37_500_000, 37_500_000),
+    ("Over $50,000,000", 75_000_000, 75_000_000), ("Over $1,000,000", 1_500_000, 0),
+)
+
+
+def test_every_estimate(spark):
+    rows = spark.createDataFrame(ESTIMATES, "amount string, site long, export long")
+    got = rows.select("site", "export", brackets.midpoint(F.col("amount")).alias("s"), brackets.midpoint(F.col("amount"), "export").alias("e")).collect()
+    assert all((r.site, r.export) == (r.s, r.e) for r in got) and len(got) == len(brackets.BRACKETS)
+
+
+@pytest.mark.parametrize("level, name, target", [("Level I", "x", True), ("Level II", None, True), ("level i", "x", False), (None, "Trump, Donald J", True), ("Level III", "Trump, Donald J.", True), (None, "trump, donald j", False), (None, None, False)])
+def test_target_levels(spark, level, name, target):
+    df = spark.createDataFrame([(level, name)], "level string, name string")
+    assert df.select(classify.is_target_level(F.col("level"), F.col("name"))).first()[0] is target
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [("A Certificate of Divestiture", "certificate_of_divestiture"), ("Conflict of Interest Waiver", "conflict_waiver"), ("Certification of Ethics Agreement Compliance", "compliance_cert"), ("Ethics Agreement", "ethics_agreement"),
+     ("Nominee 278", "nominee_278"), ("278 Transaction", "transaction_278t"), ("form 278T.", "transaction_278t"), ("278TX", "other"), ("\u00e9278T", "transaction_278t"), ("", "other")],
+)
+def test_document_kinds(spark, text, kind):
+    assert one(spark, classify.document_kind(F.col("t")), t=text) == kind
+
+
 def test_links_and_labels(spark):
     link = scalars.pdf_link(F.col("h"), "https://base.example/api/v2")
     assert one(spark, link, h="<a href='/x/a_b.PDF'>") == "https://base.example/x/a_b.PDF"
