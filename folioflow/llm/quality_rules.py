@@ -55,15 +55,23 @@ BASE_RULES = (
 )
 #: The threshold table of the method: length, symbol, stop-word and line ratios.
 THRESHOLDS = (
-    Rule("not_too_long", "n_words", "<=", 10_000_000, "one"),
     Rule("words_long_enough", "word_chars", ">=", 200, "n_words"),
     Rule("words_short_enough", "word_chars", "<=", 1500, "n_words"),
     Rule("few_symbols", "n_symbols", "<=", 10, "n_words"),
-    # Of the words past the first fifty: chance alone leaves a short text without any.
-    Rule("enough_stop_words", "n_stop_words", ">=", 5, "words_past_50"),
-    Rule("few_repeated_lines", "n_dup_lines", "<=", 30, "n_lines"),
+    # Of the words past the first fifty: chance alone leaves a short text without any. The lists are of languages with Latin
+    # letters, so texts in other scripts are not judged by them.
+    Rule("enough_stop_words", "n_stop_words", ">=", 5, "latin_words_past_50"),
+    # A line or two that come twice in a text of few lines say nothing.
+    Rule("few_repeated_lines", "n_dup_lines", "<=", 30, "lines_and_4"),
 )
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+#: What rules compare with, beside the measures, as SQL of the measures.
+BASES = {
+    "one": "1L",
+    "latin_words_past_50": "CASE WHEN 2 * n_latin >= word_chars THEN n_words - 50 ELSE 0L END",
+    "lines_and_4": "n_lines + 4L",
+}
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_latin", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+LATIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def _covered(windows: Column) -> Column:
@@ -115,6 +123,7 @@ def measure(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
         size("__words").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("__text") - F.length(F.translate("__text", LATIN, ""))).cast("long").alias("n_latin"),
         size(F.filter("__words", lambda w: F.lower(w).isin(ALL_STOP_WORDS))).alias("n_stop_words"),
         size("__lines").alias("n_lines"),
         (size("__lines") - size(F.array_distinct("__lines"))).alias("n_dup_lines"),
@@ -127,7 +136,7 @@ def measure(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
 def verdicts(measured: DataFrame, thresholds: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """Adds base_failed, kept and broken_rules to measured rows, by one projection."""
     base = ~F.expr("true")
-    rows = measured.withColumns({"one": F.lit(1).cast("long"), "words_past_50": F.col("n_words") - 50})
+    rows = measured.withColumns({name: F.expr(sql) for name, sql in BASES.items()})
     for rule in BASE_RULES:
         base = base | ~rule.holds()
     fine = F.lit(True)

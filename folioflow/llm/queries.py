@@ -111,7 +111,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule_sql(rule: quality_rules.Rule) -> str:
-    base = {"one": "1", "words_past_50": "(n_words - 50)"}.get(rule.base, rule.base)
+    base = f"({quality_rules.BASES.get(rule.base, rule.base)})".replace("1L", "1").replace("0L", "0").replace("4L", "4")
     return f"({rule.measure} * 100 {rule.sign} {rule.factor} * {base})"
 
 
@@ -127,6 +127,7 @@ m AS (
   SELECT d.doc_id, CAST(len(w.words) AS BIGINT) AS n_words,
          CAST(length(array_to_string(w.words, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(translate(text, '{quality_rules.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+         CAST(length(text) - length(translate(text, '{quality_rules.LATIN}', '')) AS BIGINT) AS n_latin,
          CAST(len(list_filter(w.words, lambda x: lower(x) IN ({", ".join(f"'{s}'" for s in quality_rules.ALL_STOP_WORDS)}))) AS BIGINT) AS n_stop_words,
          CAST(len(lines) AS BIGINT) AS n_lines,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,

@@ -173,8 +173,9 @@ def plain_pipeline(rows):
         often = Counter(windows)
         n = {
             "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_stop_words": sum(w.lower() in quality_rules.ALL_STOP_WORDS for w in words),
-            "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len({i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}), "one": 1, "words_past_50": len(words) - 50,
+            "n_lines": len(lines), "lines_and_4": len(lines) + 4, "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len({i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}), "one": 1,
         }
+        n["latin_words_past_50"] = n["n_words"] - 50 if 2 * len(re.findall("[A-Za-z]", text)) >= n["word_chars"] else 0
         if all((n[x.measure] * 100 <= x.factor * n[x.base]) if x.sign == "<=" else (n[x.measure] * 100 >= x.factor * n[x.base]) for x in (*quality_rules.BASE_RULES, *quality_rules.THRESHOLDS)):
             good.append(r)
     kept, seen = [], set()

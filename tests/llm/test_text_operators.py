@@ -39,6 +39,18 @@ def test_quality_measures(spark):
         assert not (row.kept and row.base_failed)
 
 
+def test_quality_leaves_clean_texts_alone(spark):
+    """Other scripts, very long texts and a line that comes twice among few."""
+    texts = [
+        " ".join(f"\u0441\u043b\u043e\u0432\u043e{k}" for k in range(200)),
+        " ".join(f"the word{k}" for k in range(120_000)),
+        "\n".join(["Chapter one of it", *(" ".join(f"the w{k}x{j}" for j in range(40)) for k in range(2)), "Chapter one of it"]),
+        " ".join(f"latin{k}" for k in range(200)),
+    ]
+    got = quality_rules.verdicts(quality_rules.measure(frame(spark, texts))).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [True, True, True, False] and got[3].broken_rules == ["enough_stop_words"]
+
+
 def test_quality_filter_keeps_columns(docs, no_docs):
     extra = docs.withColumns({"n_words": F.lit("mine"), "__row": F.lit(1), "kept": F.lit(False)})
     kept = quality_rules.keep_good(extra)
