@@ -523,7 +523,8 @@ def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     keys = suspects.select(F.xxhash64("id", "text_hash").alias("__h"), F.col("id").alias("s_id"), F.col("text_hash").alias("s_hash"), "lost")
     i, t = names.index(id_col), names.index(text_col)
     met = marked.filter("__maybe").join(keys, "__h", "left").filter(F.expr(f"s_hash IS NULL OR (__{i} <=> s_id AND xxhash64(__{t}) = s_hash)"))
-    once = met.filter("lost = false").dropDuplicates([f"__{i}", "s_hash"]).select(*row.columns)
-    passed = met.filter("lost IS NULL").select(*row.columns)
-    out = marked.filter("NOT __maybe").select(*row.columns).union(passed).union(once)
+    # Of equal rows one stays; a row that only the filter took for one in question is told apart by a number of its own.
+    apart = met.filter("lost IS NULL OR NOT lost").withColumn("__apart", F.when(F.col("lost").isNull(), F.monotonically_increasing_id()))
+    once = apart.dropDuplicates([f"__{i}", "s_hash", "__apart"]).select(*row.columns)
+    out = marked.filter("NOT __maybe").select(*row.columns).union(once)
     return out.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(names)))
