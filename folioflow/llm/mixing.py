@@ -29,6 +29,8 @@ BLOCK_TOKENS = 256
 BUCKETS = 4096
 RUN = 1 << 16
 CELLS = 1024
+#: Sources' rows up to so many bytes are broadcast, each taken for ROW_BYTES beside its name; more meet salted documents.
+BROADCAST_BYTES, ROW_BYTES, SALTS = 16 << 20, 200, 64
 #: Points are integers modulo SPAN; an odd step near the golden ratio's fraction of it visits all of them.
 SPAN = 1 << 31
 GOLDEN = int((5**0.5 - 1) / 2 * SPAN) | 1
@@ -158,6 +160,17 @@ def taken(known: DataFrame, pieces: DataFrame) -> DataFrame:
     return copies.select("source", "doc_id", "size", "source_size", "target", even.cast("long").alias("taken"))
 
 
+def _beside(held: DataFrame, ends: DataFrame) -> DataFrame:
+    """Each document with the row of its source: broadcast where those rows are few, which is checked, else by a join in which a
+    source's documents are dealt out by a salt."""
+    n, names = ends.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    if n * ROW_BYTES + names <= BROADCAST_BYTES:
+        return held.alias("d").join(F.broadcast(ends).alias("e"), F.expr("d.of <=> e.source"))
+    dealt = held.withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    every = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.alias("d").join(every.alias("e"), F.expr("d.of <=> e.source AND d.salt = e.salt"))
+
+
 def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix with df's own columns: one row for each reading of its source in which the mix takes words of it.
 
@@ -171,7 +184,7 @@ def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     last = [F.max(F.when(F.col("repeat") == k, place("doc_id"))).alias(f"last{k}") for k in range(PASSES)]
     ends = cut(pieces.groupBy("source").agg(*last))
     held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{source_col}`").alias("of"), F.col(f"`{id_col}`").alias("id"), sizes(df, text_col).alias("size"), _key(F.col(f"`{id_col}`")).alias("key"))
-    met = held.alias("d").join(ends.alias("e"), F.expr("d.of <=> e.source")).withColumn("place", place("id"))
+    met = _beside(held, ends).withColumn("place", place("id"))
     times = sum((F.when(F.col("place") <= F.col(f"last{k}"), 1).otherwise(0) for k in range(PASSES)), F.lit(0))
     repeated = met.filter("size > 0").withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
     return repeated.select(*(F.col("row").getField(c).alias(c) for c in df.columns))

@@ -514,7 +514,7 @@ def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     through the exact joins; all the rest goes straight on.
     """
     docs = cut(_linked(df, text_col, id_col, threshold, COUNTED, MAX_MATCHES).filter("n > 0").groupBy("comp", "id", "text_hash").agg(F.count("*").alias("rows")))
-    stays = docs.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("s"))
+    stays = cut(docs.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("s")))
     judged = docs.join(stays, "comp").select("id", "text_hash", "rows", F.expr("NOT (id <=> s.id AND text_hash = s.text_hash)").alias("lost"))
     suspects = cut(judged.filter("lost OR rows > 1"))
     names = df.columns
