@@ -153,7 +153,9 @@ def test_resample_with_clashing_names(docs):
     assert {tuple(r[n] for n in names) for r in rows.collect()} == {("mine",) * len(names)}
 
 
-def test_resample_reads_as_often_as_the_pieces(docs):
+@pytest.mark.parametrize("bytes_", [mixing.BROADCAST_BYTES, 0])
+def test_resample_reads_as_often_as_the_pieces(docs, monkeypatch, bytes_):
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", bytes_)
     _, pieces = mixing.mix(docs)
     want = {(r.doc_id, r.source, r["size"]): r.times for r in pieces.groupBy("doc_id", "source", "size").agg(F.countDistinct("repeat").alias("times")).collect()}
     rows = [r for r in make_docs() if len(WORD.findall(r[1] or ""))]
