@@ -6,11 +6,14 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch where the session has no size of its own: rows of whole texts or sets are long, and a task and its worker each hold several batches.
 BATCH_BYTES = 8 << 20
+#: Scans of fewer bytes aren't worth dealing out.
+SPREAD_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -20,6 +23,17 @@ def session(app: str = "folioflow", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table's scan, dealt out over the cores by a key where it has fewer splits than there are cores, as one small file has.
+
+    A scan that keeps all cores busy, as any large table's does, and one of less than SPREAD_BYTES stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, F.col(f"`{key}`"))
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application, for functions that run in Python there.
 
