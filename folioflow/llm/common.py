@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.session import spread
+
 #: A word is a maximal run of characters other than these (fixed by the result contracts).
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, {"documents": "doc_id", "pages": "page_id"}[name]) if name in ("documents", "pages") else df
 
 
 def words(text: Column) -> Column:
