@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat_format, jpeg, language_id, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, toxicity, url_filters
+from folioflow.llm import chat_format, jpeg, language_id, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, toxicity, url_filters, vector_codes
 from folioflow.llm.common import id_remainder, table
 
 
@@ -264,7 +264,48 @@ FROM parts LEFT JOIN best USING (rid)
 """
 
 
+# -- op13 --------------------------------------------------------------------------------
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op13_sql(parts: int, entries: int, rounds: int, width: int = 4) -> str:
+    """Every part against every entry of its codebook, in rounds; for vectors of parts * width components."""
+    xs = [f"x{j}" for j in range(width)]
+    distance = " + ".join(f"(p.{x} - c.{x}) * (p.{x} - c.{x})" for x in xs)
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f""",
+near{k} AS (
+  SELECT rid, part, arg_min(entry, distance * {entries} + entry) AS entry, min(distance) AS distance
+  FROM (SELECT p.rid, p.part, c.entry, {distance} AS distance FROM p JOIN c{k} c ON c.part = p.part) GROUP BY 1, 2)"""
+        if k < rounds:
+            steps += f""",
+c{k + 1} AS (
+  SELECT c.part, c.entry, {", ".join(f"coalesce(m.{x}, c.{x}) AS {x}" for x in xs)} FROM c{k} c LEFT JOIN (
+    SELECT part, entry, {", ".join(f"CAST(floor(sum(p.{x}) / count(*)) AS BIGINT) AS {x}" for x in xs)} FROM near{k} JOIN p USING (rid, part) GROUP BY 1, 2) m
+  ON m.part = c.part AND m.entry = c.entry)"""
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding FROM embeddings),
+v AS (
+  SELECT rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE}::DOUBLE * x) AS BIGINT)) AS v FROM e
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, part, {", ".join(f"v[part * {width} + {j + 1}] AS {x}" for j, x in enumerate(xs))} FROM v, (SELECT unnest(range(0, {parts})) AS part)),
+first AS (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}),
+c0 AS (SELECT part, entry, {", ".join(xs)} FROM first JOIN p USING (rid)){steps},
+coded AS (SELECT rid, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error FROM near{rounds} GROUP BY 1),
+books AS (SELECT sha256(string_agg({" || ',' || ".join(xs)}, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN coded USING (rid), books
+"""
+
+
+OP13_SQL = _op13_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_pseudonyms, op2_ngram_join, op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op6_toxicity, op7_source_mix, op8_language, op9_sentencepiece, op10_url_filters)
+    f.__name__: f for f in (op1_pii_pseudonyms, op2_ngram_join, op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op6_toxicity, op7_source_mix, op8_language, op9_sentencepiece, op10_url_filters, op13_vector_codes)
 }
-ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op7_source_mix": OP7_SQL, "op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op7_source_mix": OP7_SQL, "op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL, "op13_vector_codes": OP13_SQL}
