@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat_format, jpeg, language_id, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, toxicity, url_filters, vector_codes
+from folioflow.llm import chat_format, jpeg, language_id, mixing, ngram_join, packing, pii, quality_rules, sentencepiece_codec, spelling, toxicity, url_filters, vector_codes
 from folioflow.llm.common import id_remainder, table
 
 
@@ -264,6 +264,57 @@ FROM parts LEFT JOIN best USING (rid)
 """
 
 
+# -- op11 --------------------------------------------------------------------------------
+
+#: One in so many words of a document loses a letter (fixed by the result contract).
+LOSE_ONE_IN = 97
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), lose_one_in=LOSE_ONE_IN)
+
+
+def _crc_step(nibble: int) -> int:
+    for _ in range(4):
+        nibble = nibble >> 1 ^ (0xEDB88320 if nibble & 1 else 0)
+    return nibble
+
+
+#: crc32 goes over the nibbles of the bytes, the low one first. Near words share what is left without the letter at one place.
+OP11_SQL = f"""
+WITH RECURSIVE per AS (
+  SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS h FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+           translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  GROUP BY 1, 2),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_transform(range(0, len(h)), lambda i: CAST(strpos('0123456789ABCDEF', substr(h, xor(i, 1) + 1, 1)) - 1 AS BIGINT)),
+    lambda c, b: xor([{", ".join(str(_crc_step(k)) for k in range(16))}][(xor(c, b) & 15) + 1], c >> 4), CAST(4294967295 AS BIGINT))) AS crc FROM per),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN crc % {LOSE_ONE_IN} = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY 1 HAVING sum(n) >= {spelling.MIN_COUNT}),
+less AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS r(i)),
+shorter AS (SELECT DISTINCT l.word AS a, l.n AS a_n, s.word AS b, s.n AS b_n FROM less l JOIN words s ON s.word = l.rest),
+near AS (
+  SELECT x.word AS a, y.word AS b, y.n AS b_n FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION ALL SELECT a, b, b_n FROM shorter UNION ALL SELECT b, a, a_n FROM shorter),
+best AS (SELECT a, count(*) AS n_near, min(struct_pack(less := -b_n, form := b)) AS best FROM near GROUP BY 1),
+formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= {spelling.FACTOR} * n THEN best.form END AS form,
+         CASE WHEN -best.less >= {spelling.FACTOR} * n THEN -best.less END AS form_n FROM words LEFT JOIN best ON a = word),
+up(word, root) AS (SELECT word, word FROM formed UNION ALL SELECT up.word, form FROM up JOIN formed f ON f.word = up.root WHERE form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM formed f JOIN up USING (word) JOIN formed r ON r.word = up.root AND r.form IS NULL
+"""
+
+
+# -- op12 --------------------------------------------------------------------------------
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 # -- op13 --------------------------------------------------------------------------------
 
 
@@ -306,6 +357,6 @@ OP13_SQL = _op13_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUN
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_pseudonyms, op2_ngram_join, op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op6_toxicity, op7_source_mix, op8_language, op9_sentencepiece, op10_url_filters, op13_vector_codes)
+    f.__name__: f for f in (op1_pii_pseudonyms, op2_ngram_join, op3_chat_perspectives, op4_jpeg_media, op5_quality_rules, op6_toxicity, op7_source_mix, op8_language, op9_sentencepiece, op10_url_filters, op11_spelling_variants, op12_best_fit_packing, op13_vector_codes)
 }
-ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op7_source_mix": OP7_SQL, "op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL, "op13_vector_codes": OP13_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op7_source_mix": OP7_SQL, "op3_chat_perspectives": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filters": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op13_vector_codes": OP13_SQL}
