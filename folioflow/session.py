@@ -34,6 +34,22 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, F.col(f"`{key}`"))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set and Spark is local."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioflow-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the shared checkpoint folder, with their lineage cut."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application, for functions that run in Python there.
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folioflow.operators.rollups import n_if
+from folioflow.streaming.lifecycle import MOVES, OPEN, STATES, STAY, THROTTLE, lifecycle  # noqa: F401
 
 #: What an event does to a subscriber.
 ACTIONS = {"signup": "signup", "click": "confirm", "error": "bounce", "view": "unsubscribe", "purchase": "complaint"}
-THROTTLE_SECONDS = 15 * 60
 
 
 def rate_limited(events: DataFrame, key: str, seconds: int, most: int) -> DataFrame:
@@ -40,32 +40,6 @@ def to_ask_again(signups: DataFrame) -> DataFrame:
     return signups.filter((F.col("status") == "active") & F.col("asked_again").isNull() & F.col("confirmed").isNull())
 
 
-def _step(state: Column, action: Column, at: Column) -> Column:
-    """One move of a subscriber: (status, reason, sent_at, sends)."""
-    status, reason = state["status"], state["reason"]
-    dead = (status == "suppressed") & (reason == "bounce")
-    signs_up = (action == "signup") & ~dead & (status != "active")
-    recent = state["sent_at"].isNotNull() & (at - state["sent_at"] < THROTTLE_SECONDS * 1_000_000)
-    sends = signs_up & ~F.coalesce(recent, F.lit(False))
-    suppresses = action.isin("bounce", "complaint") & ~status.isin("unsubscribed", "none")
-    new_status = (
-        F.when(signs_up, "pending").when((action == "confirm") & (status == "pending"), "active").when((action == "unsubscribe") & (status != "none") & ~dead, "unsubscribed").when(suppresses, "suppressed").otherwise(status)
-    )
-    new_reason = F.when(signs_up, F.lit("")).when(suppresses, action).otherwise(reason)
-    return F.struct(new_status.alias("status"), new_reason.alias("reason"), F.when(sends, at).otherwise(state["sent_at"]).alias("sent_at"), (state["sends"] + F.when(sends, 1).otherwise(0)).cast("long").alias("sends"))
-
-
-def lifecycle(events: DataFrame, key: str) -> DataFrame:
-    """Each subscriber's status after all events: a fold over its events in order.
-
-    Events: key, ts, event_id, action. The fold of one subscriber needs that subscriber's events and no others.
-    """
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "action"))).alias("rows"))
-    start = F.struct(F.lit("none").alias("status"), F.lit("").alias("reason"), F.lit(None).cast("long").alias("sent_at"), F.lit(0).cast("long").alias("sends"))
-    end = F.aggregate("rows", start, lambda s, r: _step(s, r["action"], r["at"]))
-    return rows.select(key, end.alias("s")).select(key, "s.status", "s.reason", "s.sends")
-
-
 class Subscriber(StatefulProcessor):
     """The same moves, kept as state of a stream; a row goes out for each batch that changed a subscriber."""
 
@@ -75,18 +49,12 @@ class Subscriber(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         status, reason, sent_at, sends = self.state.get() if self.state.exists() else ("none", "", None, 0)
         events = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        state = STATES.index((status, reason))
         for at, action in zip(events["at"].tolist(), events["action"].tolist(), strict=True):
-            dead = status == "suppressed" and reason == "bounce"
-            if action == "signup" and not dead and status != "active":
-                status, reason = "pending", ""
-                if sent_at is None or at - sent_at >= THROTTLE_SECONDS * 1_000_000:
-                    sent_at, sends = at, sends + 1
-            elif action == "confirm" and status == "pending":
-                status = "active"
-            elif action == "unsubscribe" and status != "none" and not dead:
-                status = "unsubscribed"
-            elif action in ("bounce", "complaint") and status not in ("unsubscribed", "none"):
-                status, reason = "suppressed", action
+            if action == "signup" and state in OPEN and (sent_at is None or at - sent_at >= THROTTLE):
+                sent_at, sends = at, sends + 1
+            state = MOVES.get(action, STAY)[state]
+        status, reason = STATES[state]
         self.state.update((status, reason, sent_at, sends))
         yield pd.DataFrame({"user_id": [key[0]], "status": [status], "reason": [reason], "sends": [sends]})
 
