@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioflow.operators.digest import chunks
 from folioflow.operators.rollups import n_if, total
 from folioflow.sources.sinks import append_new, exists
+from folioflow.sources.versions import Change, Store
 
 TRIES = "chunk long, attempt long, ok boolean, error string"
 
@@ -59,3 +60,23 @@ def finalise(spark: SparkSession, path: str, filings: DataFrame, ledger: str, se
     append_new(payload.select("id", F.lit(run).alias("run")), sends, ["id", "run"])
     spark.createDataFrame([(run, "sent")], "run string, status string").coalesce(1).write.mode("overwrite").json(f"{path}/status")
     return "sent"
+
+
+LEDGER, SENDS = "ledger", "sends"
+
+
+def finalise_at_once(spark: SparkSession, path: str, filings: DataFrame, store: str, run: str) -> str:
+    """As finalise, with ledger and sends as tables of one store: readers see both with the run's rows, or neither.
+
+    The run's mark is part of the same version, so a run that is finished twice adds nothing, and one that fails in any task changes nothing.
+    """
+    held = Store(spark, store)
+    if held.mark(f"run {run}") is not None:
+        return "sent"
+    payload = spark.read.parquet(f"{path}/payload")
+    if not to_send(spark, path).isEmpty():
+        return "failed"
+    known = held.read(LEDGER, schema="url string").distinct()
+    urls = filings.select("url").distinct().alias("a").join(known.alias("b"), F.expr("a.url <=> b.url"), "left_anti")
+    held.publish({LEDGER: Change(urls, F.col("url")), SENDS: Change(payload.select("id", F.lit(run).alias("run")), F.col("id"))}, {f"run {run}": 1})
+    return "sent"
