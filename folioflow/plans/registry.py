@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.plans import analytics, flows, rules
+from folioflow.plans import analytics, flows, reports, rules
 
-QUERIES = {**analytics.QUERIES, **rules.QUERIES, **flows.QUERIES}
-SQL = {**analytics.SQL, **rules.SQL, **flows.SQL}
+QUERIES = {**analytics.QUERIES, **rules.QUERIES, **flows.QUERIES, **reports.QUERIES}
+SQL = {**analytics.SQL, **rules.SQL, **flows.SQL, **reports.SQL}
