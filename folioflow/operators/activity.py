@@ -82,14 +82,19 @@ def gaps(filings: DataFrame, key: str) -> DataFrame:
 
 
 def cadence(filings: DataFrame, key: str, today: str, floor: str, least: int = 4) -> DataFrame:
-    """The upper median of the gaps between filings, and the next date that it projects."""
-    per = gaps(filings.filter(F.col("date") >= F.lit(floor).cast("date")), key).groupBy(key).agg(
-        F.count("*").alias("filings"), F.max("date").alias("last_filing"), F.sort_array(F.collect_list("gap")).alias("gaps")
-    )
-    middle = F.get("gaps", F.floor(F.size("gaps") / 2).cast("int"))
-    out = per.filter(F.col("filings") >= least).withColumn("median_gap", middle)
+    """The upper median of the gaps between filings, and the next date that it projects.
+
+    Gaps are counted by size, and the median is the first size whose running count passes half of them: a key has as
+    many rows as different gaps, and no array of them.
+    """
+    counted = gaps(filings.filter(F.col("date") >= F.lit(floor).cast("date")), key).groupBy(key, "gap").agg(F.count("*").alias("n"), F.max("date").alias("last"))
+    by_gap = Window.partitionBy(key).orderBy("gap")
+    # The first date has a null gap, which sorts before the others.
+    running = counted.withColumns({"upto": F.sum("n").over(by_gap) - 1, "filings": F.sum("n").over(Window.partitionBy(key))})
+    passed = F.when(F.col("gap").isNotNull() & (F.col("upto") > F.floor((F.col("filings") - 1) / 2)), F.col("gap"))
+    per = running.groupBy(key).agg(F.max("filings").alias("filings"), F.max("last").alias("last_filing"), F.min(passed).alias("median_gap")).filter(F.col("filings") >= least)
     projected = F.date_add("last_filing", F.col("median_gap").cast("int"))
-    return out.select(key, "filings", "last_filing", "median_gap", projected.alias("projected"), F.datediff(F.lit(today).cast("date"), projected).cast("long").alias("days_past"))
+    return per.select(key, "filings", "last_filing", "median_gap", projected.alias("projected"), F.datediff(F.lit(today).cast("date"), projected).cast("long").alias("days_past"))
 
 
 def padded_domain(tx: DataFrame, key: str) -> DataFrame:

@@ -6,15 +6,17 @@ filings: slug, url, date (text). trades: slug, date, and ordinal columns. ledger
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.scalars import idempotency_key
 from folioflow.operators.ordering import numbered, top
+from folioflow.session import ship
 
 MAX_TRADES, ALSO_NEW, WINDOW_DAYS = 6, 5, 14
-#: A mail's links at the utmost.
-MAX_URLS = 1_000_000
 
 
 def in_scope(officials: DataFrame, since: str | None) -> DataFrame:
@@ -54,16 +56,54 @@ def also_new(officials: DataFrame, cards: DataFrame, reference: str, k: int = AL
     return best.select("slug", "posted", counted.alias("new_count"), F.row_number().over(Window.orderBy(F.desc("posted"), "slug")).cast("long").alias("place"))
 
 
-def send_key(pending: DataFrame, most: int = MAX_URLS) -> DataFrame:
-    """One key for the set of pending urls: the hash of the sorted urls, a line each.
+def send_keys(rows: DataFrame, by: list[str], url: str = "url") -> DataFrame:
+    """by, send_key and urls: for each group the hash of its different urls, sorted, a line each, and how many there are.
 
-    The hash takes them one after the other, so they have to meet; no more than one above most do, and a send of
-    more than most is an error, as it can't be one mail.
+    A hash takes its input in order, so a group's urls pass one task, but as a sorted stream of which no more than one is held. Groups of null
+    urls alone have none; without by, all rows are one group and there is one row even of none.
     """
-    some = pending.filter("url IS NOT NULL").select("url").distinct().orderBy("url").limit(most + 1)
-    n = F.count("*")
-    fits = F.when(n > most, F.raise_error(F.lit(f"more than {most} urls in one send")).cast("string"))
-    return some.agg(F.coalesce(fits, idempotency_key(F.collect_list("url"))).alias("send_key"), n.alias("urls"))
+    ship(rows.sparkSession)
+    keys = [F.col(f"`{c}`") for c in by]
+    once = rows.filter(F.col(url).isNotNull()).select(*keys, F.col(url).alias("__url")).distinct()
+    dealt = once.repartition(*keys) if by else once.repartition(1)
+    ordered = dealt.sortWithinPartitions(*keys, "__url")
+    kinds = [f"`{c}` {once.schema[c].dataType.simpleString()}" for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, n, types = None, None, 0, None
+        done: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[*by, "send_key", "urls"])
+
+        for batch in batches:
+            types = [*(batch.schema.field(k).type for k in range(len(by))), pa.string(), pa.int64()]
+            for *key, link in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or key != held:
+                    if state is not None:
+                        done.append((*held, state.hexdigest(), n))
+                    held, state, n = key, hashlib.sha256(), 0
+                state.update(("\n" if n else "").encode() + link.encode())
+                n += 1
+            if done:
+                yield flush()
+        if state is not None:
+            done.append((*held, state.hexdigest(), n))
+            yield flush()
+
+    return ordered.toDF(*(f"c{k}" for k in range(len(by) + 1))).mapInArrow(run, ", ".join([*kinds, "send_key string", "urls long"]))
+
+
+def send_key(pending: DataFrame, most: int | None = None) -> DataFrame:
+    """One key for the set of pending urls: the hash of the sorted urls, a line each. With most, a send of more is an error."""
+    found = send_keys(pending, [])
+    none = hashlib.sha256(b"").hexdigest()
+    n = F.coalesce(F.max("urls"), F.lit(0)).cast("long")
+    key = F.coalesce(F.max("send_key"), F.lit(none))
+    fits = F.lit(None).cast("string") if most is None else F.when(n > most, F.raise_error(F.lit(f"more than {most} urls in one send")).cast("string"))
+    return found.agg(F.coalesce(fits, key).alias("send_key"), n.alias("urls"))
 
 
 def draft_lines(cards: DataFrame, officials: DataFrame, trades: DataFrame) -> DataFrame:

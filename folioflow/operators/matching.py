@@ -51,11 +51,21 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))))
 
 
+#: Bytes up to which the runs that needles ask for are broadcast, after their size was asked.
+BROADCAST_BYTES = 8 << 20
+
+
+def _broadcast_if_small(df: DataFrame, *cols: str) -> DataFrame:
+    size = sum((F.octet_length(F.col(c).cast("string")) for c in cols), F.lit(32))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def texts_with_tokens(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
     """description, needle_id for every text that contains all tokens of a needle, whatever the case.
 
     texts: description, each once. needles: needle_id, tokens. They meet in an equi-join on the needle's rarest run of
-    gram characters (fewer, where it has no longer token), and the other tokens are tested after it. A needle
+    gram characters (fewer, where it has no longer token), and the tokens are tested after it. Runs are of the lengths
+    that needles need, and go with a text's hash alone; only texts that have a needle's rarest run are fetched by it. A needle
     without tokens, or with an empty one alone, fits nothing.
     """
     low = needles.select("needle_id", F.transform("tokens", F.lower).alias("tokens"))
@@ -64,13 +74,16 @@ def texts_with_tokens(texts: DataFrame, needles: DataFrame, gram: int = 3) -> Da
     sized = lambda c: F.array_distinct(F.flatten(F.array_compact(F.transform("tokens", lambda t: _grams(t, c)))))
     own = F.coalesce(*(F.when(F.col("n") == k, sized(k)) for k in range(1, gram + 1)))
     asked = low.withColumn("gram", F.explode(own))
-    lower = texts.select("description", F.lower("description").alias("__low"))
-    held = F.flatten(F.array_compact(F.array(*(_grams(F.col("__low"), k) for k in range(1, gram + 1)))))
-    # Runs that no needle asks for go before any text does.
-    spread = lower.select("description", "__low", F.explode(held).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    often = spread.groupBy("gram").agg(F.count("*").alias("often"))
+    lengths = sorted(r[0] for r in low.select("n").distinct().collect())
+    hashed = texts.filter("description IS NOT NULL").select("description", F.xxhash64("description").alias("__h"))
+    held = F.flatten(F.array_compact(F.array(*(_grams(F.lower("description"), k) for k in lengths)))) if lengths else F.array().cast("array<string>")
+    postings = hashed.select("__h", F.explode(held).alias("gram"))
+    often = postings.select("gram").join(_broadcast_if_small(asked.select("gram").distinct(), "gram"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
     rarest = asked.join(often, "gram", "left").groupBy("needle_id", "tokens").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
-    return spread.join(rarest, "gram").filter(F.expr("forall(tokens, t -> contains(__low, t))")).select("description", "needle_id")
+    candidates = postings.join(_broadcast_if_small(rarest.select("needle_id", "gram"), "needle_id", "gram"), "gram").select("__h", "needle_id").distinct()
+    wanted = _broadcast_if_small(candidates.select("__h").distinct(), "__h")
+    fetched = hashed.join(wanted, "__h", "left_semi").join(candidates, "__h").join(rarest.select("needle_id", "tokens"), "needle_id")
+    return fetched.filter(F.expr("forall(tokens, t -> contains(lower(description), t))")).select("description", "needle_id")
 
 
 def promise_evidence(promises: DataFrame, sales: DataFrame, key: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,41 @@ def page(rows: DataFrame, order: list[Column], number: str | int | None, size: i
     return rows.orderBy(*order).offset((at - 1) * size).limit(size).withColumns({"page": F.lit(at).cast("long"), "pages": F.lit(last).cast("long")})
 
 
+def write_paged(rows: DataFrame, order: list[Column], path: str, slices: int | None = None) -> int:
+    """Stores rows in slices by ranges of an order, each with its rows' places in it, and the slices' counts; gives the number of rows.
+
+    The splitters come from a sample, so slices are about equal whatever the values; rows are sorted once, slice by slice. slices: how many; by default as many as shuffles have.
+    """
+    spark = rows.sparkSession
+    # An id counts a partition's rows in its lower 33 bits.
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = rows.repartitionByRange(*([slices] if slices else []), *order).sortWithinPartitions(*order).withColumns({"__slice": F.spark_partition_id(), "__nth": nth})
+    ranged.write.mode("overwrite").partitionBy("__slice").parquet(f"{path}/rows")
+    counts = spark.read.parquet(f"{path}/rows").groupBy("__slice").agg(F.count("*").alias("n"))
+    counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_page(spark: SparkSession, path: str, number: str | int | None, size: int = 100) -> DataFrame:
+    """A page of what write_paged has stored, with place, page and pages: only the slices that hold it are read, and nothing is sorted.
+
+    A page that isn't a number is the first, one past the end the last. One count for each slice reaches the driver.
+    """
+    counts = sorted(map(tuple, spark.read.parquet(f"{path}/counts").collect()))
+    asked = int(number) if str(number or "").isdigit() and int(number) > 0 else 1
+    last = max(1, -(-sum(n for _, n in counts) // size))
+    low = (min(asked, last) - 1) * size
+    before, found = 0, F.lit(False)
+    place = F.lit(None).cast("long")
+    for part, n in counts:
+        if before < low + size and before + n > low:
+            found = found | ((F.col("__slice") == part) & F.col("__nth").between(low - before, low + size - before - 1))
+            place = F.when(F.col("__slice") == part, F.col("__nth") + before + 1).otherwise(place)
+        before += n
+    rows = spark.read.parquet(f"{path}/rows").filter(found)
+    return rows.withColumns({"place": place, "page": F.lit(min(asked, last)).cast("long"), "pages": F.lit(last).cast("long")}).drop("__slice", "__nth")
+
+
 def root_heights(rows: DataFrame, series: list[str], value: str, floor: float = 1.0, height: float = 100.0) -> DataFrame:
     """Square-root heights by each series' own maximum; a positive value is floor at least."""
     most = F.max(value).over(Window.partitionBy(*series))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioflow.functions import brackets, classify, scalars
 from folioflow.operators import activity, ordering, rollups
 from folioflow.plans.model import AXIS_START, FILINGS_SQL, FLOOR, OFFICIALS_SQL, TODAY, TX_SQL, all_transactions, filings, officials, roster, table, transactions
+from folioflow.session import checkpoint_dir
 
 QUERIES, SQL = {}, {}
 
@@ -339,6 +342,16 @@ def t11_page(s, d):
     return ordering.page(transactions(s, d).select("date", "filing", "line", "part", "supplier"), order, "3").drop("date")
 
 
+@query(f"""WITH {TX_SQL}, n AS (SELECT count(*) AS n FROM tx), a AS (SELECT least(7, CAST(ceil(n / 100.0) AS BIGINT)) AS at_page, CAST(ceil(n / 100.0) AS BIGINT) AS pages FROM n)
+SELECT filing, line, part, supplier, place, at_page AS page, pages FROM (SELECT *, row_number() OVER (ORDER BY date DESC, filing, line, part, supplier) AS place FROM tx), a WHERE place > (at_page - 1) * 100 AND place <= at_page * 100""")
+def t11_deep_page(s, d):
+    """The same pages from rows that are stored in slices of their order, as a site asks for many of them."""
+    order = [F.desc("date"), *map(F.asc, ("filing", "line", "part", "supplier"))]
+    path = f"{checkpoint_dir(s)}/pages-{uuid.uuid4().hex}"
+    ordering.write_paged(transactions(s, d).select("date", "filing", "line", "part", "supplier"), order, path)
+    return ordering.read_page(s, path, "7").drop("date")
+
+
 @query(f"""WITH {FILINGS_SQL} SELECT ordinal, date, row_number() OVER (ORDER BY date DESC, ordinal) AS place FROM filings QUALIFY place <= 4""")
 def t12_t13_newest(s, d):
     return ordering.top(filings(s, d).select("ordinal", "date"), [F.desc("date"), F.asc("ordinal")], 4)

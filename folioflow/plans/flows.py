@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioflow.functions import brackets, scalars
 from folioflow.operators import digest, matching, merging, ordering, rollups
 from folioflow.plans.analytics import n_if, total
 from folioflow.plans.model import FILINGS_SQL, TX_SQL, filings, officials, table, transactions
-from folioflow.streaming import delivery, subscribers
+from folioflow.session import checkpoint_dir
+from folioflow.streaming import amendments, delivery, limits, subscribers
 
 QUERIES, SQL = {}, {}
 
@@ -471,3 +474,41 @@ FROM (SELECT e.user_id, e.k, at_us, action, status, reason, sent_at, sends, stat
 SELECT user_id, max_by(status, k) AS status, max_by(reason, k) AS reason, max_by(sends, k) AS sends FROM s GROUP BY 1""")
 def r4_r5_lifecycle(s, d):
     return subscribers.lifecycle(_actions(s, d), "user_id")
+
+
+# -- streams over whole tables -----------------------------------------------------------
+
+_STORES, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _until_done(s, writer, folder):
+    """Runs a query over all there is, with its checkpoint in a folder of the shared ones."""
+    before = s.conf.get(_STORES)
+    s.conf.set(_STORES, _ROCKS)
+    try:
+        query = writer.option("checkpointLocation", f"{folder}/query").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        s.conf.set(_STORES, before)
+
+
+@query(f"SELECT event_id, user_id, least(in_window, 4) AS in_window, limited FROM ({_limit_sql(86_400, 3)}) JOIN events USING (event_id)")
+def r2_limit_stream(s, d):
+    """The events as a stream, in one batch."""
+    folder = f"{checkpoint_dir(s)}/limits-{uuid.uuid4().hex}"
+    events = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    limited = limits.rate_limited_stream(events.select("event_id", "user_id", "ts"), "user_id", 86_400, 3)
+    _until_done(s, limited.writeStream.format("parquet").option("path", f"{folder}/rows"), folder)
+    return s.read.parquet(f"{folder}/rows")
+
+
+@query(f"""WITH {LOTS_SQL} SELECT key, greatest(coalesce(have, 0), coalesce(want, 0)) AS n FROM have FULL JOIN want USING (key)""")
+def r9_amended_stream(s, d):
+    """Filings that are stored come as a stream, a file at a time, so that one filing is in several batches; then how often each key is there."""
+    folder = f"{checkpoint_dir(s)}/amended-{uuid.uuid4().hex}"
+    old, new = _lots(s, d)
+    amendments.start(old, f"{folder}/store")
+    new.repartition(3, "line").write.parquet(f"{folder}/filed")
+    filed = s.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/filed")
+    _until_done(s, filed.writeStream.foreachBatch(amendments.writer(f"{folder}/store")), folder)
+    return amendments.merged(s, f"{folder}/store").groupBy(merging.row_key().alias("key")).agg(F.count("*").alias("n"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.functions import brackets, classify, scalars
-from folioflow.operators import merging, quality
+from folioflow.functions import brackets, classify, scalars, tokens
+from folioflow.operators import digest, merging, quality
 from folioflow.operators.rollups import n_if
 from folioflow.plans.analytics import B
 from folioflow.plans.analytics import n_if as n_if_sql
@@ -320,7 +320,10 @@ def x33_paragraphs(s, d):
 
 @query(f"WITH {FILINGS_SQL} SELECT official_id, sha256(array_to_string(list_sort(list(DISTINCT url) FILTER (url IS NOT NULL)), chr(10))) AS send_key FROM filings GROUP BY 1")
 def x39_u7_send_keys(s, d):
-    return filings(s, d).groupBy("official_id").agg(scalars.idempotency_key(F.collect_set("url")).alias("send_key"))
+    everyone = filings(s, d).select("official_id").distinct()
+    keys = digest.send_keys(filings(s, d), ["official_id"]).drop("urls")
+    # An official without any url has no key.
+    return everyone.join(keys, "official_id", "left")
 
 
 # -- quality -----------------------------------------------------------------------------
@@ -430,12 +433,17 @@ def x52_a37_matchers(s, d):
     return table(s, d, "documents").select("doc_id", (F.contains(text, F.lit("278")) | F.contains(text, F.lit("tion"))).alias("loose"), classify.is_periodic_report(text).alias("strict"))
 
 
-@query("""WITH m AS (SELECT k, CAST(TIMESTAMP '2024-11-01' + INTERVAL 1 MONTH * k AS DATE) AS month FROM range(14) t(k))
-SELECT month, CASE WHEN month(month) = 1 THEN strftime(month, '%b %Y') ELSE strftime(month, '%b') END AS label, round((k + 0.5) * 100 / 14, 4)::DOUBLE AS centre FROM m WHERE (month(month) - 1) % 3 = 0""")
+@query("""WITH e AS (SELECT date_trunc('month', min(o_orderdate))::DATE AS low, date_trunc('month', max(o_orderdate))::DATE AS high FROM orders),
+m AS (SELECT k, CAST(low + INTERVAL 1 MONTH * k AS DATE) AS month, n FROM (SELECT low, CAST(date_diff('month', low, high) + 1 AS BIGINT) AS n FROM e), unnest(range(n)) AS t(k))
+SELECT month, CASE WHEN month(month) = 1 THEN strftime(month, '%b %Y') ELSE strftime(month, '%b') END AS label, round((k + 0.5) * 100 / n, 4)::DOUBLE AS centre FROM m WHERE (month(month) - 1) % 3 = 0""")
 def x12_quarter_ticks(s, d):
-    axis = s.range(1).select(F.posexplode(F.sequence(F.lit("2024-11-01").cast("date"), F.lit("2025-12-01").cast("date"), F.expr("INTERVAL 1 MONTH"))).alias("k", "month"))
+    """The axis of all months of orders, with a tick for each quarter in the middle of its first month."""
+    day = F.col("o_orderdate").cast("date")
+    ends = table(s, d, "orders").agg(F.trunc(F.min(day), "month").alias("low"), F.trunc(F.max(day), "month").alias("high"))
+    months = ends.select(F.sequence("low", "high", F.expr("INTERVAL 1 MONTH")).alias("months"))
+    axis = months.select(F.size("months").alias("n"), F.posexplode("months").alias("k", "month"))
     label = F.when(F.month("month") == 1, F.date_format("month", "MMM yyyy")).otherwise(F.date_format("month", "MMM"))
-    return axis.filter((F.month("month") - 1) % 3 == 0).select("month", label.alias("label"), F.round((F.col("k") + 0.5) * 100 / 14, 4).alias("centre"))
+    return axis.filter((F.month("month") - 1) % 3 == 0).select("month", label.alias("label"), F.round((F.col("k") + 0.5) * 100 / F.col("n"), 4).alias("centre"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'lede ' || o_orderkey END AS lede FROM orders")
@@ -457,3 +465,36 @@ def j19_paired_arrays(s, d):
 def w11_first_qualifying(s, d):
     rows = table(s, d, "events").filter("event_type = 'purchase' AND value > 10")
     return merging.keep_one(rows, ["user_id"], [F.asc("event_id")]).select("user_id", "event_id", "value")
+
+
+# -- tokens ------------------------------------------------------------------------------
+
+_TOKEN_KEY, _NOW, _LIFE = b"a key of the tests", 1_700_000_500, 400
+
+
+def _hmac_sql(payload: str) -> str:
+    padded = _TOKEN_KEY.ljust(64, b"\0")
+    inner, outer = ("'" + "".join(f"\\x{b ^ x:02X}" for b in padded) + "'::BLOB" for x in (0x36, 0x5C))
+    return f"unhex(sha256({outer} || unhex(sha256({inner} || encode({payload})))))"
+
+
+def _packed_sql(data: str) -> str:
+    return f"rtrim(translate(to_base64({data}), '+/', '-_'), '=')"
+
+
+_PAYLOAD = "c_custkey || ':confirm:' || (1700000000 + c_custkey % 700)"
+
+
+@query(f"""SELECT c_custkey AS id, {_packed_sql(f"encode({_PAYLOAD})")} || '.' || {_packed_sql(_hmac_sql(_PAYLOAD))} AS token,
+CASE WHEN c_custkey % 5 = 0 AND c_custkey % 700 BETWEEN {_NOW - _LIFE - 1_700_000_000} AND {_NOW - 1_700_000_000} THEN c_custkey END AS verified, c_custkey % 6 = 0 AND c_custkey % 5 = 0 AND false AS other_purpose FROM customer""")
+def x38_tokens(s, d):
+    """A token of each customer; of five one comes back as it is, the others changed in the id, the mark, the number of parts or not at all there."""
+    k = F.col("c_custkey")
+    made = table(s, d, "customer").select(k.alias("id"), tokens.mint(k, "confirm", F.lit(1_700_000_000) + k % 700, _TOKEN_KEY).alias("token"))
+    other = tokens.mint(F.col("id") + 1, "confirm", F.lit(1_700_000_000) + F.col("id") % 700, _TOKEN_KEY)
+    swapped = F.concat(F.substring_index(other, ".", 1), F.lit("."), F.substring_index("token", ".", -1))
+    kind = F.col("id") % 5
+    shown = F.when(kind == 0, F.col("token")).when(kind == 1, swapped).when(kind == 2, F.concat("token", F.lit("A"))).when(kind == 3, F.concat("token", F.lit("."))).otherwise("")
+    back = made.withColumn("shown", shown)
+    is_other = tokens.verify(F.col("shown"), "unsubscribe", _NOW, _TOKEN_KEY, _LIFE).isNotNull()
+    return back.select("id", "token", tokens.verify(F.col("shown"), "confirm", _NOW, _TOKEN_KEY, _LIFE).alias("verified"), is_other.alias("other_purpose"))

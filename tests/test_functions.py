@@ -178,3 +178,22 @@ def test_repaired_arrays(spark):
 
 def test_dates_are_dates(spark):
     assert isinstance(one(spark, F.to_date(F.col("t")), t="2020-01-01"), dt.date)
+
+
+def test_tokens_equal_the_library(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    packed = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    for key in (b"k", b"x" * 64, b"long" * 40):
+        made = spark.range(40).select("id", tokens.mint(F.col("id"), "pé", F.col("id") * 7, key).alias("t")).collect()
+        for r in made:
+            payload = f"{r.id}:pé:{r.id * 7}".encode()
+            assert r.t == f"{packed(payload)}.{packed(hmac.new(key, payload, hashlib.sha256).digest())}"
+    signed = lambda payload: f"{packed(payload)}.{packed(hmac.new(b'k', payload, hashlib.sha256).digest())}"
+    good = signed(b"5:p:1000")
+    shown = [(good, 5), (signed(b"5:q:1000"), None), (signed(b"5:p:1601"), None), (signed(b"5:p:999"), None), (signed(b"5:p:1600"), 5), (signed(b"x:p:1000"), None), (signed(b"5:p:x"), None), (signed(b"5:p"), None), (signed(b"5:p:1000:2"), None)]
+    shown += [(good + ".x", None), (good[:-1], None), (good.replace(".", ""), None), ("", None), (None, None), (".", None), ("a.b", None), ("é!.x", None), (signed(b"\xff\xfe"), None)]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(shown)], "k int, t string").select("k", tokens.verify(F.col("t"), "p", 1600, b"k", 600).alias("v"))
+    assert {r.k: r.v for r in rows.collect()} == {k: v for k, (_, v) in enumerate(shown)}

@@ -201,3 +201,65 @@ def test_career_and_merges(spark):
     old = spark.createDataFrame([("e", "active", None), ("f", "pending", "x")], "email string, status string, slug string")
     new = spark.createDataFrame([("e", "pending", "y"), ("f", "pending", "y"), ("g", "pending", "y")], "email string, status string, slug string")
     assert {r.email: r.slug for r in merging.upsert_follow(old, new).collect()} == {"e": None, "f": "y", "g": "y"}
+
+
+def test_send_keys_of_groups(spark):
+    import hashlib
+
+    data = [("a", "u2"), ("a", "u1"), ("a", "u2"), (None, "u3"), ("b", None), ("c", "\u00e9")] + [("big", f"{k:05d}") for k in range(20000)]
+    got = {r.g: (r.send_key, r.urls) for r in digest.send_keys(spark.createDataFrame(data, "g string, url string"), ["g"]).collect()}
+    want = {}
+    for g, u in data:
+        if u is not None:
+            want.setdefault(g, set()).add(u)
+    assert got == {g: (hashlib.sha256("\n".join(sorted(us)).encode()).hexdigest(), len(us)) for g, us in want.items()}
+    none = digest.send_key(spark.createDataFrame([(None,)], "url string")).first()
+    assert (none.send_key, none.urls) == (hashlib.sha256(b"").hexdigest(), 0)
+
+
+def test_cadence_takes_the_upper_median(spark):
+    import random
+
+    rng = random.Random(2)
+    dates = {k: sorted({D("2020-01-01") + dt.timedelta(days=rng.randrange(0, 60)) for _ in range(n)}) for k, n in enumerate([0, 1, 3, 4, 5, 6, 9, 20, 40])}
+    data = [(k, x) for k, found in dates.items() for x in found] + [(7, dates[7][0])] * 5 + [(3, None), (3, D("2019-01-01"))]
+    got = {r.k: (r.filings, r.median_gap, r.last_filing) for r in activity.cadence(spark.createDataFrame(data, "k int, date date"), "k", "2020-06-01", "2020-01-01").collect()}
+    want = {}
+    for k, found in dates.items():
+        gaps = sorted((b - a).days for a, b in zip(found, found[1:], strict=False))
+        if len(found) >= 4:
+            want[k] = (len(found), gaps[len(gaps) // 2], found[-1])
+    assert got == want and len(got) > 4
+
+
+def test_stored_pages_read_their_slices_alone(spark, tmp_path):
+    import shutil
+
+    data = spark.range(0, 5000, 1, 3).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("b"), "id")
+    order = [F.desc("a"), F.asc("b"), F.asc("id")]
+    path = str(tmp_path / "p")
+    assert ordering.write_paged(data, order, path, slices=8) == 5000
+    whole = [r.id for r in data.orderBy(*order).collect()]
+    for number, at in ((1, 1), ("3", 3), (50, 50), ("x", 1), (99, 50), (None, 1)):
+        rows = ordering.read_page(spark, path, number).orderBy("place").collect()
+        assert [r.id for r in rows] == whole[(at - 1) * 100 : at * 100] and {(r.page, r.pages) for r in rows} == {(at, 50)}
+        assert [r.place for r in rows] == list(range((at - 1) * 100 + 1, at * 100 + 1))
+    slices = sorted((tmp_path / "p" / "rows").glob("__slice=*"))
+    assert len(slices) > 2
+    for other in slices[1:]:
+        shutil.rmtree(other)
+    assert [r.id for r in ordering.read_page(spark, path, 1).orderBy("place").collect()] == whole[:100]
+    assert ordering.write_paged(data.limit(0), order, str(tmp_path / "none")) == 0
+
+
+def test_many_needles_against_texts(spark):
+    import random
+
+    rng = random.Random(6)
+    syllables = ["ba", "Be", "bi", "co", "cu", "da", "x", "\u00c9a", " "]
+    texts = sorted({"".join(rng.choice(syllables) for _ in range(rng.randint(0, 12))) for _ in range(300)}) + [None]
+    needles = [(k, ["".join(rng.choice(syllables).strip() for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 3))]) for k in range(400)]
+    got = matching.texts_with_tokens(spark.createDataFrame([(t,) for t in texts], "description string"), spark.createDataFrame(needles, "needle_id int, tokens array<string>"))
+    want = {(t, n) for t in texts if t is not None for n, tokens in needles if any(tokens) and all(x.lower() in t.lower() for x in tokens)}
+    rows_ = list(map(tuple, got.collect()))
+    assert set(rows_) == want and len(rows_) == len(want) > 1000
