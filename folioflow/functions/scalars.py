@@ -10,9 +10,26 @@ from pyspark.sql import functions as F
 #: Month names in press style.
 PRESS_MONTHS = ("Jan.", "Feb.", "March", "April", "May", "June", "July", "Aug.", "Sept.", "Oct.", "Nov.", "Dec.")
 #: Words of offices and agencies that say nothing.
-OFFICE_STOP_WORDS = (
-    "department office of the and administration commission agency bureau us united states executive national federal council secretary director"
-).split()
+OFFICE_STOP_WORDS = [
+    "department",
+    "office",
+    "of",
+    "the",
+    "and",
+    "administration",
+    "commission",
+    "agency",
+    "bureau",
+    "us",
+    "united",
+    "states",
+    "executive",
+    "national",
+    "federal",
+    "council",
+    "secretary",
+    "director",
+]
 #: Short names of agencies.
 AGENCY_SHORT = {
     "Office of Science and Technology Policy": "OSTP",

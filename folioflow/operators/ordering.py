@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def top(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -34,6 +37,10 @@ def page(rows: DataFrame, order: list[Column], number: str | int | None, size: i
     return rows.orderBy(*order).offset((at - 1) * size).limit(size).withColumns({"page": F.lit(at).cast("long"), "pages": F.lit(last).cast("long")})
 
 
+#: What is known of stored pages: the rows' schema, and how many each slice has.
+_PAGED = "kind string, counts array<struct<slice: int, n: long>>"
+
+
 def write_paged(rows: DataFrame, order: list[Column], path: str, slices: int | None = None) -> int:
     """Stores rows in slices by ranges of an order, each with its rows' places in it, and the slices' counts; gives the number of rows.
 
@@ -44,9 +51,10 @@ def write_paged(rows: DataFrame, order: list[Column], path: str, slices: int | N
     nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = rows.repartitionByRange(*([slices] if slices else []), *order).sortWithinPartitions(*order).withColumns({"__slice": F.spark_partition_id(), "__nth": nth})
     ranged.write.mode("overwrite").partitionBy("__slice").parquet(f"{path}/rows")
-    counts = spark.read.parquet(f"{path}/rows").groupBy("__slice").agg(F.count("*").alias("n"))
-    counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kind = ranged.schema
+    counts = sorted(map(tuple, spark.read.schema(kind).parquet(f"{path}/rows").groupBy("__slice").agg(F.count("*")).collect()))
+    spark.createDataFrame([(kind.json(), counts)], _PAGED).coalesce(1).write.mode("overwrite").json(f"{path}/index")
+    return sum(n for _, n in counts)
 
 
 def read_page(spark: SparkSession, path: str, number: str | int | None, size: int = 100) -> DataFrame:
@@ -54,7 +62,8 @@ def read_page(spark: SparkSession, path: str, number: str | int | None, size: in
 
     A page that isn't a number is the first, one past the end the last. One count for each slice reaches the driver.
     """
-    counts = sorted(map(tuple, spark.read.parquet(f"{path}/counts").collect()))
+    index = spark.read.schema(_PAGED).json(f"{path}/index").first()
+    counts = index["counts"]
     asked = int(number) if str(number or "").isdigit() and int(number) > 0 else 1
     last = max(1, -(-sum(n for _, n in counts) // size))
     low = (min(asked, last) - 1) * size
@@ -65,7 +74,7 @@ def read_page(spark: SparkSession, path: str, number: str | int | None, size: in
             found = found | ((F.col("__slice") == part) & F.col("__nth").between(low - before, low + size - before - 1))
             place = F.when(F.col("__slice") == part, F.col("__nth") + before + 1).otherwise(place)
         before += n
-    rows = spark.read.parquet(f"{path}/rows").filter(found)
+    rows = spark.read.schema(StructType.fromJson(json.loads(index["kind"]))).parquet(f"{path}/rows").filter(found)
     return rows.withColumns({"place": place, "page": F.lit(min(asked, last)).cast("long"), "pages": F.lit(last).cast("long")}).drop("__slice", "__nth")
 
 

@@ -13,11 +13,73 @@ from folioflow.operators.rollups import n_if, total
 FIRST_DATE = "2019-01-01"
 SHAPE = r"^\d{4}-\d{2}-\d{2}$"
 #: Tickers known to be right.
-KNOWN_TICKERS = (
-    "AAPL AMZN MSFT GOOGL GOOG META TSLA NVDA JPM BAC WFC GS MS C USB PNC TFC UNH JNJ PFE MRK ABBV LLY BMY AMGN "
-    "XOM CVX COP SLB EOG MPC VLO PSX DIS NFLX CMCSA T VZ TMUS HD LOW TGT WMT COST V MA PYPL SQ AXP "
-    "SPY QQQ IWM DIA VOO VTI BND BA LMT RTX GD NOC DJT LBRT OKLO FISV"
-).split()
+KNOWN_TICKERS = [
+    "AAPL",
+    "AMZN",
+    "MSFT",
+    "GOOGL",
+    "GOOG",
+    "META",
+    "TSLA",
+    "NVDA",
+    "JPM",
+    "BAC",
+    "WFC",
+    "GS",
+    "MS",
+    "C",
+    "USB",
+    "PNC",
+    "TFC",
+    "UNH",
+    "JNJ",
+    "PFE",
+    "MRK",
+    "ABBV",
+    "LLY",
+    "BMY",
+    "AMGN",
+    "XOM",
+    "CVX",
+    "COP",
+    "SLB",
+    "EOG",
+    "MPC",
+    "VLO",
+    "PSX",
+    "DIS",
+    "NFLX",
+    "CMCSA",
+    "T",
+    "VZ",
+    "TMUS",
+    "HD",
+    "LOW",
+    "TGT",
+    "WMT",
+    "COST",
+    "V",
+    "MA",
+    "PYPL",
+    "SQ",
+    "AXP",
+    "SPY",
+    "QQQ",
+    "IWM",
+    "DIA",
+    "VOO",
+    "VTI",
+    "BND",
+    "BA",
+    "LMT",
+    "RTX",
+    "GD",
+    "NOC",
+    "DJT",
+    "LBRT",
+    "OKLO",
+    "FISV",
+]
 
 
 def _rules(today: str, date: Column) -> tuple[tuple[Column, Column], ...]:
