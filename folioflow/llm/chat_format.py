@@ -4,17 +4,17 @@ Every participant of a conversation is in turn the assistant: the whole dialogue
 with that speaker's turns as assistant turns, everybody else's as turns of named users, and a
 mask that trains on the assistant's turns alone.
 
-``rotate_whole`` gives one row for each perspective of a conversation, with all its turns. A
-conversation of more than ``whole_bytes`` comes in several rows, ``part`` 0, 1, ...: contiguous
+``rotate_whole`` gives rows for each perspective of a conversation. A turn is in ``part`` k if from k to k + 1 times
+``whole_bytes`` of the conversation's texts and headers come before it, so one of up to ``whole_bytes`` has part 0 alone; parts are contiguous
 ranges of its turns in order, whose texts one after the other are the whole rendering, and whose
-mask starts count from the beginning of the whole. Ranges are cut from a global sort, so neither
+mask starts count from the beginning of the whole. Ranges of longer conversations are cut from a global sort, so neither
 a long conversation nor a turn number that repeats is gathered into one task.
 
 Edge cases: a null role is the participant ``unknown``; a null text is an empty turn; a null turn
 number sorts first; equal turn numbers are ordered by role, then text; repeated
 rows are repeated turns; system turns are shown to everybody and nobody's perspective unless
-only system turns exist, when nothing is rendered; very long texts are turns like any other, one of more than
-whole_bytes is a range of its own; of the input's columns only the four named are read; an empty table gives an empty
+only system turns exist, when nothing is rendered; very long texts are turns like any other, after one of more than
+whole_bytes a part's number is left out; of the input's columns only the four named are read; an empty table gives an empty
 result.
 """
 
@@ -94,7 +94,7 @@ def rotate_whole(
 
     mask: for each turn a struct (start, length, train), in characters of the rendered text;
     start and length span the turn's content and its end mark, the header is never trained on.
-    part counts the ranges of a conversation of more than whole_bytes; split is always 0.
+    part: how many times whole_bytes come before its turns; split is always 0.
     """
     said = _said(turns, conv_col, turn_col, role_col, text_col)
     weight = F.octet_length("text") + F.octet_length("speaker") + TURN_BYTES
@@ -127,21 +127,18 @@ def rotate_whole(
     order = ("turn", "speaker", "text", "id")
     sorted_ = said.withColumn("id", F.monotonically_increasing_id()).alias("s").join(long_ones.alias("l"), is_long, "left_semi").repartitionByRange("conv_id", *order)
     placed = cut(sorted_.withColumn("task", F.spark_partition_id()))
+    # What comes before a turn: the tasks before its own, one row for each, and its own task's turns before it.
+    sums = placed.groupBy("conv_id", "task").agg(F.sum(weight).alias("n"))
+    tasks = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("conv_id", "task", F.coalesce(F.sum("n").over(tasks), zero).alias("base"))
     running = Window.partitionBy("conv_id", "task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = placed.withColumn("unit", F.floor(F.coalesce(F.sum(weight).over(running), zero) / whole_bytes))
-    units = cut(cuts.groupBy("conv_id", "task", "unit").agg(gathered))
+    based = placed.withColumn("own", F.coalesce(F.sum(weight).over(running), zero)).alias("s").join(bases.alias("b"), F.expr("s.conv_id <=> b.conv_id AND s.task = b.task"))
+    numbered = based.select("s.conv_id", "s.turn", "s.speaker", "s.text", F.floor((F.col("base") + F.col("own")) / whole_bytes).cast("long").alias("part"))
+    units = cut(numbered.groupBy("conv_id", "part").agg(gathered))
     # One narrow row for each range and perspective: its length, summed over the ranges before it.
-    earlier = Window.partitionBy("conv_id", "perspective").orderBy("task", "unit")
+    earlier = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     length = F.aggregate("pieces", zero, lambda n, p: n + F.length(p["head"]) + F.length(p["body"]))
-    offsets = (
-        seen(units)
-        .select("conv_id", "task", "unit", "perspective", length.alias("length"))
-        .select(
-            "*",
-            F.coalesce(F.sum("length").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before"),
-            (F.row_number().over(earlier) - 1).cast("long").alias("part"),
-        )
-    )
-    same = "u.conv_id <=> o.conv_id AND u.task = o.task AND u.unit = o.unit AND u.perspective = o.perspective"
-    ranges = seen(units).alias("u").join(offsets.alias("o"), F.expr(same)).select("u.*", "o.before", "o.part")
+    offsets = seen(units).select("conv_id", "part", "perspective", length.alias("length")).withColumn("before", F.coalesce(F.sum("length").over(earlier), zero))
+    same = "u.conv_id <=> o.conv_id AND u.part = o.part AND u.perspective = o.perspective"
+    ranges = seen(units).alias("u").join(offsets.alias("o"), F.expr(same)).select("u.*", "o.before")
     return rendered(seen(short.withColumns({"part": zero, "before": zero}))).unionByName(rendered(ranges))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.session import spread
+from folioflow.session import checkpoint_dir as ensure_checkpoint_dir  # noqa: F401
+from folioflow.session import cut, spread  # noqa: F401
 
 #: A word is a maximal run of characters other than these (fixed by the result contracts).
 GAP = r"[\x20\x09-\x0D]+"
@@ -28,24 +28,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP, -1), lambda w: w != "")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set and Spark is local."""
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-checkpoints-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared checkpoint folder, with their lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store Spark has it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

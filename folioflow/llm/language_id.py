@@ -8,8 +8,9 @@ windows' probabilities, each weighted by its bytes.
 When applied, filters are folded with the embedding into two tables over pairs of bytes, so that
 a response is the sum of two rows, whatever the width.
 
-Training takes a fixed sample of at most ``max_docs`` labelled documents and ``windows_per_doc``
-windows spread over each whole text; nothing but text and labels enters it.
+Training takes a fixed sample of at most ``max_docs`` labelled documents and, of all windows of their whole texts, at most
+``max_windows``: each text's windows are shuffled by a hash, and all first ones are taken before any second one, and so on.
+Nothing but text and labels enters it.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; short texts fill one
 window up with spaces; very long texts are many windows, a bounded number at a time; repeated rows
@@ -19,6 +20,7 @@ predict's input only the id, the text and the columns in keep are read, whatever
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,7 @@ EMBED = 8
 CHUNK = 400
 OUT_ROWS = 1000
 MAX_DOCS = 3000
-WINDOWS_PER_DOC = 4
+MAX_WINDOWS = 12_000
 UNKNOWN = "und"
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -126,26 +128,27 @@ def _cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, windows_per_doc: int = WINDOWS_PER_DOC
+    labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS
 ) -> ByteCnn | None:
-    """Trains on a bounded sample of the labelled rows: at most max_docs * windows_per_doc windows reach the driver."""
+    """Trains on a bounded sample of the labelled rows: at most max_windows windows of at most max_docs texts reach the driver."""
     ship(labelled.sparkSession)
     named = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("text"))
     rows = bounded_sample(named.filter("label IS NOT NULL"), max_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, windows = [], [], []
-            for k, label, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                cut, _ = _cut(raw)
-                for w in np.unique(np.linspace(0, len(cut) - 1, windows_per_doc).astype(int)):
-                    ids.append(k)
-                    labels.append(label)
-                    windows.append(cut[w].tobytes())
-            yield pa.RecordBatch.from_pydict({"h": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.string()), "w": pa.array(windows, pa.binary())})
+            for k, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                windows = [w.tobytes() for w in _cut(raw)[0]]
+                order = sorted(range(len(windows)), key=lambda j: (zlib.crc32(b"%d %d" % (j, k)), j))
+                # More than max_windows of one text are never taken.
+                for begin in range(0, min(len(order), max_windows), OUT_ROWS):
+                    some = order[begin : min(begin + OUT_ROWS, max_windows)]
+                    ranks = np.arange(begin, begin + len(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.array([k] * len(some), pa.int64()), pa.array([label] * len(some), pa.string()), pa.array([windows[j] for j in some], pa.binary())], names=["rank", "h", "label", "w"])
 
     texts = rows.filter(F.col("text").rlike(r"\p{L}")).select(F.xxhash64("id"), "label", F.encode("text", "UTF-8"))
-    got = texts.mapInArrow(run, "h long, label string, w binary").toPandas().sort_values(["h", "label", "w"])
+    windows = texts.mapInArrow(run, "rank long, h long, label string, w binary").orderBy("rank", "h", "label", "w").limit(max_windows)
+    got = windows.toPandas().sort_values(["h", "label", "w"])
     if got.empty:
         return None
     languages = sorted(got["label"].unique())
@@ -192,7 +195,7 @@ def predict(df: DataFrame, model: ByteCnn | None, text_col: str = "text", id_col
                     best[k], score[k] = net.languages[int(p.argmax())], float(min(1.0, p.max()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    with_letters = F.when(F.col(text_col).rlike(r"\p{L}"), F.encode(F.col(text_col), "UTF-8"))
+    with_letters = F.when(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.encode(F.col(f"`{text_col}`"), "UTF-8"))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
     return df.select(*names, with_letters.alias("__raw")).mapInArrow(run, f"{schema}, lang_pred string, score double")
 

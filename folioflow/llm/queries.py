@@ -57,11 +57,12 @@ def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate_whole(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, " "))
 
 
-OP3_SQL = """
+OP3_SQL = f"""
 WITH said AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
-         CAST(0 AS BIGINT) AS part
-  FROM conversations),
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+parted AS (
+  SELECT *, CAST(coalesce(sum(strlen(text) + strlen(speaker) + {chat_format.TURN_BYTES}) OVER (PARTITION BY conv_id
+         ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {chat_format.WHOLE_BYTES} AS BIGINT) AS part FROM said),
 speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 pieces AS (
   SELECT s.conv_id, s.part, p.perspective, s.turn, s.speaker, s.text, s.speaker = p.perspective AS train,
@@ -69,12 +70,10 @@ pieces AS (
               WHEN s.speaker = 'system' THEN '<|im_start|>system' || chr(10)
               ELSE '<|im_start|>user name=' || s.speaker || chr(10) END AS head,
          s.text || '<|im_end|>' || chr(10) AS body
-  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM parted s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
-  SELECT *, row_number() OVER w AS k,
-         CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, perspective
-              ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(body) AS start
-  FROM pieces WINDOW w AS (PARTITION BY conv_id, part, perspective ORDER BY turn NULLS FIRST, speaker, text))
+  SELECT *, row_number() OVER w AS k, CAST(sum(length(head) + length(body)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(body) AS start
+  FROM pieces WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
 SELECT conv_id, part, CAST(0 AS BIGINT) AS split, perspective, count(*) AS n_turns,
        CAST(count(*) FILTER (train) AS BIGINT) AS n_trained,
        string_agg(head || body, '' ORDER BY k) AS text,

@@ -134,11 +134,13 @@ def choose_places(sample: DataFrame) -> list[int]:
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> NoisyOr:
-    """labels: rows (id_col, label_col in 0, 1); those held out must be gone already."""
+    """labels: rows (id_col, label_col in 0, 1); those held out must be gone already. At most max_docs labelled texts are fitted on."""
     ship(documents.sparkSession)
     some = bounded_sample(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna(), max_docs)
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
-    sample = texts.join(F.broadcast(some), "id")  # bounded by max_docs
+    met = texts.join(F.broadcast(some), "id")
+    # Ids may repeat among the documents, so what is fitted on is bounded again; a count reads ids alone.
+    sample = met if texts.select("id").join(F.broadcast(some), "id").count() <= max_docs else bounded_sample(met, max_docs)
     chosen = choose_places(sample)
     if not chosen:
         return NoisyOr({}, -math.inf)
