@@ -27,12 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: The setting that has the key, and the key of sessions without it: as it is published here, it hides nothing from anyone who reads this.
+KEY_SETTING = "spark.folioflow.pii.key"
 DEFAULT_KEY = b"folioflow demonstration key"
 
 #: Runs of one class alone: no group repeats, so that a long address takes no stack.
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-][A-Za-z0-9.\-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])"
 _IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 _DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
+#: Month, day and year; a first number above 12 is no month, and such a date stays.
+_SLASHED = r"(?<![\d/.\-])(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/\d{4}(?![\d/])"
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 #: Ten digits after an optional 1; without the 1 a dot, a hyphen or parentheses have to mark the area code.
 _NANP = (
@@ -40,7 +44,7 @@ _NANP = (
     r"|(?<![\d.+\-])(?:1[ .\-]?)?(?:\(\d{3}\)[ .\-]?\d{3}[ .\-]?|\d{3}[.\-]\d{3}[.\-])\d{4})(?!\d|[.\-]\d)"
 )
 #: What a longer number beside it must not swallow.
-_OTHER = rf"{_NANP}|{_IP}|{_DATE}|{_SSN}|{_EMAIL}"
+_OTHER = rf"{_NANP}|{_IP}|{_DATE}|{_SLASHED}|{_SSN}|{_EMAIL}"
 _CARD_LIKE = r"\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{4}|\d{13}"
 _ABROAD = rf"\+[2-9](?:(?![ .\-/](?:{_CARD_LIKE}|{_OTHER}))[ .\-/]?\(?\d\)?){{6,14}}(?!\d)"
 #: The longest run of digit groups; the cards in it are found by their check digits. Possessive: a long run takes no stack.
@@ -50,9 +54,14 @@ _VALUE = r"[A-Za-z0-9+/_=\-]{8,}+"
 #: Without quotes after a colon, where prose may follow, a secret has to have a digit.
 _MARK = r"(?i:token|secret|password|passwd|api_?key|key)[\"']?\s*+"
 _SECRET = rf"{_MARK}(?:[=:]\s*+(?:\"{_VALUE}\"|'{_VALUE}')|=\s*+{_BARE}{_VALUE}|:\s*+{_BARE}(?=[A-Za-z+/_=\-]*+\d){_VALUE})"
+#: Secrets that their own beginning tells; what isn't of a fixed length has to have a digit.
+_PREFIXED = (
+    r"(?<![A-Za-z0-9_\-])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[opsur]_[A-Za-z0-9]{36}(?![0-9A-Za-z])"
+    r"|(?:sk-|Bearer\s)(?=[A-Za-z._~+/=\-]*+\d)[A-Za-z0-9._~+/=\-]{20,}+)"
+)
 
 #: What may be private, in the order of their alternatives. Lookarounds keep a match from being part of a longer one.
-PATTERNS = {"email": _EMAIL, "secret": _SECRET, "phone": rf"{_NANP}|{_ABROAD}", "ip": _IP, "date": _DATE, "ssn": _SSN, "card": _RUN}
+PATTERNS = {"email": _EMAIL, "secret": _SECRET, "prefixed": _PREFIXED, "phone": rf"{_NANP}|{_ABROAD}", "ip": _IP, "date": _DATE, "slashed": _SLASHED, "ssn": _SSN, "card": _RUN}
 ANY = "|".join(PATTERNS.values())
 #: Groups that cards are printed in, and the first digits of the usual issuers.
 CARD_GROUPS = r"^(\d+|\d{4}([ -]\d{4}){2,3}[ -]\d{1,4}|\d{4}[ -]\d{6}[ -]\d{4,5})$"
@@ -263,6 +272,19 @@ def _date(value: Column, hmac: Hmac) -> Column:
     return F.when((rank >= 0) & (rank < DATE_RADIX[0] * DATE_RADIX[1]), moved).otherwise(value)
 
 
+def _slashed(value: Column, hmac: Hmac) -> Column:
+    """A date with slashes goes where the same date with hyphens does."""
+    whole = F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 1, 2), F.substring(value, 4, 2))
+    moved = _date(whole, hmac)
+    return F.when(moved != whole, F.concat_ws("/", F.substring(moved, 6, 2), F.substring(moved, 9, 2), F.substring(moved, 1, 4))).otherwise(value)
+
+
+def _prefixed(value: Column, hmac: Hmac) -> Column:
+    head = F.regexp_extract(value, r"^(?:AKIA|gh[opsur]_|sk-|Bearer\s)", 0)
+    body = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head))
+    return F.concat(head, _cased(body, permute_characters(F.lower(body), hmac, "secret")))
+
+
 def _ssn(value: Column, hmac: Hmac) -> Column:
     area, group, serial = (F.substring(value, *p).cast("long") for p in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
@@ -297,11 +319,13 @@ def _secret(value: Column, hmac: Hmac) -> Column:
 #: How a match is told from the others, and its pseudonym.
 KINDS = (
     (rf"^{_MARK}[=:]", _secret),
+    (r"^(?:AKIA|gh[opsur]_|sk-|Bearer\s)", _prefixed),
     (r"@", _email),
     (r"^\+[2-9]", _phone_abroad),
     (rf"^{_NANP}$", _phone),
     (r"^\d+\.\d+\.\d+\.\d+$", _ip),
     (r"^\d{4}-\d{2}-\d{2}$", _date),
+    (r"^\d{2}/\d{2}/\d{4}$", _slashed),
     (r"^\d{3}-\d{2}-\d{4}$", _ssn),
 )
 
@@ -315,11 +339,18 @@ def pseudonym(value: Column, key: bytes = DEFAULT_KEY) -> Column:
     return choice.otherwise(_card(value, hmac))
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
-    """df with the private values in text_col replaced; its columns, whatever their names, and their order stay."""
+def session_key(df: DataFrame) -> bytes:
+    """The key of KEY_SETTING, or the public one where the session has none."""
+    named = df.sparkSession.conf.get(KEY_SETTING, None)
+    return named.encode() if named else DEFAULT_KEY
+
+
+def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes | None = None) -> DataFrame:
+    """df with the private values in text_col replaced; its columns, whatever their names, and their order stay. key: by default the session's."""
+    key = session_key(df) if key is None else key
     held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     # Cheap tests first: every format has an at sign, a digit, or a secret's mark.
-    found = held.withColumn("found", F.when(F.col("text").rlike(r"[0-9@\"=]|:\s*+'"), F.regexp_extract_all("text", F.lit(ANY), 0)))
+    found = held.withColumn("found", F.when(F.col("text").rlike(r"[0-9@\"=]|:\s*+'|gh[opsur]_|AKIA"), F.regexp_extract_all("text", F.lit(ANY), 0)))
     some = F.size("found") > 0
     staged = found.withColumn("between", F.when(some, F.split("text", ANY, -1))).withColumn("new", F.when(some, F.transform("found", lambda v: pseudonym(v, key))))
     joined = F.concat(
