@@ -214,7 +214,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- op10 --------------------------------------------------------------------------------
 
-#: Host, path, verdict (fixed by the result contract), then hosts of the corpus known for spam.
+#: Host, path, verdict (fixed by the result contract).
 RULES = (
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -222,14 +222,24 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-LISTED = tuple((f"{name}.example.{top}", "/", "block") for name in ("spam-farm", "adult-x", "cheap-pills", "free-bets") for top in ("com", "net", "org"))
+#: Sites known for spam, with all their mirrors.
+SPAM_SITES = tuple(f"{name}.example.{top}" for name in ("spam-farm", "adult-x", "cheap-pills", "free-bets", "casino-win", "ads-track") for top in ("com", "net", "org"))
+
+
+def spam_list(pages: DataFrame) -> DataFrame:
+    """The list that pages are judged by besides the rules: each spam site with each directory that any page has.
+
+    Spam is mirrored, so a directory that is known from one site is listed for all of them: the list has as many entries as there
+    are sites times directories, grows with pages, and has every spam page's own directory and none of another site.
+    """
+    sites = F.explode(F.array(*(F.lit(h) for h in SPAM_SITES)))
+    return url_filters.directories(pages).select(sites.alias("host"), "path", F.lit("list").alias("kind"), F.lit("block").alias("verdict"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame(
-        [(h, p, "rule", v) for h, p, v in RULES] + [(h, p, "list", v) for h, p, v in LISTED], "host string, path string, kind string, verdict string"
-    )
-    judged = url_filters.match(table(spark, sf_dir, "pages"), listed)
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame([(h, p, "rule", v) for h, p, v in RULES], "host string, path string, kind string, verdict string")
+    judged = url_filters.match(pages, spam_list(pages).unionByName(rules))
     return judged.select(
         "page_id",
         "host",
@@ -240,7 +250,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Listed hosts are compared in canonical form: without user name, port and dots at the end, escapes of unreserved characters
-#: resolved. Their path is /, which every canonical path begins with.
+#: resolved. Directories are compared as they are: each page's own one is listed, in either form.
 _UNESCAPED = "r_host"
 for _c in (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x2D, 0x2E, 0x5F, 0x7E):
     _UNESCAPED = f"regexp_replace({_UNESCAPED}, '(?i)%{_c:02x}', '{chr(_c).lower()}', 'g')"
@@ -254,10 +264,12 @@ parts AS (
          regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM rest),
 canon AS (
   SELECT *, rtrim(regexp_replace({_UNESCAPED}, ':.*$', '', 's'), '.') AS c_host FROM (SELECT *, regexp_replace(host, '^.*@', '', 's') AS r_host FROM parts)),
-listed(h, p, kind, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{kind}', '{v}')" for kind, rows in (("rule", RULES), ("list", LISTED)) for h, p, v in rows)}),
+sites(h) AS (VALUES {", ".join(f"('{h}')" for h in SPAM_SITES)}),
+listed(h, p, kind, v) AS (VALUES {", ".join(f"('{h}', '{p}', 'rule', '{v}')" for h, p, v in RULES)}
+  UNION ALL SELECT h, p, 'list', 'block' FROM sites CROSS JOIN (SELECT DISTINCT regexp_extract(path, '^.*/|^', 0, 's') AS p FROM parts WHERE host <> '')),
 best AS (
   SELECT rid, max_by(struct_pack(h, p, kind, v), struct_pack(a := kind = 'rule', b := length(h) + length(p), c := length(h), d := h, e := p)) AS e
-  FROM canon JOIN listed ON (kind = 'rule' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) OR (kind = 'list' AND (c_host = h OR ends_with(c_host, '.' || h))) GROUP BY rid)
+  FROM canon JOIN listed ON (kind = 'rule' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) OR (kind = 'list' AND (c_host = h OR ends_with(c_host, '.' || h)) AND starts_with(path, p)) GROUP BY rid)
 SELECT page_id, host, path, CASE WHEN e.kind = 'rule' THEN e.h || e.p END AS rule, coalesce(e.v, 'allow') AS verdict
 FROM parts LEFT JOIN best USING (rid)
 """

@@ -136,6 +136,19 @@ def candidates(urls: list[tuple[str, str]], filter_: BlockedBloom) -> Iterator[t
             held_owner, held, n = [], [], 0
 
 
+def directories(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """path: every directory that the canonical URLs of pages have, once. URLs without a host have none; the root is ``/``."""
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = {canonical("", p)[1] for p in set(batch.column(0).to_pylist())}
+            yield pa.RecordBatch.from_pydict({"path": pa.array(sorted({p[: p.rindex("/") + 1] for p in whole}), pa.string())})
+
+    hosted = parse(pages.select(F.col(f"`{url_col}`").alias("url"))).filter("host <> ''")
+    return hosted.select("path").mapInArrow(run, "path string").distinct()
+
+
 # -- matching ----------------------------------------------------------------------------
 
 

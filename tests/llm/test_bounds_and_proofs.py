@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from conftest import SCHEMA, make_docs
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat_format, language_id, queries, toxicity
+from folioflow.llm import chat_format, language_id, queries, toxicity, url_filters
 from folioflow.llm.language_id import EMBED, FILTERS, WIDTHS, WINDOW, ByteCnn
 
 ROWS = make_docs(3, 24)
@@ -127,3 +128,37 @@ def test_parts_of_conversations_equal_the_sql(spark):
     names = ["conv_id", "part", "perspective", "n_turns", "n_trained", "text", "mask"]
     want = duckdb.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r[n] for n in names)) for r in got.collect()) and max(w[1] for w in want) > 1
+
+
+def test_url_query_on_the_derived_list(spark, tmp_path):
+    """The registered query in plain Python: what is listed comes from the pages' own directories."""
+    hosts = ["m.spam-farm.example.com", "casino-win.example.org", "xcasino-win.example.org", "www.example.com", "Ads-Track.Example.NET.", "me:pw@www.adult-x.example.com:80", "free%2Dbets.example.org", "a.net", "example.org", "", "blog.cheap-pills.example.net"]
+    paths = ["", "/", "/en/1.html", "/es/2?u=/fr/", "/a/../b/c", "/a/..", "/%61/x#/", "/fr/deep/er/", "/\nen/"]
+    urls = [None, "", "no scheme", *(f"http://{h}{p}" for h in hosts for p in paths)]
+    rows = [(k, u, None, k) for k, u in enumerate(urls + urls[:20])]
+    spark.createDataFrame(rows, "page_id long, url string, html string, path int").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+
+    def split(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        return host.lower(), re.match(r"[^?#]*", rest[len(host) :], re.S)[0]
+
+    known = [url_filters.canonical(*split(u)) for u in urls if split(u)[0]]
+    listed = {(site, path[: path.rindex("/") + 1]) for _, path in known for site in queries.SPAM_SITES}
+    got_list = [tuple(r) for r in queries.spam_list(spark.read.parquet(f"{tmp_path}/pages.parquet")).select("host", "path").collect()]
+    assert len(got_list) == len(listed) and set(got_list) == listed and {p for _, p in listed} > {"/", "/en/", "/b/", "/a/", "/fr/deep/er/"}
+
+    def under(host, site):
+        return host == site or host.endswith("." + site)
+
+    want = []
+    for k, url, *_ in rows:
+        host, path = split(url)
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in queries.RULES if under(host, h) and path.startswith(p)]
+        clean = url_filters.canonical(host, path)
+        spam = host and any(under(clean[0], h) and clean[1].startswith(p) for h, p in listed)
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if spam else "allow")
+        want.append((k, host, path, rule, verdict))
+    got = queries.op10_url_filters(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in got] == want
+    assert {w[3:] for w in want} >= {(None, "block"), (None, "allow"), ("com/", "allow"), ("net/es/", "block")}
