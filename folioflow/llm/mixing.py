@@ -131,7 +131,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     spark = df.sparkSession
     docs = sized(df, id_col, text_col, source_col)
     wanted = cut(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    known = docs.alias("d").join(wanted.alias("w"), F.expr("d.source <=> w.source")).select("d.*", "w.source_size", "w.target")
+    known = _beside(docs.withColumn("of", F.col("source")), wanted).select(*(f"d.{c}" for c in docs.columns), "e.source_size", "e.target")
     slots = schedule(spark, wanted, block_tokens)
     laid = _running(known.filter("size > 0"), ["source"], "bucket", ["key", "doc_id", "size"], F.col("size"), "place")
     read = laid.withColumn("repeat", F.explode(F.array(*(F.lit(k) for k in range(PASSES))))).withColumn("start", F.col("place") + F.col("repeat") * F.col("source_size"))
