@@ -7,9 +7,11 @@ filings: slug, url, date (text). trades: slug, date, and ordinal columns. ledger
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,14 +131,21 @@ def follower_text(cards: DataFrame, recipients: DataFrame) -> DataFrame:
     return met.agg(F.array_join(F.transform(one, lambda x: x["text"]), ", ").alias("text"), F.count("*").alias("cards"))
 
 
-def chunks(recipients: DataFrame, size: int = 100) -> DataFrame:
-    """Recipients in groups of a size, by id: places come from counts of ranges of ids, not from one sorted task."""
-    ranged = recipients.withColumn("__range", F.floor(F.col("id") / 4096))
-    before = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+def chunks(recipients: DataFrame, size: int = 100, ranges: int = 2048) -> DataFrame:
+    """Recipients in groups of a size, by id, nulls first: a recipient's place is what the ranges before its own hold, and its place in there.
+
+    The ranges' bounds are approximate quantiles of the ids, so they hold about equally many however the ids are spread, and no
+    more than ranges + 1 counts are added up in one task. The bounds have no part in the result.
+    """
+    value = recipients.withColumn("__value", F.col("id").cast("double"))
+    bounds = sorted(set(value.approxQuantile("__value", [k / ranges for k in range(1, ranges)], 1 / ranges))) or [0.0]
+    cuts = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__value", outputCol="__range", handleInvalid="keep")
+    known = cuts.transform(value.filter("id IS NOT NULL")).unionByName(value.filter("id IS NULL").withColumn("__range", F.lit(-1.0)))
+    before = known.groupBy("__range").agg(F.count("*").alias("n"))
     sums = before.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     nth = F.row_number().over(Window.partitionBy("__range").orderBy("id")) - 1
-    placed = ranged.withColumn("__nth", nth).join(sums, "__range")
-    return placed.withColumn("chunk", F.floor((F.col("before") + F.col("__nth")) / size).cast("long")).drop("__range", "__nth", "before")
+    placed = known.withColumn("__nth", nth).join(F.broadcast(sums), "__range")
+    return placed.withColumn("chunk", F.floor((F.col("before") + F.col("__nth")) / size).cast("long")).drop("__range", "__value", "__nth", "before")
 
 
 def banner(officials: DataFrame, k: int = 3) -> DataFrame:

@@ -69,14 +69,9 @@ def write_stamped(df: DataFrame, path: str, stamp: str) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark's own file system has the path."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).limit(1).count()
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
-    return True
+    """Whether the path's own file system has it; nothing is listed or opened."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def write_dated(df: DataFrame, path: str, dry_run: bool = False) -> int:

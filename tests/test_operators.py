@@ -263,3 +263,17 @@ def test_many_needles_against_texts(spark):
     want = {(t, n) for t in texts if t is not None for n, tokens in needles if any(tokens) and all(x.lower() in t.lower() for x in tokens)}
     rows_ = list(map(tuple, got.collect()))
     assert set(rows_) == want and len(rows_) == len(want) > 1000
+
+
+def test_chunks_of_any_ids(spark):
+    """Chunks in plain Python: ids that lie together, far apart, beyond 2^53, null and none at all."""
+    near = 2**60
+    ids = [None, None, *range(-5, 40), *(k * k * 7919 for k in range(7, 60)), *(near + k for k in range(30))]
+    df = spark.createDataFrame([(i, f"r{k}") for k, i in enumerate(ids)], "id long, name string").repartition(3)
+    want = sorted(ids, key=lambda i: (i is not None, i or 0))
+    for ranges in (2, 16, 2048):
+        got = digest.chunks(df, 10, ranges)
+        assert got.columns == ["id", "name", "chunk"]
+        rows = sorted(((r.id, r.chunk) for r in got.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        assert rows == [(i, k // 10) for k, i in enumerate(want)]
+    assert digest.chunks(df.limit(0)).count() == 0
