@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,6 +59,8 @@ def rate_limited_stream(events: DataFrame, key: str, seconds: int, most: int, de
     order.
     """
     ship(events.sparkSession)
+    # The runner that starts the processor on the driver gets no shipped files, so the class travels by value.
+    register_pickle_by_value(sys.modules[__name__])
     kind = events.schema[key].dataType.simpleString()
     timed = events.filter("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     rows = timed.select("ts", "event_id", F.col(f"`{key}`").alias("key"), F.unix_micros("ts").alias("at"))
