@@ -1,12 +1,13 @@
 """Long reports as lines: sections between headings, holdings that go on over lines, and words placed in rows and columns.
 
 Sections and holdings are found within a report's own row, by functions of its array of lines: no line is shuffled, and a report's length
-is bounded by what one text may have. Words of a page come as rows of their own and meet by page and height.
+is bounded by what one text may have. Words of a page come as rows of their own, which meet by page and height, or as one array of a page.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,3 +178,22 @@ def in_columns(words: DataFrame, columns: list[tuple[str, float, float]], keys:
     texts = placed.groupBy(*keys, "y", "__column").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "word"))), lambda w: w["word"]), " ").alias("__text"))
     own = lambda c: F.coalesce(F.max(F.when(F.col("__column") == c, F.col("__text"))), F.lit(""))
     return texts.groupBy(*keys, "y").agg(*(own(c).alias(c) for c, _, _ in columns))
+
+
+def pages_in_columns(pages: DataFrame, columns: list[tuple[str, float, float]], keys: list[str], height: int = 3) -> DataFrame:
+    """The same rows from pages with all their words: keys, each page once, and words, an array of x, y, word.
+
+    Nothing is shuffled; a task holds a page at a time.
+    """
+    within = lambda x, low, high: (x >= low) & (x < high)
+    row = lambda w: (F.bround(w["y"] / height) * height).cast("long")
+    some = lambda w: F.coalesce((w["word"] != "") & reduce(lambda a, b: a | b, (within(w["x"], low, high) for _, low, high in columns)), F.lit(False))
+    words = F.transform(F.filter("words", some), lambda w: F.struct(row(w).alias("y"), w["x"].alias("x"), w["word"].alias("word")))
+    placed = pages.select(*keys, F.sort_array(words).alias("__words"))
+    # Where a row of the sorted words begins; each row goes on to the next one's place.
+    begins = lambda w, k: F.when((k == 0) | ~w["y"].eqNullSafe(F.get("__words", k - 1)["y"]), k + 1)
+    begun = placed.select(*keys, "__words", F.array_compact(F.transform("__words", begins)).alias("__at"))
+    stop = lambda k: F.coalesce(F.try_element_at("__at", k + 2), F.size("__words") + 1)
+    lines = begun.select(*keys, F.explode(F.transform("__at", lambda at, k: F.slice("__words", at, stop(k) - at))).alias("__line"))
+    own = lambda low, high: F.array_join(F.transform(F.filter("__line", lambda w: within(w["x"], low, high)), lambda w: w["word"]), " ")
+    return lines.select(*keys, F.get("__line", F.lit(0))["y"].alias("y"), *(own(low, high).alias(c) for c, low, high in columns))

@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from folioflow.functions import classify
+from folioflow.plans import registry, reports
 
 
 def _seconds(df):
@@ -36,3 +37,23 @@ def test_snippets_among_many_remarks(spark):
     found = [re.search(f"{line}(?:filer\\s+paid|paid\\s+late|filing\\s+extension){line}", t, re.I) for t in texts]
     assert got == {k: re.sub("\\s+", " ", m[0]).strip(" ") if m else None for k, m in enumerate(found)}
     assert sum(m is not None for m in found) > 100
+
+
+def _of_plan(df, node):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(node, line)]
+
+
+def test_words_of_pages_are_not_shuffled_by_themselves(spark, tmp_path):
+    texts = [(1, "a b  c " * 900), (1, "other words"), (2, None), (3, ""), (4, " x"), (None, "n")]
+    spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["x43_columns"](spark, str(tmp_path))
+    assert len(_of_plan(df, r"Exchange hashpartitioning")) == 1
+    got = {(r.doc_id, r.page, r.y): tuple(r)[3:] for r in df.collect()}
+    want = {}
+    for doc, text in texts:
+        for k, word in enumerate(w for w in (text or "").split(" ") if w):
+            x, y = k % 12 * 45 + k % 7 * 0.5, round((k % 720 // 12 * 3 + k % 5 * 0.5 - 1) / 3) * 3
+            for n, (_, low, high) in enumerate(reports.COLUMNS):
+                if low <= x < high:
+                    want.setdefault((doc, k // 720, y), [[], [], [], []])[n].append((x, word))
+    assert got == {key: tuple(" ".join(w for _, w in sorted(c)) for c in row) for key, row in want.items()}
