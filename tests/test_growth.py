@@ -3,11 +3,18 @@
 import random
 import re
 import time
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import classify
 from folioflow.plans import registry, reports
+from folioflow.session import checkpoint_dir
+from folioflow.streaming import amendments
+
+DATA = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
 
 
 def _seconds(df):
@@ -57,3 +64,15 @@ def test_words_of_pages_are_not_shuffled_by_themselves(spark, tmp_path):
                 if low <= x < high:
                     want.setdefault((doc, k // 720, y), [[], [], [], []])[n].append((x, word))
     assert got == {key: tuple(" ".join(w for _, w in sorted(c)) for c in row) for key, row in want.items()}
+
+
+@needs_data
+def test_amended_stream_comes_as_many_files_in_three_batches(spark, monkeypatch):
+    batches = []
+    amend = amendments.amend
+    monkeypatch.setattr(amendments, "amend", lambda batch, *more: (batches.append(more), amend(batch, *more)))
+    root = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.glob("amended-*"))
+    assert registry.QUERIES["r9_amended_stream"](spark, DATA).count() > 0
+    (folder,) = set(root.glob("amended-*")) - before
+    assert len(batches) == 3 and len([*folder.glob("filed/**/*.parquet")]) > 3
