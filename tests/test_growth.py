@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import classify
 from folioflow.plans import registry, reports
+from folioflow.plans.model import transactions
 from folioflow.session import checkpoint_dir
 from folioflow.streaming import amendments
 
@@ -76,3 +77,15 @@ def test_amended_stream_comes_as_many_files_in_three_batches(spark, monkeypatch)
     assert registry.QUERIES["r9_amended_stream"](spark, DATA).count() > 0
     (folder,) = set(root.glob("amended-*")) - before
     assert len(batches) == 3 and len([*folder.glob("filed/**/*.parquet")]) > 3
+
+
+@needs_data
+def test_lines_are_not_shuffled_by_official(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # The topmost join is the last one: of lines with parts, where all are of the roster already.
+        joins = _of_plan(transactions(spark, DATA), "SortMergeJoin")
+        assert "l_partkey" in joins[0] and any("o_custkey" in j for j in joins[1:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
