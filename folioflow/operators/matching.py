@@ -126,11 +126,9 @@ def merged_documents(documents: DataFrame, filings: DataFrame) -> DataFrame:
 def golden_score(golden: DataFrame, rows: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
     """For each golden row the first row with its key: whether there is one, and how many fields agree.
 
-    Rows whose key no golden row has are dropped before anything is gathered.
+    Each row is shuffled once, by its key: asking first whether a golden row has it would shuffle the rows and the golden keys besides.
     """
-    wanted = golden.select(*(F.col(k).alias(f"__{k}") for k in key)).distinct()
-    asked = rows.join(wanted, F.expr(" AND ".join(f"{k} <=> __{k}" for k in key)), "left_semi")
-    first = asked.groupBy(*key).agg(F.min_by(F.struct(*fields), "ordinal").alias("found"))
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*fields), "ordinal").alias("found"))
     agree = sum((F.when(F.col(f"g.{f}").eqNullSafe(F.col(f"r.found.{f}")), 1).otherwise(0) for f in fields), F.lit(0))
     same = " AND ".join(f"g.{k} <=> r.{k}" for k in key)
     there = F.col("r.found").isNotNull()

@@ -89,3 +89,13 @@ def test_lines_are_not_shuffled_by_official(spark):
         assert "l_partkey" in joins[0] and any("o_custkey" in j for j in joins[1:])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@needs_data
+def test_golden_rows_and_keys_are_shuffled_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not _of_plan(registry.QUERIES["j13_x46_golden_all"](spark, DATA), "LeftSemi")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
