@@ -99,3 +99,13 @@ def test_golden_rows_and_keys_are_shuffled_once(spark):
         assert not _of_plan(registry.QUERIES["j13_x46_golden_all"](spark, DATA), "LeftSemi")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_needles_are_in_whatever_the_patterns_fit(spark):
+    random.seed(5)
+    forms = "bitcoin|muni|municipal fund|due 2030|due may 3|4.5 % x due|rev|g.o.|go|g.o|go.|gen oblig|perp|tier|pfd|etf|index fund|dodge & cox|tax-free|tax free|tax  fund|income fund|fund x class b|marina|llc property|401k|ira|l.p.|lp|lp.|l.p|llp|master fund|n.v.|nv|n.v|nv.|company|companies|com|class a|inc|labs|x|income|due|5%".split("|")
+    texts = [*forms, *(random.choice((" ", "-", "\n", "")).join(random.choices(forms, k=3)).title() for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", classify.asset_class(F.col("text"), F.lit(False)).alias("kind"))
+    fit = lambda t: next((name for name, patterns in classify.ASSET_PATTERNS if any(re.search(p, t.lower(), re.A) for p in patterns)), "Other")
+    assert {r.text: r.kind for r in df.collect()} == {t: fit(t) for t in texts}
+    assert "Contains" in df._jdf.queryExecution().optimizedPlan().toString() or "contains(" in df._jdf.queryExecution().optimizedPlan().toString().lower()
