@@ -27,6 +27,8 @@ SKIPPED = (
     r"^TYPE\s+TO\s*$",
     r"^FROM\s+TO\s*$",
 )
+#: What is white space at a line's end: all that Unicode calls so.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A flag, a sum in dollars, a ticker and what looks like one.
 FLAG = r"\b(?:N/A|No|Yes|See Endnote)\b"
 DOLLARS = r"\$[\d,]+(?:\.\d+)?"
@@ -100,18 +102,26 @@ def split_sections(df: DataFrame, anchors: list[tuple[str, str]], text_col: str
 
 def item_lines(text: Column) -> Column:
     """The lines that count: without white space at their ends, empty lines, decorations and headings."""
-    skipped = "|".join(f"(?:{p})" for p in (*SKIPPED, HEADING))
-    trimmed = F.transform(lines_of(text), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    # One anchor before all patterns, so that each is tried at a line's start alone.
+    skipped = "^(?:" + "|".join(p.removeprefix("^") for p in (*SKIPPED, HEADING)) + ")"
+    trimmed = F.transform(lines_of(text), lambda x: F.rtrim(x, F.lit(WHITE)))
     return F.filter(trimmed, lambda x: (x != "") & ~x.rlike(skipped))
 
 
-def peeled(df: DataFrame, name: str, pattern: str, unless: Column | None = None) -> DataFrame:
-    """Takes the first match of a pattern out of __rest, leaving a blank, into a column of that name; none where unless holds."""
-    if unless is None:
-        unless = F.lit(False)
-    found = F.when(~unless & F.col("__rest").rlike(pattern), F.regexp_extract("__rest", pattern, 0))
-    rest = F.regexp_replace("__rest", rf"(?s)^(.*?){pattern}(.*)$", "$1 $2")
-    return df.withColumn(name, found).withColumn("__rest", F.when(F.col(name).isNotNull(), rest).otherwise(F.col("__rest")))
+def peeled(df: DataFrame, name: str, pattern: str, begins: str, unless: Column | None = None, alone: bool = True) -> DataFrame:
+    """Takes the first match of a pattern out of __rest, leaving a blank, into a column of that name; none where unless holds.
+
+    begins: the characters that a match may begin with, asked before the pattern's alternatives. Where a pattern looks at a match alone and not
+    at what is beside it, the first place of the match's text is the match, and no second pattern looks for it.
+    """
+    pattern = f"(?=[{begins}]){pattern}"
+    found = F.nullif(F.regexp_extract("__rest", pattern, 0), F.lit(""))
+    df = df.withColumn(name, found if unless is None else F.when(~unless, found))
+    if alone:
+        rest = F.overlay("__rest", F.lit(" "), F.instr("__rest", F.col(name)), F.length(name))
+    else:
+        rest = F.regexp_replace("__rest", rf"(?s)^(.*?){pattern}(.*)$", "$1 $2")
+    return df.withColumn("__rest", F.when(F.col(name).isNotNull(), rest).otherwise(F.col("__rest")))
 
 
 def _tidy(x: Column) -> Column:
@@ -136,14 +146,16 @@ def holdings(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     rows = begun.withColumn("__item", F.explode(items)).withColumn("__first", F.element_at(lines, F.col("__item.at")))
     whole = F.array_join(F.concat(F.array(F.regexp_extract("__first", ITEM, 2)), F.slice(lines, F.col("__item.at") + 1, F.col("__item.more"))), " ")
     out = rows.select(*kept, F.col("__item.ordinal").alias("ordinal"), F.regexp_extract("__first", ITEM, 1).alias("item"), whole.alias("__rest"))
-    out = peeled(peeled(out, "__value", VALUE), "__amount", INCOME)
-    out = peeled(out, "income_exact", DOLLARS, F.col("__amount").isNotNull())
-    out = peeled(out, "eif", FLAG)
+    out = peeled(peeled(out, "__value", VALUE, "$NO"), "__amount", INCOME, "$NO")
+    out = peeled(out, "income_exact", DOLLARS, "$", F.col("__amount").isNotNull())
+    out = peeled(out, "eif", FLAG, "NYS", alone=False)
     ticker = F.regexp_extract("__rest", TICKER, 1)
     left = out.withColumn("__ticker", ticker).withColumn("__rest", F.trim(_tidy(F.col("__rest"))))
     by_length = sorted(INCOME_TYPES, key=len, reverse=True)
     kind = F.coalesce(*(F.when(F.col("__rest").contains(t), F.lit(t)) for t in by_length))
-    described = left.withColumn("income_type", kind).withColumn("__rest", F.when(kind.isNull(), F.col("__rest")).otherwise(F.replace(F.col("__rest"), kind, F.lit(" "))))
+    # What is tidy stays so where nothing is taken out.
+    without = F.when(F.col("income_type").isNull(), F.col("__rest")).otherwise(_tidy(F.replace(F.col("__rest"), F.col("income_type"), F.lit(" "))))
+    described = left.withColumn("income_type", kind).withColumn("__rest", without)
     parent = F.when(F.col("item").contains("."), F.regexp_replace("item", r"\.[^.]*$", ""))
     fits = F.length("__ticker").between(2, 6) & ~F.col("__ticker").isin(*NO_TICKERS)
     return described.select(
@@ -151,7 +163,7 @@ def holdings(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
         "ordinal",
         "item",
         parent.alias("parent"),
-        F.regexp_replace(_tidy(F.col("__rest")), r"^[ ,-]+|[ ,-]+$", "").alias("description"),
+        F.trim("__rest", F.lit(" ,-")).alias("description"),
         F.when(fits, F.col("__ticker")).alias("ticker"),
         "eif",
         F.coalesce(F.col("eif") == "Yes", F.lit(False)).alias("is_eif"),

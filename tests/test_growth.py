@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import classify
+from folioflow.operators import reports as operators
 from folioflow.plans import registry, reports
 from folioflow.plans.model import transactions
 from folioflow.session import checkpoint_dir
@@ -109,3 +110,23 @@ def test_needles_are_in_whatever_the_patterns_fit(spark):
     fit = lambda t: next((name for name, patterns in classify.ASSET_PATTERNS if any(re.search(p, t.lower(), re.A) for p in patterns)), "Other")
     assert {r.text: r.kind for r in df.collect()} == {t: fit(t) for t in texts}
     assert "Contains" in df._jdf.queryExecution().optimizedPlan().toString() or "contains(" in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_of_holdings_one_pattern_alone_is_sought_twice(spark):
+    df = operators.holdings(spark.createDataFrame([(1, "1 x")], "doc_id long, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_replace\([^,]*, \(\?s\)", plan)) == 1
+
+
+def test_white_space_at_ends_and_first_matches(spark):
+    texts = [f"1 a{chr(c)}" for c in range(0x3100) if not 0xD800 <= c < 0xE000 and c != 10] + ["1 a \t\x85 ", "1 a b "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select("text", operators.item_lines(F.col("text")).alias("got"), F.regexp_replace("text", r"(?U)\s+$", "").alias("want")).collect()
+    assert [r.got for r in rows] == [[r.want] for r in rows]
+    random.seed(7)
+    pieces = ["$1,001 - $15,000", "$15,001 - $50,000", "Over $50,000,000", "Over", "None (or less than $1,001)", "None (or less than $201)", "$1", "$", ",001", " - ", "No", "None", "\U0001f600", " ", "N/A", "Yes"]
+    df = spark.createDataFrame([("".join(random.choices(pieces, k=random.randrange(9))),) for _ in range(500)] + [(None,)], "text string")
+    for pattern, begins, alone in ((operators.VALUE, "$NO", True), (operators.INCOME, "$NO", True), (operators.DOLLARS, "$", True), (operators.FLAG, "NYS", False)):
+        for r in operators.peeled(df.withColumn("__rest", F.col("text")), "found", pattern, begins, alone=alone).collect():
+            m = re.search(pattern, r.text or "", re.A)
+            assert (r.found, r["__rest"]) == ((m[0], r.text[: m.start()] + " " + r.text[m.end() :]) if m else (None, r.text)), r
