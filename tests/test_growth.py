@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow import session
 from folioflow.functions import classify
 from folioflow.operators import reports as operators
 from folioflow.plans import registry, reports
@@ -130,3 +131,20 @@ def test_white_space_at_ends_and_first_matches(spark):
         for r in operators.peeled(df.withColumn("__rest", F.col("text")), "found", pattern, begins, alone=alone).collect():
             m = re.search(pattern, r.text or "", re.A)
             assert (r.found, r["__rest"]) == ((m[0], r.text[: m.start()] + " " + r.text[m.end() :]) if m else (None, r.text)), r
+
+
+@needs_data
+def test_larger_tables_are_joined_in_more_tasks(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = transactions(spark, DATA)
+        assert not _of_plan(whole, "_orderkey.*REPARTITION_BY_NUM")
+        size = whole.sparkSession.read.parquet(f"{DATA}/lineitem.parquet")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        monkeypatch.setattr(session, "PIECE_BYTES", -(-size // 23))
+        dealt = transactions(spark, DATA)
+        exchanges = _of_plan(dealt, "Exchange hashpartitioning.*_orderkey")
+        assert len(exchanges) == 2 and all(re.search(r"_orderkey#\d+L?, 23\), REPARTITION_BY_NUM", line) for line in exchanges)
+        assert whole.exceptAll(dealt).count() == 0 and whole.count() == dealt.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
