@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import chain
 
 from pyspark.sql import Column
@@ -21,8 +22,9 @@ BRACKETS = (
     ("Over $50,000,000", 50_000_001, 75_000_000, "$50M+"),
     ("Over $1,000,000", 1_000_001, 1_500_000, "$1M+"),
 )
-#: The open bracket that the export variant doesn't know and counts as nothing.
+#: The open bracket that the export variant doesn't know and counts as nothing, and its place.
 EXPORT_UNKNOWN = "Over $1,000,000"
+OPEN_PLACE = 10
 #: Holdings use spaced ranges and have a bracket below the least one.
 HOLDING_MIDPOINTS = {"None (or less than $1,001)": 500, **{r.replace("-", " - "): m for r, _, m, _ in BRACKETS if r != EXPORT_UNKNOWN}}
 
@@ -53,12 +55,25 @@ def holding_midpoint(value: Column) -> Column:
     return F.coalesce(_lookup(value, HOLDING_MIDPOINTS, "long"), F.lit(0).cast("long"))
 
 
+def _closed(value: Column, results: Sequence) -> Column:
+    out = F.when(value >= BRACKETS[9][1], results[9])
+    for (_, low, _, _), result in zip(reversed(BRACKETS[1:9]), reversed(results[1:9]), strict=True):
+        out = out.when(value >= low, result)
+    return out.otherwise(results[0])
+
+
 def bracket_of(value: Column) -> Column:
     """The closed bracket that a value falls into."""
-    out = F.when(value >= BRACKETS[9][1], BRACKETS[9][0])
-    for name, low, _, _ in reversed(BRACKETS[1:9]):
-        out = out.when(value >= low, name)
-    return out.otherwise(BRACKETS[0][0])
+    return _closed(value, [b[0] for b in BRACKETS])
+
+
+def place_of(value: Column) -> Column:
+    """The place in BRACKETS of the closed bracket that a value falls into: one byte, for rows that are shuffled."""
+    return _closed(value, range(len(BRACKETS))).cast("byte")
+
+
+def bracket_at(place: Column) -> Column:
+    return F.lit([b[0] for b in BRACKETS])[place]
 
 
 def is_sale(kind: Column) -> Column:

@@ -1,5 +1,6 @@
 """Work that grows with its input and no faster, and plans that a larger input doesn't outgrow."""
 
+import datetime as dt
 import random
 import re
 import time
@@ -9,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow import session
-from folioflow.functions import classify
+from folioflow.functions import brackets, classify
 from folioflow.operators import reports as operators
 from folioflow.plans import registry, reports
-from folioflow.plans.model import transactions
+from folioflow.plans.model import all_transactions, transactions
 from folioflow.session import checkpoint_dir
 from folioflow.streaming import amendments
 
@@ -148,3 +149,44 @@ def test_larger_tables_are_joined_in_more_tasks(spark, monkeypatch):
         assert whole.exceptAll(dealt).count() == 0 and whole.count() == dealt.count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@needs_data
+def test_lines_are_shuffled_without_what_can_be_worked_out_before(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["v1_v8_errors"](spark, DATA)._jdf.queryExecution()
+        shown = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        columns = [set(re.findall(r"(\w+)#", c)) for c in re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", shown)]
+        of_lines = [c for c in columns if "l_partkey" in c]
+        wide = {"l_extendedprice", "l_quantity", "l_shipdate", "o_orderdate"}
+        assert len(of_lines) == 2 and not any(c & wide for c in columns)
+        assert "late" in of_lines[0] | of_lines[1] and not any({"late", "ordered"} <= c for c in columns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_amounts_of_odd_lines_by_the_place_of_their_bracket(spark, tmp_path):
+    bounds = [b[1] + d for b in brackets.BRACKETS for d in (-1.0, -0.5, 0.0)]
+    values = [*bounds, None, float("nan"), float("inf"), float("-inf"), -1e9, 0.0]
+    day = dt.datetime(2001, 2, 3, 23, 59)
+    lines = [(1, 1, 1, n, q, v, "R", None if n == 5 else day) for v in values for n in (None, 1, 2, 5, 6) for q in (None, 1.0)]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz"
+    tables = {
+        "lineitem": (lines, kinds),
+        "orders": ([(1, 1, dt.datetime(2000, 12, 5))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        "part": ([(1, "a", "b", 1)], "p_partkey long, p_name string, p_brand string, p_size int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted(((r.line, r.amount, r.late, r.date) for r in all_transactions(spark, str(tmp_path)).collect()), key=str)
+    closed = [b for b in brackets.BRACKETS if b[0] != brackets.EXPORT_UNKNOWN]
+
+    def amount(n, q, v):
+        value = None if q is None or v is None else v * q * (12 if n == 1 else 1)
+        at_least = lambda low: value is not None and (value >= low or value != value)
+        return brackets.EXPORT_UNKNOWN if n == 6 and at_least(1_000_001) else next((b[0] for b in reversed(closed) if at_least(b[1])), closed[0][0])
+
+    # The 60th day isn't late; a line without a date is neither late nor in time.
+    assert got == sorted(((n, amount(n, q, v), None if d is None else False, d and d.date()) for _, _, _, n, q, v, _, d in lines), key=str)
